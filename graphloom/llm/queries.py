@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane
+from . import bitplane, decontaminate, htmltext, mixing, quality, toxicity
 from .work import table
 
 
@@ -16,6 +16,26 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8(table(spark, sf_dir, "documents"))
+
+
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.op9(table(spark, sf_dir, "pages"))
+
+
 def op10_token_ids_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.op10(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 

@@ -81,7 +81,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit_nnpu(pos: tuple[np.ndarray, np.ndarray, int], unl: tuple[np.ndarray, np.ndarray, int], features: int, prior: float, *, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit_nnpu(pos: tuple[np.ndarray, np.ndarray, int], unl: tuple[np.ndarray, np.ndarray, int], features: int, prior: float, *, steps: int = 600, rate: float = 0.3, l2: float = 3e-5) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic model; pos and unl are (row, feature, rows) of sparse 0/1 matrices."""
     w = np.zeros(features + 1)
     w[-1] = np.log(prior / (1 - prior)) - 1
@@ -104,12 +104,16 @@ def fit_nnpu(pos: tuple[np.ndarray, np.ndarray, int], unl: tuple[np.ndarray, np.
         g[:-1] += l2 * w[:-1]
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w -= rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, *, max_features: int = 4096, min_rows: int = 4, least_ratio: float = 8.0) -> Model:
-    """Selects features that positives hold far more often than the hidden negatives can, and fits their weights."""
+def fit(positive: list[str], unlabelled: list[str], prior: float, *, max_features: int = 4096, min_rows: int = 4, min_share: float = 0.01, least_ratio: float = 25.0, negative: np.ndarray | None = None) -> Model:
+    """Selects features that positives hold far more often than the hidden negatives can, and fits their weights.
+
+    `negative` tells which unlabelled rows carry a confirmed negative label: they serve to calibrate scores only (two
+    numbers, slope and offset), since the risk's correction leaves the logit's scale open.
+    """
     prior = min(max(prior, 1e-4), 0.9)
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -117,12 +121,13 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, *, max_feature
     def count(texts):
         df = np.zeros(1 << BUCKET_BITS, np.int32)
         for part in textcore.slices(pa.record_batch([pa.array(texts, pa.string())], ["t"]), 0):
-            df += np.bincount(feature_hits(part.column(0))[1], minlength=len(df)).astype(np.int32)
+            hit, times = np.unique(feature_hits(part.column(0))[1], return_counts=True)
+            df[hit] += times.astype(np.int32)
         return df
 
-    dp, du = count(positive), count(unlabelled)
     np_, nu = len(positive), len(unlabelled)
-    cand = np.flatnonzero(dp >= min_rows)
+    dp, du = count(positive), count(unlabelled)
+    cand = np.flatnonzero(dp >= max(min_rows, min_share * np_))
     share = dp[cand] / np_
     hidden = np.maximum(0, du[cand] / nu - prior * share) / (1 - prior)
     ratio = share / (hidden + 2 / nu)
@@ -141,18 +146,44 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, *, max_feature
             n += part.num_rows
         return np.concatenate(r), np.concatenate(f), n
 
-    weights, bias = fit_nnpu(rows(positive), rows(unlabelled), len(buckets), prior)
+    pos, unl = rows(positive), rows(unlabelled)
+    weights, bias = fit_nnpu(pos, unl, len(buckets), prior)
+    if negative is not None and negative.any():
+        zp = np.bincount(pos[0], weights[pos[1]], pos[2]) + bias
+        zn = (np.bincount(unl[0], weights[unl[1]], unl[2]) + bias)[negative]
+        slope, offset = calibrated(zp, zn, prior)
+        weights, bias = weights * slope, bias * slope + offset
     return Model(buckets, weights, bias)
 
 
-def _texts(rows: DataFrame, most: int) -> list[str]:
-    out, size = [], 0
-    for (text,) in rows.toLocalIterator():
+def calibrated(zp: np.ndarray, zn: np.ndarray, prior: float, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of the label on the logit (Newton's method, classes weighted by the prior)."""
+    z = np.concatenate([zp, zn])
+    y = np.concatenate([np.ones(len(zp)), np.zeros(len(zn))])
+    weight = np.where(y == 1, prior / len(zp), (1 - prior) / len(zn))
+    x = np.column_stack([z, np.ones(len(z))])
+    t = np.array([1.0, 0.0])
+    for _ in range(rounds):
+        s = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        g = x.T @ (weight * (s - y)) + 1e-4 * (t - [1.0, 0.0])
+        h = (x * (weight * s * (1 - s))[:, None]).T @ x + 1e-4 * np.eye(2)
+        step = np.linalg.solve(h, g)
+        t = t - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(t[0]), float(t[1])) if t[0] > 0 else (1.0, 0.0)
+
+
+def _rows(rows: DataFrame, most: int) -> tuple[list[str], list]:
+    """Texts and second column of the rows, until `most` characters of text are read."""
+    texts, marks, size = [], [], 0
+    for text, mark in rows.toLocalIterator():
         size += len(text or "")
         if size > most:
             break
-        out.append(text or "")
-    return out
+        texts.append(text or "")
+        marks.append(mark)
+    return texts, marks
 
 
 def train(documents: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, max_positive: int = 4000, max_unlabelled: int = 8000, max_bytes: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -166,10 +197,12 @@ def train(documents: DataFrame, labels: DataFrame, *, folds: int = 4, held_out:
     order = F.xxhash64(F.lit(6), "doc_id")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     toxic = known.where("y = 1").orderBy(order).limit(max_positive).select("doc_id")
-    # Unlabelled: any row of the learning folds that isn't a confirmed positive. Ids only until the sample is fixed.
-    others = docs.select("doc_id").where(fold & F.col("doc_id").isNotNull()).orderBy(order).limit(max_unlabelled)
-    pick = lambda ids: docs.join(F.broadcast(work.saved(ids, "toxic-sample")), "doc_id").select("text")  # noqa: E731  bounded: at most max_* ids
-    return fit(_texts(pick(toxic), max_bytes), _texts(pick(others), max_bytes), float(shares))
+    # Unlabelled: any row of the learning folds. Ids only until the sample is fixed.
+    others = docs.select("doc_id").where(fold & F.col("doc_id").isNotNull()).orderBy(order).limit(max_unlabelled).join(known, "doc_id", "left").select("doc_id", "y")
+    pick = lambda ids: docs.join(F.broadcast(work.saved(ids, "toxic-sample")), "doc_id").orderBy(order).select("text", "y")  # noqa: E731  bounded: at most max_* ids
+    positive, _ = _rows(pick(toxic.withColumn("y", F.lit(1))), max_bytes)
+    unlabelled, marks = _rows(pick(others), max_bytes)
+    return fit(positive, unlabelled, float(shares), negative=np.array([m == 0 for m in marks], bool))
 
 
 def score(documents: DataFrame, model: Model, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 4, held_out: int = 2) -> DataFrame:
