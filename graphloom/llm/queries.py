@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, decontaminate, htmltext, mixing, quality, toxicity
+from . import bitplane, decontaminate, htmltext, licenses, lm, mixing, neardup, quality, sentences, toxicity
 from .work import table
 
 
@@ -16,6 +16,22 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op1(table(spark, sf_dir, "documents"))
+
+
+def op2_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op4(table(spark, sf_dir, "documents"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op5(table(spark, sf_dir, "documents"))
 
