@@ -12,6 +12,7 @@ rows with equal ids are separate documents; without documents the result is empt
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 from math import ceil
 
@@ -151,6 +152,18 @@ def op5(documents: DataFrame) -> DataFrame:
     return placed.join(taken, match, "left").join(info, "s").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
+def first_words(text: str | None, n: int) -> str | None:
+    """The text up to the end of its n-th word."""
+    if text is None:
+        return None
+    end = 0
+    for k, m in enumerate(re.finditer(WORD, text)):
+        if k >= n:
+            break
+        end = m.end()
+    return text[:end]
+
+
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The mix as documents: a document taken twice comes twice; one that the last slot cuts comes with its first words.
 
@@ -164,8 +177,13 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     key, whole, words = (work.fresh(documents, x) for x in ("mix_doc", "mix_whole", "mix_words"))
     copies = copies.select(F.col("doc_id").alias(key), (F.col("words") == F.col("size")).alias(whole), F.col("words").alias(words))
     joined = documents.join(copies, F.col(id_col) == F.col(key))
-    head = F.expr(f"regexp_extract(`{text_col}`, concat('^(?:[\\\\x20\\\\x09-\\\\x0D]*[^\\\\x20\\\\x09-\\\\x0D]+){{', `{words}`, '}}'), 0)")
-    text = F.when(F.col(whole), F.col(text_col)).otherwise(head)
+    cut = F.when(~F.col(whole), F.col(text_col).cast("string"))  # null but for the few documents that a last slot cuts
+
+    @F.pandas_udf("string")
+    def head(texts, words):
+        return texts.combine(words, first_words)
+
+    text = F.when(F.col(whole), F.col(text_col)).otherwise(head(cut, F.col(words)))
     out = joined.withColumn(text_col, text)
     if chars_col and chars_col in documents.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(documents.schema[chars_col].dataType))
