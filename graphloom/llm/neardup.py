@@ -100,7 +100,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, hasher: Hasher, width: int) -> DataFrame:
-    """(node, sketch, shingles) of the nodes in wanted(node, doc), read from the text of one document each.
+    """wanted(node, doc, comp, large) with sketch and shingles of each node, read from the text of one document each.
 
     A bit table of at most 2 MB, made from the wanted ids, spares most other rows the work; what it lets through by
     chance the join drops, so its fixed size costs time at most.
@@ -130,8 +130,48 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, hasher: Hasher, width: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), _lists(sets)], ["d", "node", "sketch", "shingles"])
 
     found = docs.select("doc_id", "text", place(F.col("doc_id")).alias("h")).mapInArrow(read, "d long, node long, sketch binary, shingles array<long>").where("node is not null")
-    keep = wanted.select(F.col("node").alias("node0"), "doc")
-    return found.join(keep, (F.col("node") == F.col("node0")) & F.col("d").eqNullSafe(F.col("doc")), "left_semi").select("node", "sketch", "shingles")
+    keep = wanted.select(F.col("node").alias("node0"), "doc", "comp", "large")
+    return found.join(keep, (F.col("node") == F.col("node0")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "comp", "large", "sketch", "shingles")
+
+
+def bit_table(keys: DataFrame, most_bits: int = 28) -> np.ndarray:
+    """A bit table of the column `key`, 16 bits a key up to 2^most_bits (32 MB), put together from 8 KB blocks."""
+    bits = min(most_bits, max(16, (16 * keys.count()).bit_length()))
+    place = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits)
+
+    def build(batches):
+        blocks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            for b in np.unique(h >> 16).tolist():
+                np.put(blocks.setdefault(b, np.zeros(1 << 16, bool)), h[h >> 16 == b] & 0xFFFF, True)
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([np.packbits(x).tobytes() for x in blocks.values()], pa.binary())], ["b", "bits"])
+
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    rows = keys.select(place.alias("h")).repartition(n, F.shiftright("h", 16)).mapInArrow(build, "b long, bits binary")
+    for r in rows.toLocalIterator():
+        table[r.b << 13 : (r.b + 1) << 13] |= np.frombuffer(r.bits, np.uint8)
+    return table
+
+
+def _shared_keys(named: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, key) of keys that lie in a bucket of several nodes, and of few others that the bit table lets through: keys
+    that no other node has, nearly all, stay out of the join."""
+    table = bit_table(buckets.select(F.col("key0").alias("key")))
+    sent = named.sparkSession.sparkContext.broadcast(table)
+    bits = int(len(table)).bit_length() + 2
+
+    def keep(batches):
+        table = sent.value
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            hit = table[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1 == 1
+            yield batch.filter(pa.array(hit)).select([0, 1])
+
+    keys = named.select("node", F.explode("keys").alias("key"))
+    return keys.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - bits)).mapInArrow(keep, "node long, key long")
 
 
 class Cell:
@@ -294,20 +334,20 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80,
     named = sig.where("node is not null").select("doc_id", "node", "keys")
     keys = named.select("node", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select(F.col("key").alias("key0"), "a")
-    stars = keys.join(buckets, F.col("key") == F.col("key0")).where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    buckets = work.saved(buckets, "dup-buckets")
+    stars = _shared_keys(named, buckets).join(buckets, F.col("key") == F.col("key0")).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     stars = work.saved(stars, "dup-stars")
     least = named.groupBy("node").agg(F.min("doc_id").alias("doc"))
     groups = graph.components(stars, "dup-groups")
-    wanted = work.saved(groups.join(least, "node"), "dup-wanted")
+    size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).select(F.col("comp").alias("comp0"), (F.col("m") > CELL).alias("large"))
+    wanted = groups.join(least, "node").join(size, F.col("comp") == F.col("comp0")).select("node", "doc", "comp", "large")
+    wanted = work.saved(wanted, "dup-wanted")
     sets = work.saved(_sets_of(docs, wanted, hasher, width), "dup-sets")
-    size = wanted.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).select(F.col("comp").alias("comp0"), (F.col("m") > CELL).alias("large"))
-    placed = wanted.join(size, F.col("comp") == F.col("comp0")).select("node", "comp", "large")
-    large = work.saved(placed.where("large").select("node", "comp"), "dup-large")
-    small = placed.where("not large").select("node", "comp")
-    links = work.saved(_verify_small(sets.join(small, "node"), cell), "dup-links")
+    large = wanted.where("large").select("node")
+    links = work.saved(_verify_small(sets.where("not large"), cell), "dup-links")
     if not large.isEmpty():
         inside = stars.join(large.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-        big_sets = work.saved(sets.join(large, "node"), "dup-large-sets")
+        big_sets = sets.where("large").select("node", "comp", "sketch", "shingles")
         first = work.saved(_verify_pairs(inside, big_sets, cell), "dup-links")
         labels = graph.components(first, "dup-first")
         labelled = big_sets.join(labels.select(F.col("node").alias("node1"), F.col("comp").alias("label1")), F.col("node") == F.col("node1"), "left").withColumn("label", F.coalesce("label1", "node"))
