@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .plans import star_queries
+
+
+def _modules() -> list:
+    return [star_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _modules() for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _modules() for k, v in m.ORACLES.items()}
 
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return star_queries.r_closure_facts(spark, sf_dir)
