@@ -113,3 +113,31 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42) -> DataF
     w = F.when(x < 0.367879, 0).when(x < 0.735759, 1).when(x < 0.919699, 2).when(x < 0.981012, 3).when(x < 0.996340, 4).otherwise(5)
     means = k.withColumn("w", w).groupBy("model", "k").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("m"))
     return means.groupBy("model").agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def shortest_tags(explanations: DataFrame) -> DataFrame:
+    """(query, key, tag): the shortest tag, 'D' left out, among explanations whose third element is the tag."""
+    tags = F.transform(F.filter("explanations", lambda e: F.try_element_at(e, F.lit(3)).startswith("TAG:")), lambda e: F.regexp_replace(F.substring(F.element_at(e, 3), 5, 1000), "D", ""))
+    best = F.array_min(F.transform(tags, lambda t: F.named_struct(F.lit("n"), F.length(t), F.lit("t"), t)))["t"]
+    return explanations.select(F.explode("sparqlQueries").alias("query"), "key", best.alias("tag"))
+
+
+def fuzzy_queries(queries: DataFrame, index: DataFrame, least: float = 0.9) -> DataFrame:
+    """(query, match): the first index query (by text) with token-set Jaccard of `least` or more.
+
+    Exact prefix filter: sets that similar share one of the first |x| - ceil(least * |x|) + 1 tokens in a common order, so
+    only pairs with a prefix token in common are compared; rare tokens come first in the order.
+    """
+    tokens = lambda c: F.array_distinct(F.split(F.trim(c), r"\s+"))
+    a, b = queries.select("query", tokens(F.col("query")).alias("a")).distinct(), index.select(F.col("query").alias("match"), tokens(F.col("query")).alias("b")).distinct()
+    counts = a.select(F.explode("a").alias("t")).union(b.select(F.explode("b"))).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(df: DataFrame, name: str, arr: str) -> DataFrame:
+        e = df.select(name, F.size(arr).alias("size"), F.explode(arr).alias("t")).join(counts, "t")
+        rank = F.row_number().over(Window.partitionBy(name).orderBy("n", "t"))
+        return e.withColumn("r", rank).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * least) + 1).select(name, "t")
+
+    pairs = prefixes(a, "query", "a").join(prefixes(b, "match", "b"), "t").select("query", "match").distinct()
+    j = pairs.join(a, "query").join(b, "match")
+    good = j.where(F.size(F.array_intersect("a", "b")) >= least * F.size(F.array_union("a", "b")))
+    return good.groupBy("query").agg(F.min("match").alias("match"))
