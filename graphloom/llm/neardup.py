@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph, textcore, work
+from . import bits, graph, textcore, work
 
 CELL = 256
 SKETCH_BITS = 1024
@@ -106,11 +106,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, hasher: Hasher, width: int) ->
     chance the join drops, so its fixed size costs time at most.
     """
     spark = docs.sparkSession
-    bits = 1 << min(24, max(16, (16 * wanted.count()).bit_length()))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    size = 1 << min(24, max(16, (16 * wanted.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     words = wanted.where("doc is not null").select(place(F.col("doc")).alias("h")).select(F.expr("h div 64").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("b"))
-    table = np.zeros(bits // 64, np.int64)
-    for w, b in words.groupBy("w").agg(F.bit_or("b")).collect():  # at most bits / 64 rows
+    table = np.zeros(size // 64, np.int64)
+    for w, b in words.groupBy("w").agg(F.bit_or("b")).collect():  # at most size / 64 rows
         table[w] = b
     sent = spark.sparkContext.broadcast(table)
 
@@ -134,34 +134,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, hasher: Hasher, width: int) ->
     return found.join(keep, (F.col("node") == F.col("node0")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "comp", "large", "sketch", "shingles")
 
 
-def bit_table(keys: DataFrame, most_bits: int = 28) -> np.ndarray:
-    """A bit table of the column `key`, 16 bits a key up to 2^most_bits (32 MB), put together from 8 KB blocks."""
-    bits = min(most_bits, max(16, (16 * keys.count()).bit_length()))
-    place = F.shiftrightunsigned(F.xxhash64("key"), 64 - bits)
-
-    def build(batches):
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            h = batch.column(0).to_numpy()
-            for b in np.unique(h >> 16).tolist():
-                np.put(blocks.setdefault(b, np.zeros(1 << 16, bool)), h[h >> 16 == b] & 0xFFFF, True)
-        if blocks:
-            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([np.packbits(x).tobytes() for x in blocks.values()], pa.binary())], ["b", "bits"])
-
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    rows = keys.select(place.alias("h")).repartition(n, F.shiftright("h", 16)).mapInArrow(build, "b long, bits binary")
-    for r in rows.toLocalIterator():
-        table[r.b << 13 : (r.b + 1) << 13] |= np.frombuffer(r.bits, np.uint8)
-    return table
-
-
 def _shared_keys(named: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, key) of keys that lie in a bucket of several nodes, and of few others that the bit table lets through: keys
     that no other node has, nearly all, stay out of the join."""
-    table = bit_table(buckets.select(F.col("key0").alias("key")))
+    table = bits.bit_table(buckets.select(F.col("key0").alias("key")))
     sent = named.sparkSession.sparkContext.broadcast(table)
-    bits = int(len(table)).bit_length() + 2
+    size = int(len(table)).bit_length() + 2
 
     def keep(batches):
         table = sent.value
@@ -171,7 +149,7 @@ def _shared_keys(named: DataFrame, buckets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(hit)).select([0, 1])
 
     keys = named.select("node", F.explode("keys").alias("key"))
-    return keys.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - bits)).mapInArrow(keep, "node long, key long")
+    return keys.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - size)).mapInArrow(keep, "node long, key long")
 
 
 class Cell:
@@ -373,14 +351,14 @@ def op1(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """documents without near-duplicates: one row of each group stays; columns as given.
 
-    Of rows that share the id of a group's first document one stays, the first by text.
+    Of rows that share the id of a group's first document those that repeat whole stay once.
     """
     key = work.fresh(documents, "kept_doc")
     found = near_duplicates(documents, id_col=id_col, **options)
-    kept = found.where("kept").groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("_copies"))
-    kept = work.saved(kept, "dup-kept")
-    out = documents.join(kept.select(key), F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
-    repeated = kept.where("_copies > 1").select(key)
+    each = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any"), F.count(F.when(F.col("kept"), 1)).alias("_copies"))
+    each = work.saved(each, "dup-kept")
+    out = bits.without(documents, id_col, each.where("not _any").select(key), key)
+    repeated = each.where("_copies > 1").select(key)
     if repeated.isEmpty():
         return out
     same = out.join(repeated, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi").dropDuplicates()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textcore, work
+from . import bits, textcore, work
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("x_length", "x_symbol", "x_repeat", "x_duplicate", "x_upper", "x_punct", "x_adjacent")
@@ -225,5 +225,5 @@ def keep(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
     an id goes only if all its rows are rejected."""
     found = verdicts(statistics(documents, id_col))
     key = work.fresh(documents, "kept_doc")
-    good = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
-    return documents.join(good, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi")
+    gone = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any")).where("not _any").select(key)
+    return bits.without(documents, id_col, work.saved(gone, "quality-gone"), key)
