@@ -9,14 +9,15 @@ letters beyond ASCII, length). With the network's state h before a token,
 
 where N_k and V_k are the tokens and distinct words of the class in training: each class keeps one share for unseen
 words, as the base score does for all of them. Weights are fitted in numpy by truncated backpropagation through time on
-a fixed fraction of the training documents (by hash), by local steps on each partition and averaging between rounds, so
-the fit grows with the corpus. Scoring carries the state across windows to a document's end; nothing is cut off.
+all training documents: each is learned from once, in one of the rounds (by hash), by local steps of each trainer and
+averaging between rounds, so the fit grows with the corpus. Scoring carries the state across windows to a document's end; nothing is cut off.
 
 Counts of tail words are joined as a distributed table. Broadcast: the network (about 1 MB) and the `cached` most
 frequent counts. Token hashes are 64-bit (the low bits name the tail class).
 
 Defined cases: null and empty texts are an end token alone; null ids never train and are scored as seen; an empty
-training set gives every document the base score as its score; rows with equal ids are scored each.
+training set, or one that fits nothing, gives every document the base score as its score; rows with equal ids are
+scored each.
 """
 
 from __future__ import annotations
@@ -202,7 +203,9 @@ class Network:
             if reset[t].any():
                 dh = np.where(reset[t][:, None], F32(0), dh)
         flat_dx = dx.reshape(-1, 3 * d)
-        np.add.at(g["x"], idx.ravel(), flat_dx)
+        order = np.argsort(idx, axis=None, kind="stable")
+        inputs, first = np.unique(idx.ravel()[order], return_index=True)
+        g["x"][inputs] += np.add.reduceat(flat_dx[order], first)
         g["b"] += flat_dx.sum(axis=0)
         return flat, after, float(loss)
 
@@ -306,20 +309,11 @@ def counts_of(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
     return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def _order_head(head: np.ndarray, sample: list[np.ndarray], groups: int = 12, anchors: int = 128) -> np.ndarray:
+def _order_head(seen: np.ndarray, groups: int = 12) -> np.ndarray:
     """Order of the head words that puts words of like documents together: k-means of co-occurrence with the first words.
-    head: hashes, most frequent first."""
-    n = len(head)
-    order = np.argsort(head)
-    seen = np.zeros((n, min(anchors, n)))
-    for h in sample:
-        h = np.unique(h)
-        at = np.minimum(np.searchsorted(head[order], h), n - 1)
-        w = order[at[head[order][at] == h]]
-        a = w[w < seen.shape[1]]
-        seen[np.ix_(w, a)] += 1
-    seen /= np.maximum(seen.sum(axis=1, keepdims=True), 1)
-    seen = np.sqrt(seen)
+    seen: documents that hold each head word (most frequent first) beside each of the first ones."""
+    n = len(seen)
+    seen = np.sqrt(seen / np.maximum(seen.sum(axis=1, keepdims=True), 1))
     centre = seen[np.linspace(0, n - 1, min(groups, n)).astype(int)].copy()
     for _ in range(15):
         near = np.argmin(((seen[:, None, :] - centre[None]) ** 2).sum(-1), axis=1)
@@ -329,14 +323,61 @@ def _order_head(head: np.ndarray, sample: list[np.ndarray], groups: int = 12, an
     return np.lexsort((np.arange(n), near))
 
 
-def vocabulary(counts: DataFrame, sample: list[np.ndarray], *, classes: int, members: int, cached: int) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary, and the training count of each head number."""
-    top = counts.orderBy(F.desc("c"), "h").limit(cached).collect()
-    h, c = np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64)
-    n = min(len(h), classes * members)
-    order = _order_head(h[:n], sample) if n else np.zeros(0, np.int64)
-    index = np.empty(n, np.int64)
-    index[order] = np.arange(n)
+def coded(docs: DataFrame, head: np.ndarray, heads: int) -> DataFrame:
+    """(doc_id, n, w) of docs(doc_id, text): tokens, and their codes: a head word's place in `head`, or `heads` + tail class."""
+    order = np.argsort(head)
+    sent = docs.sparkSession.sparkContext.broadcast((head[order], order))
+    kind = _code(heads)
+
+    def run(batches):
+        known, place = sent.value
+        for batch in batches:
+            for part in textcore.slices(batch, 1):
+                h, n = token_hashes(part.column(1))
+                code = (h & (TAILS - 1)) + heads
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit = known[at] == h
+                    code[hit] = place[at[hit]]
+                off = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
+                w = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(code.astype(kind))])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), w], ["doc_id", "n", "w"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, w binary")
+
+
+def _code(heads: int) -> np.dtype:
+    return np.dtype("<u2" if heads + TAILS <= 1 << 16 else "<i4")
+
+
+def co_occurrence(rows: DataFrame, n: int, heads: int, anchors: int = 128) -> np.ndarray:
+    """Documents of rows(w) that hold head word i (row) and one of the first words j (column), over all rows."""
+    anchors, kind = min(anchors, n), _code(heads)
+
+    def count(batches):
+        total = np.zeros((n, anchors), np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a in range(0, len(texts), 256):
+                some = texts[a : a + 256]
+                code = np.frombuffer(b"".join(some), kind).astype(np.int64)
+                doc = np.repeat(np.arange(len(some)), [len(x) // kind.itemsize for x in some])
+                holds = np.zeros((len(some), n), F32)
+                holds[doc[code < n], code[code < n]] = 1
+                total += (holds.T @ holds[:, :anchors]).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["pair", "c"])
+
+    sums = rows.select("w").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most n * anchors rows
+    out = np.zeros(n * anchors)
+    out[sums["pair"].to_numpy()] = sums["c"].to_numpy()
+    return out.reshape(n, anchors)
+
+
+def vocabulary(counts: DataFrame, h: np.ndarray, c: np.ndarray, index: np.ndarray, *, classes: int, members: int) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary, and the training count of each input number; h, c: the most frequent words and their counts,
+    index: numbers of the head words, which are the first of them."""
+    n = len(index)
     by = np.argsort(h[:n])
     number_counts = np.zeros(classes * members)
     number_counts[index] = c[:n]
@@ -355,76 +396,74 @@ def fold_of(col: str, folds: int) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % folds
 
 
-def score(documents: DataFrame, *, folds: int = 7, held_out: int = 2, classes: int = 32, members: int = 64, hidden: int = 32, cached: int = 65536, fraction: int = 32, rounds: int = 2, tokens_each: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, *, folds: int = 7, held_out: int = 2, classes: int = 32, members: int = 64, hidden: int = 32, cached: int = 65536, fraction: int = 1, rounds: int = 2, tokens_each: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    `fraction`: one in so many training documents (by hash) fits the network; `tokens_each`: about so many tokens a
-    trainer, so the number of trainers follows the corpus.
+    `fraction`: one in so many training documents (by hash) fits the network, all of them unless asked otherwise;
+    `rounds`: parts they are learned in, with averaging between; `tokens_each`: about so many tokens a trainer, so the
+    number of trainers follows the corpus.
     """
     spark = documents.sparkSession
     work.ship(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     train = docs.where(fold_of("doc_id", folds) != held_out)
     counts = work.saved(counts_of(train), "lm-counts")
-
-    def hashes(batches):
-        for batch in batches:
-            for part in textcore.slices(batch, 0):
-                h, n = token_hashes(part.column(0))
-                off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off), pa.array(h))], ["h"])
-
-    picked = train.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(fraction)) == 0)
-    sample = work.saved(picked.select("text").mapInArrow(hashes, "h array<long>"), "lm-sample")
-    few, held = [], 0
-    for (h,) in sample.limit(2000).toLocalIterator():  # bounded: only to order the head words
-        few.append(np.array(h, np.int64))
-        held += len(h)
-        if held > 2_000_000:
-            break
-    vocab, number_counts = vocabulary(counts, few, classes=classes, members=members, cached=cached)
-    heads = number_counts[: classes * members].reshape(classes, members)
-    class_counts = np.concatenate([heads.sum(axis=1), number_counts[classes * members :]])
+    top = counts.orderBy(F.desc("c"), "h").limit(cached).collect()
+    h, c = np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64)
+    heads, n = classes * members, min(len(h), classes * members)
+    picked = train.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(fraction)) == 0) if fraction > 1 else train
+    rows = work.saved(coded(picked, h[:n], heads), "lm-coded")
+    index = np.empty(n, np.int64)
+    if n:
+        every = rows if fraction == 1 else coded(train, h[:n], heads)
+        index[_order_head(co_occurrence(every, n, heads))] = np.arange(n)
+    vocab, number_counts = vocabulary(counts, h, c, index, classes=classes, members=members)
+    head_counts = number_counts[:heads].reshape(classes, members)
+    class_counts = np.concatenate([head_counts.sum(axis=1), number_counts[heads:]])
     net = Network(vocab.inputs(), classes, members, hidden)
-    net.start(np.log(class_counts + 1), np.log(heads + 0.1))
-    sent_vocab = spark.sparkContext.broadcast(vocab)
-    fitted = sample.agg(F.sum(F.size("h"))).first()[0] or 0
-    if fitted and vocab.total:
-        trainers = max(1, round(fitted / tokens_each))
-        dealt = work.saved(sample.repartition(trainers), "lm-dealt")
-        dealt = dealt.repartitionById(trainers, F.expr(f"cast(pmod(xxhash64(h), {trainers}) as int)"))
+    net.start(np.log(class_counts + 1), np.log(head_counts + 0.1))
+    fitted = rows.agg(F.sum("n")).first()[0] or 0
+    if fitted:
+        trainers = max(1, round(fitted / rounds / tokens_each))
+        number = np.concatenate([index, np.arange(n, heads + TAILS)])
+        key = F.xxhash64(F.lit(5), "doc_id", "w")
+        dealt = rows.select("doc_id", "w", F.pmod(key, F.lit(rounds)).alias("part"), F.expr(f"cast(pmod(xxhash64(6, doc_id, w), {trainers}) as int)").alias("trainer"))
         for done in range(rounds):
-            net = _round(spark, dealt, net, sent_vocab, done)
-    return _scored(docs, counts, vocab, net, folds, held_out)
+            net = _round(spark, dealt.where(F.col("part") == done).drop("part"), trainers, net, number, _code(heads), done)
+    return _scored(docs, counts, vocab, net if fitted else None, folds, held_out)
 
 
-def _round(spark, dealt: DataFrame, net: Network, sent_vocab, done: int) -> Network:
+def _round(spark, dealt: DataFrame, trainers: int, net: Network, number: np.ndarray, kind: np.dtype, done: int) -> Network:
+    """The mean of the trainers' networks, each after its own documents of dealt(doc_id, w, trainer)."""
     shape = (net.shapes["x"][0], net.classes, net.members, net.hidden)
-    sent = spark.sparkContext.broadcast(net.flat)
+    sent = spark.sparkContext.broadcast((net.flat, number))
 
     def fit(batches):
-        vocab = sent_vocab.value
-        idx, n = [], []
+        rows = []
         for batch in batches:
-            col = batch.column(0)
-            idx.append(vocab.index(col.flatten().to_numpy()).astype(np.int32))
-            n.append(np.diff(col.offsets.to_numpy()))
-        if not idx or not sum(map(len, idx)):
+            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        if not rows:
             return
-        idx, n = np.concatenate(idx), np.concatenate(n)
-        off = np.concatenate([[0], np.cumsum(n)])
-        local = train_local(Network(*shape, flat=sent.value), idx, off, done=done)
-        yield pa.RecordBatch.from_arrays([pa.array([len(idx)], pa.int64()), pa.array([local.flat.tobytes()], pa.binary())], ["n", "w"])
-
+        rows.sort()  # so that reruns take the same steps
+        flat, number = sent.value
+        idx = number[np.frombuffer(b"".join(r[1] for r in rows), kind)]
+        off = np.concatenate([[0], np.cumsum([len(r[1]) // kind.itemsize for r in rows])])
+        local = train_local(Network(*shape, flat=flat), idx, off, done=done)
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][2]], pa.int32()), pa.array([len(idx)], pa.int64()), pa.array([local.flat.tobytes()], pa.binary())], ["trainer", "n", "w"])
+
+    each = dealt.repartitionById(trainers, F.col("trainer")).mapInArrow(fit, "trainer int, n long, w binary")
     total, weight = np.zeros(len(net.flat)), 0
-    for r in dealt.mapInArrow(fit, "n long, w binary").toLocalIterator():  # one trainer's weights at a time
+    # written first: trainers run side by side, and one trainer's weights at a time reach the driver
+    for r in work.saved(each, "lm-weights").orderBy("trainer").toLocalIterator():
         total += np.frombuffer(r.w, F32) * float(r.n)
         weight += r.n
     return Network(*shape, flat=(total / weight).astype(F32)) if weight else net
 
 
-def _scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network, folds: int, held_out: int, buffer: int = 1_500_000) -> DataFrame:
+def _scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network | None, folds: int, held_out: int, buffer: int = 1_500_000) -> DataFrame:
     spark = docs.sparkSession
+    fitted = net is not None
+    net = net or Network(vocab.inputs(), vocab.classes, vocab.members, 1)
     shape = (net.shapes["x"][0], net.classes, net.members, net.hidden)
     sent, sent_vocab = spark.sparkContext.broadcast(net.flat), spark.sparkContext.broadcast(vocab)
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, sure double, net double, tail array<long>"
@@ -478,7 +517,7 @@ def _scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network,
     out = rows.drop("tail").join(sums.withColumnRenamed("rid", "rid0"), F.col("rid") == F.col("rid0"), "left")
     rest, found = F.coalesce("l", F.lit(0.0)), F.coalesce("k", F.lit(0))
     base = F.col("sure") + rest - F.col("n_tokens") * F.lit(float(np.log10(vocab.total + vocab.distinct + 1)))
-    full = F.col("net") + rest if vocab.total else base
+    full = F.col("net") + rest if fitted else base
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + found).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 
 from graphloom.llm import bitplane, decontaminate, htmltext, licenses, lm, mixing, neardup, quality, queries, sentences, toxicity
@@ -147,6 +148,27 @@ def test_language_model(docs):
         assert abs(g.base_score - base) < 1e-6 * max(1, abs(base)) and g.score < 0
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    docs = spark.createDataFrame([(i, f"a{i % 3} b{i % 3} c{i % 3} " * 300) for i in ids], "doc_id long, text string")
+    mix = docs.selectExpr("doc_id", "text", "pmod(xxhash64(4, doc_id), 32) as k").where("k != 0").drop("k").limit(40)
+    kept = spark.createDataFrame(mix.collect(), mix.schema)  # none of them is the one document in 32
+    learned = lm.score(kept, classes=4, members=4).collect()
+    assert all(r.score / r.n_tokens > r.base_score / r.n_tokens + 0.3 for r in learned)  # the next word follows from the last one
+    assert sorted(learned) == sorted(lm.score(kept, classes=4, members=4).collect())
+    unfitted = lm.score(kept, classes=4, members=4, fraction=1 << 60).collect()
+    assert all(r.score == r.base_score for r in unfitted)
+
+
+def test_co_occurrence_counts_every_row(spark):
+    rows = [("a b",), ("a a c",), ("",), ("b a d",)] * 700  # more rows and tokens than any sample of 2,000 rows
+    train = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string")
+    h = lm.counts_of(train).orderBy("h").toPandas()
+    got = lm.co_occurrence(lm.coded(train, h.h.to_numpy(), 8), len(h), 8)
+    of = {w: int((h.h == int(lm.token_hashes(pa.array([w]))[0][0])).argmax()) for w in "abcd"}
+    assert [got[of["a"], of[w]] for w in "abcd"] == [2100, 1400, 700, 700] and got[of["b"], of["d"]] == 700 and got[of["c"], of["d"]] == 0
+
+
 def test_spans(spark):
     passage = "The quick one ran over the hill today. It saw a very large cat there. Then it went back home to sleep."
     rows = [(2, f"Alpha beta. {passage} Gamma delta."), (1, f"Other words here. {passage}"), (3, "Nothing shared in this text. At all."), (4, None), (5, f"{passage} {passage}")]
