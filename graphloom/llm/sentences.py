@@ -1,15 +1,16 @@
 """Substring dedup by sliding sentence spans (operator 3).
 
 Texts are cut into sentences (a word that ends in . ! or ?, closing quotes and brackets aside, ends one, and so does a
-line break). From every sentence starts a span: the shortest run of at least `run` consecutive sentences that holds at
-least `least_words` words. Spans are hashed on lower-cased words, grouped globally, and every sentence that a span
+line break). A span is a run of at least `run` consecutive sentences and `least_words` words, or of any number of
+sentences (one will do) with `short_words` words. The shortest span from every sentence on and the shortest one up to
+every sentence are taken, so every sentence of a repeated run that is long enough lies in one of them inside the run:
+if the span from it on would leave the run, the one up to the run's end begins before it. Spans are hashed on lower-cased words, grouped globally, and every sentence that a span
 covers which occurred before (in a document of smaller id, or earlier in the same document) is removed.
 
 Hot passages: a span's occurrences are only counted and minimised (partial sums before the shuffle), never gathered;
 the join that marks repeats has one row on its other side a span, and adaptive execution splits its hot keys.
 
-Defined cases: null and empty texts have no sentences; a text with fewer than `run` sentences or too few words has no
-span; rows that share an id are one document (none removes the other); null ids come last, and among them the rule of
+Defined cases: null and empty texts have no sentences; a text with too few words has no span; rows that share an id are one document (none removes the other); null ids come last, and among them the rule of
 one document holds; other columns are left as they are.
 """
 
@@ -49,26 +50,30 @@ def segment(w: textcore.Words) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(starts, w.first)
 
 
-def spans(w: textcore.Words, run: int, least_words: int) -> tuple[np.ndarray, ...]:
+def spans(w: textcore.Words, run: int, least_words: int, short_words: int) -> tuple[np.ndarray, ...]:
     """(document, first sentence in it, sentences, hash) of every span."""
     starts, first = segment(w)
     n = len(starts) - 1
-    if n < run:
+    if not n:
         return (np.zeros(0, np.int64),) * 4
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     sums = np.zeros(len(w) + 1, np.uint64)
     # a polynomial over word hashes: spans of any length compare by one subtraction and one product
     np.cumsum(textcore.mix(w.hashes()) * textcore._powers("r", textcore._R, len(w)), out=sums[1:])
-    s = np.arange(n)
-    e = np.maximum(s + run, np.searchsorted(starts, starts[:-1] + least_words, "left"))
-    fits = e <= first[doc + 1]
-    s, e, doc = s[fits], e[fits], doc[fits]
+    k = np.arange(n)
+    after = [np.maximum(k + m, np.searchsorted(starts, starts[:-1] + words, "left")) for m, words in ((run, least_words), (1, short_words))]
+    before = [np.minimum(k + 1 - m, np.searchsorted(starts, starts[1:] - words, "right") - 1) for m, words in ((run, least_words), (1, short_words))]
+    end, begin = np.minimum(*after), np.maximum(*before)
+    on, up = end <= first[doc + 1], begin >= first[doc]
+    code = np.unique(np.concatenate([k[on] * (n + 1) + end[on], begin[up] * (n + 1) + k[up] + 1]))
+    s, e = code // (n + 1), code % (n + 1)
+    doc = doc[s]
     a, b = starts[s], starts[e]
     h = textcore.mix((sums[b] - sums[a]) * textcore._powers("i", textcore._RINV, len(w) + 1)[a] + (b - a).astype(np.uint64))
     return doc, s - first[doc], e - s, h.view(np.int64)
 
 
-def repeats(documents: DataFrame, *, run: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(documents: DataFrame, *, run: int = 3, least_words: int = 20, short_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first, sentences): every span occurrence that isn't the span's first."""
     work.ship(documents.sparkSession)
     docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
@@ -76,7 +81,7 @@ def repeats(documents: DataFrame, *, run: int = 3, least_words: int = 20, id_col
     def find(batches):
         for batch in batches:
             for part in textcore.slices(batch, 1):
-                doc, first, size, h = spans(textcore.Words(part.column(1), lower=True), run, least_words)
+                doc, first, size, h = spans(textcore.Words(part.column(1), lower=True), run, least_words, short_words)
                 # the n-th occurrence of a span inside its own document
                 order = np.lexsort((first, h, doc))
                 again = np.zeros(len(h), bool)
@@ -95,9 +100,9 @@ def covered(found: DataFrame) -> DataFrame:
     return each.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("removed"))  # bounded by the document's length
 
 
-def cut(documents: DataFrame, *, run: int = 3, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cut(documents: DataFrame, *, run: int = 3, least_words: int = 20, short_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, n_words, words_removed, kept text) of every row."""
-    removed = work.saved(covered(repeats(documents, run=run, least_words=least_words, id_col=id_col, text_col=text_col)), "span-removed")
+    removed = work.saved(covered(repeats(documents, run=run, least_words=least_words, short_words=short_words, id_col=id_col, text_col=text_col)), "span-removed")
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc0"))
     joined = docs.join(removed, F.col("doc0") == F.col("doc"), "left").select("doc_id", "text", "removed")
 

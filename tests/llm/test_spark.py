@@ -177,6 +177,20 @@ def test_spans(spark):
     assert got[2].text == "Alpha beta. Gamma delta." and got[4].text is None and got[5].text == ""
 
 
+def test_spans_of_few_sentences_and_tails(spark):
+    long = " ".join(f"w{k}" for k in range(55)) + "."
+    two = " ".join(f"u{k}" for k in range(28)) + ". " + " ".join(f"v{k}" for k in range(26)) + "."
+    bare = " ".join(f"x{k}" for k in range(60))  # no stop
+    tail = " ".join(f"y{k}" for k in range(20)) + ". Aa b. Cc d. Ee f. Gg h."
+    loose = "end of one. " + " ".join(f"p{k}" for k in range(12)) + ". " + " ".join(f"q{k}" for k in range(12)) + ". begin"  # two whole sentences only
+    passages = [long, two, f"\n{bare}\n", tail, loose]
+    rows = [(10 * k + j, f"Here is text {k} of {j}. Some {j} {p} other {j} words.") for k, p in enumerate(passages) for j in range(2)]
+    rows = [(i, t.replace("Some 0 ", "Some 0. ").replace("Some 1 ", "Some 1. ")) if i // 10 != 4 else (i, t) for i, t in rows]
+    got = {r.doc_id: r for r in sentences.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[10 * k].n_removed for k in range(5)] == [0] * 5
+    assert [got[10 * k + 1].n_removed for k in range(5)] == [1, 2, 1, 5, 2]
+
+
 def test_tokens(spark, docs):
     from tokenizers import Tokenizer
 
