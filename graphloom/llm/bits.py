@@ -26,7 +26,7 @@ def bit_table(keys: DataFrame, most_bits: int = 28) -> np.ndarray:
 
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = np.zeros(1 << (bits - 3), np.uint8)
-    rows = keys.select(place.alias("h")).repartition(n, F.shiftright("h", 16)).mapInArrow(build, "b long, bits binary")
+    rows = work.map_arrow(keys.select(place.alias("h")).repartition(n, F.shiftright("h", 16)), build, "b long, bits binary")
     for r in rows.toLocalIterator():
         table[r.b << 13 : (r.b + 1) << 13] |= np.frombuffer(r.bits, np.uint8)
     return table
@@ -45,17 +45,23 @@ def may_hold(column: Column, table: np.ndarray, spark) -> Column:
     return look(F.shiftrightunsigned(F.xxhash64(column), 64 - size))
 
 
-def without(documents: DataFrame, id_col: str, gone: DataFrame, key: str) -> DataFrame:
-    """documents without the rows whose id is in gone(key), a saved table; columns as given.
+def without(documents: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """documents without the rows whose keys are in gone, a saved table with one column a key; columns as given. Null keys
+    equal each other.
 
-    Only rows that the bit table of those ids lets through meet the anti-join, so the texts of the others, most of them,
+    Only rows that the bit table of those keys lets through meet the anti-join, so the texts of the others, most of them,
     are never shuffled. A table too full to tell costs a shuffle and nothing else.
     """
     spark = documents.sparkSession
     work.ship(spark)
     flag = work.fresh(documents, "may_go")
-    table = bit_table(gone.select(F.col(key).alias("key")))
-    marked = documents.withColumn(flag, may_hold(F.col(id_col).cast("long"), table, spark))
+    names = [work.fresh(documents, f"gone_{k}") for k in range(len(keys))]
+    gone = gone.toDF(*names)
+    table = bit_table(gone.select(F.xxhash64(*names).alias("key")))
+    marked = documents.withColumn(flag, may_hold(F.xxhash64(*keys), table, spark))
     stay = marked.where(~F.col(flag)).select(documents.columns)
     rest = marked.where(F.col(flag)).select(documents.columns)
-    return stay.unionByName(rest.join(gone.select(key), F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti"))
+    match = keys[0].eqNullSafe(F.col(names[0]))
+    for key, name in zip(keys[1:], names[1:], strict=True):
+        match &= key.eqNullSafe(F.col(name))
+    return stay.unionByName(rest.join(gone, match, "left_anti"))

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from . import work
 
 
-def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, what: str = "cc") -> DataFrame:
     """edges(a, b) of one comparable type -> (node, comp), comp the smallest node reachable. Nodes without edges are absent.
 
     Contraction by smallest neighbours: each round every node takes the smallest label next to it, labels are
-    followed twice (pointer jumping), and edges are rewritten between labels; edges inside one label vanish, so the
-    table shrinks by at least half of its nodes each round. Null ends are dropped; repeated edges and loops do no harm.
+    followed twice (pointer jumping), and edges are rewritten between labels; edges inside one label vanish. Rounds go on
+    until no edge is left: where names are hashes each round leaves a fraction of the nodes; a path whose names rise along
+    it would lose three nodes a round only. Null ends are dropped; repeated edges and loops do no harm.
     """
     edges = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = work.saved(nodes.select("node", F.col("node").alias("comp")), f"{what}-labels")
     live = work.saved(_tidy(edges), f"{what}-edges")
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    labels0, live0 = labels, live
+    while not live.isEmpty():
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n0"), F.least("a", "m").alias("m"))
         least = work.saved(least, f"{what}-least")
@@ -30,11 +30,16 @@ def components(edges: DataFrame, what: str = "cc", max_rounds: int = 60) -> Data
         hop = hop.join(two, F.col("m") == F.col("n2"), "left").select(F.col("n0").alias("old"), F.coalesce("m2", "m").alias("new"))
         hop = work.saved(hop, f"{what}-hop")
         labels = labels.join(hop, labels.comp == hop.old, "left").select("node", F.coalesce("new", "comp").alias("comp"))
-        labels = work.saved(labels, f"{what}-labels")
+        before, labels = labels0, work.saved(labels, f"{what}-labels")
+        work.discard(before)
+        labels0 = labels
         ha, hb = hop.select(F.col("old").alias("oa"), F.col("new").alias("na")), hop.select(F.col("old").alias("ob"), F.col("new").alias("nb"))
         live = live.join(ha, live.a == F.col("oa"), "left").join(hb, live.b == F.col("ob"), "left")
         live = live.select(F.coalesce("na", "a").alias("a"), F.coalesce("nb", "b").alias("b"))
-        live = work.saved(_tidy(live), f"{what}-edges")
+        before, live = live0, work.saved(_tidy(live), f"{what}-edges")
+        work.discard(before, least, hop)
+        live0 = live
+    work.discard(live)
     return labels
 
 

@@ -4,10 +4,14 @@ The standard library's parser streams events; block boundaries cut the page into
 of tags and its place in the element tree. Text-to-tag ratios along the page are smoothed with a Gaussian kernel and
 split by a two-means threshold; the lines above it vote with their length for the elements that hold them, and the
 deepest element that holds most of the vote is the content region (an article or main element where one qualifies).
-Every line of the region that is not furniture (by element, role or class) belongs to the text.
+Every line of the region that is not furniture belongs to the text, and without such an element every long line above the
+threshold beside it. Furniture is told by element and role, and by class names and ids, which give way where they would
+take the page's heading with most of its text.
 
 Defined cases: null, empty and text-less pages give an empty text; unclosed, misnested and cut-off markup is read as
-far as it goes; references without a semicolon are decoded as browsers do.
+far as it goes; a head without an end tag ends at the first element of the body, and an element such as svg or noscript
+that is never closed does not silence the page; marked sections are passed over; references without a semicolon are
+decoded as browsers do; equal rows give equal texts.
 """
 
 from __future__ import annotations
@@ -33,21 +37,32 @@ MARKS = frozenset(
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login search widget widgets popup modal overlay pagination pager toolbar skip skiplink copyright disclaimer".split()
 )
+#: Words in a class name or id that tell a state or a layout and not what the element is (fixed values).
+STATES = frozenset("has no not is with without hide show hides shows enable enabled disabled open opened closed on off active inactive allow allowed layout results result page single template theme wp logged".split())
+#: What a page's head may hold; any other element ends an unclosed head.
+IN_HEAD = frozenset("title meta link style script base noscript template head html".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _marked(value: str) -> bool:
-    return any(part.lower() in MARKS for part in _PARTS.findall(value)) or "sidebar" in value.lower()
+    """Whether a word of a class attribute or id names furniture: one of its parts does and none tells a state."""
+    for name in value.split():
+        parts = [part.lower() for part in _PARTS.findall(name)]
+        if (any(part in MARKS for part in parts) or "sidebar" in name.lower()) and not any(part in STATES for part in parts):
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines. Elements are numbered; parent[e] and name[e] keep the tree of block elements."""
+    """Cuts a page into lines. Elements are numbered; parent[e] and name[e] keep the tree of block elements, hard[e] and
+    soft[e] tell which are furniture by what they are, and which by a class name or id only."""
 
-    def __init__(self):
+    def __init__(self, silent: frozenset[str] = SILENT):
         super().__init__(convert_charrefs=True)
-        self.parent, self.name, self.bad = [-1], ["#page"], [False]
+        self.silent = silent
+        self.parent, self.name, self.hard, self.soft = [-1], ["#page"], [False], [False]
         self.stack = [0]
         self.quiet: list[str] = []
         self.text: list[str] = []
@@ -55,7 +70,12 @@ class _Lines(HTMLParser):
         self.in_link = False
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, linked characters, element
 
-    def _cut(self) -> None:
+    def parse_marked_section(self, i, report=1):
+        """Sections such as <![if x]> and <![endif]> are passed over."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+    def cut(self) -> None:
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
@@ -65,62 +85,46 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if self.quiet == ["head"] and tag not in IN_HEAD:
+            self.quiet.clear()
         if self.quiet:
-            if tag == self.quiet[-1] and tag not in VOID:
+            if tag == self.quiet[-1] and tag not in VOID or tag in self.silent and self.quiet[-1] == "head" and tag not in VOID:
                 self.quiet.append(tag)
             return
-        if tag in SILENT:
+        if tag in self.silent:
             if tag in BLOCK:
-                self._cut()
+                self.cut()
             self.quiet.append(tag)
             return
         if tag == "body" and len(self.stack) > 1:
-            self._cut()
+            self.cut()
         if tag == "br":
             self.text.append(" ")
             return
         if tag == "a":
             self.in_link = True
-        bad = tag in FURNITURE
-        if attrs and not bad:
-            for key, value in attrs:
-                if key == "hidden" or value and (key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES or key == "style" and _HIDDEN.search(value)):
-                    bad = True
-                elif value and key in ("class", "id") and tag not in ("html", "body", "main", "article") and _marked(value):
-                    bad = True
+        hard, soft = tag in FURNITURE or tag == "header", False
+        for key, value in attrs:
+            if key == "hidden" or value and (key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES or key == "style" and _HIDDEN.search(value)):
+                hard = True
+            elif value and key in ("class", "id") and tag not in ("html", "body", "main", "article") and _marked(value):
+                soft = True
         if tag not in BLOCK:
-            if tag in VOID or not bad:
+            if tag in VOID or not (hard or soft):
                 return
         else:
-            self._cut()
+            self.cut()
             if tag in VOID:
                 return
             top = self.name[self.stack[-1]]
             if top == "p" or tag == top and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 self.stack.pop()
-        e = self.stack[-1]
-        if tag == "header":
-            bad = True
-        self.parent.append(e)
+        self.parent.append(self.stack[-1])
         self.name.append(tag)
-        self.bad.append(self.bad[e] and not (tag in HEADING and self._article_header(e)) or bad)
+        self.hard.append(hard)
+        self.soft.append(soft)
         self.stack.append(len(self.parent) - 1)
 
-    def _article_header(self, e: int) -> bool:
-        """Whether e is a header inside an article: its headings are the article's own."""
-        while self.name[e] not in ("header", "#page"):
-            e = self.parent[e]
-        if self.name[e] == "#page":
-            return False
-        up = self.parent[e]
-        if self.bad[up]:
-            return False
-        while up > 0:
-            if self.name[up] in ("article", "main"):
-                return True
-            up = self.parent[up]
-        return False
-
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK:
@@ -137,11 +141,11 @@ class _Lines(HTMLParser):
         if tag == "a":
             self.in_link = False
         if tag in BLOCK:
-            self._cut()
+            self.cut()
         names = self.name
         for k in range(len(self.stack) - 1, 0, -1):
             if names[self.stack[k]] == tag:
-                self._cut()
+                self.cut()
                 del self.stack[k:]
                 break
             if names[self.stack[k]] in ("article", "main", "body") and tag not in ("html", "body", "main"):
@@ -153,6 +157,50 @@ class _Lines(HTMLParser):
             if self.in_link:
                 self.linked += len(data)
 
+    def votes(self, weights: list[float]) -> list[float]:
+        """The weights of the lines in each element and below it."""
+        out = [0.0] * len(self.parent)
+        for line, w in zip(self.lines, weights, strict=True):
+            out[line[3]] += w
+        for e in range(len(out) - 1, 0, -1):  # children have larger numbers than their parents
+            out[self.parent[e]] += out[e]
+        return out
+
+    def furniture(self, soft: list[bool]) -> list[bool]:
+        """Which elements are furniture or inside it; the headings of an article's own header aren't."""
+        bad = [False] * len(self.parent)
+        for e in range(1, len(bad)):
+            up = self.parent[e]
+            bad[e] = self.hard[e] or soft[e] or bad[up] and not (self.name[e] in HEADING and self._article_header(up, bad))
+        return bad
+
+    def _article_header(self, e: int, bad: list[bool]) -> bool:
+        while self.name[e] not in ("header", "#page"):
+            e = self.parent[e]
+        if self.name[e] == "#page" or bad[self.parent[e]]:
+            return False
+        e = self.parent[e]
+        while e > 0:
+            if self.name[e] in ("article", "main"):
+                return True
+            e = self.parent[e]
+        return False
+
+
+def _parsed(html: str) -> _Lines:
+    """The page's lines. An element that is read in silence and never closed would silence the rest of the page, so the
+    page is read again without passing over such elements (scripts and styles end a page in browsers too)."""
+    silent = SILENT
+    while True:
+        p = _Lines(silent)
+        p.feed(html)
+        p.close()
+        p.cut()
+        unclosed = set(p.quiet) & silent - {"script", "style"}
+        if not unclosed:
+            return p
+        silent -= unclosed
+
 
 def two_means(x: np.ndarray, rounds: int = 20) -> float:
     """The threshold halfway between the centres of two clusters of x; below all of x if it has one value."""
@@ -183,50 +231,44 @@ def extract(html: str | None, sigma: float = 1.0, most: float = 0.7) -> str:
     """The main text: blocks joined by an empty line, white space inside a block turned into single spaces."""
     if not html:
         return ""
-    p = _Lines()
-    try:
-        p.feed(html)
-        p.close()
-    except AssertionError:  # the standard parser's own check on some malformed declarations
-        pass
-    p._cut()
-    lines = [x for x in p.lines if not p.bad[x[3]]]
+    p = _parsed(html)
+    # A class name doesn't make furniture of what holds the page's heading and most of its text outside plain furniture.
+    plain = p.furniture([False] * len(p.soft))
+    open_ = [0.0 if plain[x[3]] else float(len(x[0]) - x[2]) for x in p.lines]
+    holds, headed = p.votes(open_), [False] * len(p.parent)
+    for e, name in enumerate(p.name):
+        if name in ("h1", "main") and not plain[e]:
+            while e >= 0 and not headed[e]:
+                headed[e] = True
+                e = p.parent[e]
+    soft = [s and not (headed[e] and 2 * holds[e] > holds[0]) for e, s in enumerate(p.soft)]
+    bad = p.furniture(soft)
+    if all(bad[x[3]] for x in p.lines):
+        bad = plain
+    lines = [x for x in p.lines if not bad[x[3]]]
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     ratio = np.log1p((size - [x[2] for x in lines]) / np.maximum(1, [x[1] for x in lines]))
     smooth = smoothed(ratio, sigma)
     content = smooth > two_means(smooth)
-    vote: dict[int, float] = {}
-    for k, x in enumerate(lines):
-        if content[k]:
-            e = x[3]
-            while e >= 0:
-                vote[e] = vote.get(e, 0.0) + size[k]
-                e = p.parent[e]
-    total = vote.get(0, 0.0)
-    region = 0
-    named = [e for e in vote if p.name[e] in ("article", "main") and vote[e] >= 0.5 * total]
+    p.lines = lines
+    vote = p.votes((size * content).tolist())
+    total, region = vote[0], 0
+    named = [e for e in range(len(vote)) if vote[e] > 0 and p.name[e] in ("article", "main") and vote[e] >= 0.5 * total]
     if named:
         region = max(named, key=lambda e: (p.name[e] == "article", vote[e], e))
     else:
-        holds = [e for e in vote if vote[e] >= most * total and p.name[e] not in ("p", *HEADING)]
-        region = max(holds, default=0)  # children have larger numbers than their parents
-    inside: dict[int, bool] = {region: True, -1: False}
-
-    def within(e: int) -> bool:
-        path = []
-        while e not in inside:
-            path.append(e)
-            e = p.parent[e]
-        for q in path:
-            inside[q] = inside[e]
-        return inside[e]
-
+        region = max((e for e in range(len(vote)) if vote[e] >= most * total and p.name[e] not in ("p", *HEADING)), default=0)
+    inside = [False] * len(p.parent)
+    for e in range(region, len(inside)):
+        inside[e] = e == region or inside[p.parent[e]]
     out = []
     for k, x in enumerate(lines):
         menu = not content[k] and x[2] >= 0.9 * len(x[0]) and p.name[x[3]] in ("li", "ul", "ol", "td") and not named
-        if within(x[3]) and not menu:
+        # without an article element, long runs of plain text beside the region are content too
+        beside = not named and content[k] and 4 * x[2] <= len(x[0]) and len(x[0]) >= 80
+        if inside[x[3]] and not menu or beside:
             out.append(x[0])
     return "\n\n".join(out)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import work
+from . import bits, work
 
 WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN = 2654435769  # 2^32 / golden ratio, odd
@@ -49,8 +49,10 @@ def targets(sizes: list[int], weights: list[int], share: Fraction, cap: Fraction
 
 
 def sizes_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    """(doc_id, text_hash, source, size) of every row."""
+    text = F.col(text_col).cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
 
 
 def plan(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: Fraction = Fraction(2), block: int = 1024, max_sources: int = 1_000_000) -> tuple[list[dict], int]:
@@ -73,60 +75,91 @@ def plan(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: Fract
     return out, block
 
 
+def _earlier(n: int, below: np.ndarray) -> np.ndarray:
+    """For each t in below: how many of the first n points of the sequence, as multiples of 2^-32, lie below t."""
+
+    def floors(b: np.ndarray) -> np.ndarray:
+        """Sum over i < n of floor((GOLDEN * i + b) / 2^32), by the Euclidean algorithm on all of b at once."""
+        total = np.zeros(len(b), np.int64)
+        count, m, a, b = np.full(len(b), n, np.int64), np.full(len(b), 1 << 32, np.int64), np.full(len(b), GOLDEN, np.int64), b.copy()
+        live = count > 0
+        while live.any():
+            step_b, step_a = b // m, a // m
+            total += np.where(live, step_b * count + step_a * (count * (count - 1) // 2), 0)
+            a, b = a - step_a * m, b - step_b * m
+            top = a * count + b
+            live &= top >= m
+            count, b = np.where(live, top // m, 0), np.where(live, top % m, 0)
+            a, m = np.where(live, m, 0), np.where(live, a, 1)
+        return total
+
+    # floor(y / M) - floor((y - t) / M) is 1 where y mod M < t; one M is added so that nothing is negative
+    whole = floors(np.zeros(1, np.int64))[0]
+    return whole + n - floors((1 << 32) - below)
+
+
 def schedule(spark, sources: list[dict], block: int) -> DataFrame:
-    """(slot, s, pass, block, words): slots in order, the block each takes and how many of its words."""
+    """(slot, s, pass, block, words): slots in order, the block each takes and how many of its words.
+
+    A point's rank among its source's points is counted ahead for each run of points, so slots need no shuffle.
+    """
     need = np.array([x["need"] for x in sources], np.int64)
+    info = [np.array([x[k] for x in sources], np.int64) for k in ("source_size", "take", "blocks")]  # max_sources rows at most
     ends = np.cumsum(need)
     total = int(ends[-1]) if len(ends) else 0
     # The gaps between n golden-ratio points are below 1.9 / n, so 4 * total points give every source its slots.
     points = 4 * total + 8 if total else 0
     chunks = -(-points // CHUNK)
     work.ship(spark)
+    sent = spark.sparkContext.broadcast((need, *info))
 
     def draw(batches):
+        need, source_size, take, blocks = sent.value
+        ends = np.cumsum(need)
+        # x belongs to the first source whose end e has x * total < e * 2^32
+        edge = np.array([0, *(-(-(int(e) << 32) // total) for e in ends)], np.int64)
         for batch in batches:
             for c in batch.column(0).to_pylist():
                 i = np.arange(c * CHUNK, min(points, (c + 1) * CHUNK), dtype=np.uint64)
                 x = (i * np.uint64(GOLDEN)) & np.uint64(0xFFFFFFFF)
-                s = np.searchsorted(ends, (x * np.uint64(total)) >> np.uint64(32), "right")
+                s = np.searchsorted(ends, ((x * np.uint64(total)) >> np.uint64(32)).astype(np.int64), "right")
                 order = np.argsort(s, kind="stable")
-                first = np.searchsorted(s[order], np.arange(len(ends) + 1))
+                here, first = np.unique(s[order], return_index=True)
+                before = np.diff(_earlier(c * CHUNK, edge))
                 rank = np.empty(len(i), np.int64)
-                rank[order] = np.arange(len(i)) - np.repeat(first[:-1], np.diff(first))
-                yield pa.RecordBatch.from_pydict({"slot": i.astype(np.int64), "c": np.full(len(i), c), "s": s.astype(np.int64), "rank": rank})
+                rank[order] = np.arange(len(i)) - np.repeat(first - before[here], np.diff(np.append(first, len(i))))
+                use = np.flatnonzero(rank < need[s])
+                s, r = s[use], rank[use]
+                turn, part = r // blocks[s], r % blocks[s]
+                words = np.minimum(np.minimum(block, source_size[s] - part * block), take[s] - turn * source_size[s] - part * block)
+                yield pa.RecordBatch.from_pydict({"slot": i[use].astype(np.int64), "s": s.astype(np.int64), "pass": turn, "block": part, "words": words})
 
     numbers = spark.range(0, chunks, 1, max(1, min(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    drawn = numbers.mapInArrow(draw, "slot long, c long, s long, rank long")
-    counts = drawn.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("s", "c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    info = spark.createDataFrame([(x["s"], x["source_size"], x["take"], x["blocks"], x["need"]) for x in sources], "s long, source_size long, take long, blocks long, need long")
-    ranked = drawn.join(base, ["s", "c"]).join(info, "s").withColumn("r", F.col("rank") + F.col("base")).where("r < need")
-    words = F.expr(f"least({block}, source_size - (r % blocks) * {block}, take - (r div blocks) * source_size - (r % blocks) * {block})")
-    return ranked.select("slot", "s", F.expr("r div blocks").alias("pass"), F.expr("r % blocks").alias("block"), words.alias("words"))
+    return work.map_arrow(numbers, draw, "slot long, s long, pass long, block long, words long")
 
 
-def streams(sizes: DataFrame, sources: list[dict], per_bucket: int = 50_000, seed: int = 17) -> DataFrame:
+def streams(sizes: DataFrame, sources: list[dict], per_bucket: int = 8_000, seed: int = 17) -> DataFrame:
     """Each document's place `start` in its source's shuffled stream of words.
 
     Two-level running sums: words per (source, hash bucket) first, then inside a bucket, so a source that holds most
-    documents is spread over buckets of about `per_bucket` documents and never sorted in one task.
+    documents is spread over buckets of at most about `per_bucket` documents and never sorted in one task.
     """
     spark = sizes.sparkSession
     info = spark.createDataFrame([(x["s"], x["source"], max(1, -(-x["docs"] // per_bucket)) * 4) for x in sources], "s long, source0 string, buckets long")
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    placed = sizes.join(info, F.col("source").eqNullSafe(F.col("source0"))).withColumn("o", order).withColumn("bucket", F.pmod("o", "buckets"))
+    order = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
+    # sent: one row a source, of which there are max_sources at most
+    placed = sizes.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("source0"))).withColumn("o", order).withColumn("bucket", F.pmod("o", "buckets"))
     sums = placed.groupBy("s", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("s", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("s", "bucket").orderBy("o", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("upto", F.sum("size").over(inside)).join(base, ["s", "bucket"]).select("doc_id", "s", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    inside = Window.partitionBy("s", "bucket").orderBy("o", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.withColumn("upto", F.sum("size").over(inside)).join(base, ["s", "bucket"]).select("doc_id", "text_hash", "source", "s", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
 
 
 def mix(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: Fraction = Fraction(2), block: int = 1024) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """(placed documents, pieces the mix takes, sources) for a table (doc_id, source, size).
+    """(placed documents, pieces the mix takes, sources) for a table (doc_id, text_hash, source, size).
 
-    pieces: slot, s, pass, doc_id, start (the document's place in its source's stream), first and words: the slot takes
+    pieces: slot, s, pass, doc_id, text_hash, source, start (the document's place in its source's stream), first and words: the slot takes
     the document's words first .. first + words - 1.
     """
     spark = sizes.sparkSession
@@ -134,10 +167,11 @@ def mix(sizes: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: Fracti
     placed = work.saved(streams(sizes, sources), "mix-streams")
     cut = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     slots = schedule(spark, sources, block)
-    joined = cut.join(slots, ["s", "block"])
+    # sorted and merged: the slots grow with the data, though Spark would guess them to be few
+    joined = cut.join(slots.hint("merge"), ["s", "block"])
     first = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
     last = F.least(F.col("size"), F.col("block") * block + F.col("words") - F.col("start"))
-    pieces = joined.select("slot", "s", "pass", "doc_id", "start", first.alias("first"), (last - first).alias("words")).where("words > 0")
+    pieces = joined.select("slot", "s", "pass", "doc_id", "text_hash", "source", "start", first.alias("first"), (last - first).alias("words")).where("words > 0")
     return placed, pieces, sources
 
 
@@ -146,10 +180,11 @@ def op5(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     sizes = work.saved(sizes_of(documents), "mix-sizes")
     placed, pieces, sources = mix(sizes)
-    taken = pieces.groupBy(F.col("s").alias("ps"), F.col("start").alias("pstart"), F.col("doc_id").alias("pdoc")).agg(F.sum("words").alias("words"))
+    # a document with words has a start of its own in its source's stream
+    taken = pieces.groupBy(F.col("s").alias("ps"), F.col("start").alias("pstart")).agg(F.sum("words").alias("words"))
     info = spark.createDataFrame([(x["s"], x["source_size"], x["target"]) for x in sources], "s long, source_size long, target double")
-    match = (F.col("s") == F.col("ps")) & (F.col("start") == F.col("pstart")) & F.col("doc_id").eqNullSafe(F.col("pdoc")) & (F.col("size") > 0)
-    return placed.join(taken, match, "left").join(info, "s").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    match = (F.col("s") == F.col("ps")) & (F.col("start") == F.col("pstart")) & (F.col("size") > 0)
+    return placed.join(taken, match, "left").join(F.broadcast(info), "s").select("doc_id", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
 
 
 def first_words(text: str | None, n: int) -> str | None:
@@ -164,26 +199,47 @@ def first_words(text: str | None, n: int) -> str | None:
     return text[:end]
 
 
-def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """The mix as documents: a document taken twice comes twice; one that the last slot cuts comes with its first words.
 
-    Columns as in `documents`; needs ids without repeats (rows that repeat an id are mixed as one, by the smallest size).
+    Columns as in `documents`. Rows are told apart by id (null is one), text and source; of rows that repeat all three the
+    mix holds as many as it takes, with the other columns of one of them.
     """
     spark = documents.sparkSession
     work.ship(spark)
-    sizes = work.saved(sizes_of(documents, id_col, text_col).groupBy("doc_id").agg(F.min("source").alias("source"), F.min("size").alias("size")), "mix-sizes")
+    sizes = work.saved(sizes_of(documents, id_col, text_col, source_col), "mix-sizes")
     _, pieces, _ = mix(sizes)
-    copies = pieces.groupBy("doc_id", "pass").agg(F.sum("words").alias("words")).join(sizes.select("doc_id", "size"), "doc_id")
-    key, whole, words = (work.fresh(documents, x) for x in ("mix_doc", "mix_whole", "mix_words"))
-    copies = copies.select(F.col("doc_id").alias(key), (F.col("words") == F.col("size")).alias(whole), F.col("words").alias(words))
-    joined = documents.join(copies, F.col(id_col) == F.col(key))
-    cut = F.when(~F.col(whole), F.col(text_col).cast("string"))  # null but for the few documents that a last slot cuts
+    row = ["doc_id", "text_hash", "source"]
+    # words a row and pass; a repeated row has a start of its own for each
+    taken = pieces.groupBy(*row, "start", "pass").agg(F.sum("words").alias("words"))
+    whole = sizes.where("size > 0").groupBy(*(F.col(c).alias(f"{c}0") for c in row)).agg(F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    whole = work.saved(whole, "mix-whole")
+    names = [work.fresh(documents, f"mix_{c}") for c in (*row, "whole", "words", "rows")]
+    same = F.lit(True)
+    for c in row:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}0"))
+    copies = taken.join(whole, same).select(*row, F.col("words") == F.col("size"), "words", "rows").toDF(*names)
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(source_col).cast("string")]
+    twice = whole.where("rows > 1").select(*(f"{c}0" for c in row))
+    if not twice.isEmpty():
+        repeated = [work.fresh(documents, f"mix_{c}1") for c in row]
+        of = twice.toDF(*repeated)
+        match = F.lit(True)
+        for k, c in zip(key, repeated, strict=True):
+            match &= k.eqNullSafe(F.col(c))
+        once = documents.join(of, match).dropDuplicates(repeated).select(documents.columns)
+        documents = bits.without(documents, key, twice).unionByName(once)
+    match = F.lit(True)
+    for k, c in zip(key, names, strict=False):
+        match &= k.eqNullSafe(F.col(c))
+    joined = documents.join(copies, match)
+    cut = F.when(~F.col(names[3]), F.col(text_col).cast("string"))  # null but for the few documents that a last slot cuts
 
     @F.pandas_udf("string")
     def head(texts, words):
         return texts.combine(words, first_words)
 
-    text = F.when(F.col(whole), F.col(text_col)).otherwise(head(cut, F.col(words)))
+    text = F.when(F.col(names[3]), F.col(text_col)).otherwise(head(cut, F.col(names[4])))
     out = joined.withColumn(text_col, text)
     if chars_col and chars_col in documents.columns:
         out = out.withColumn(chars_col, F.length(text_col).cast(documents.schema[chars_col].dataType))

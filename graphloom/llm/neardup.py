@@ -16,7 +16,8 @@ pairs. 64-bit hashes stand for shingles and sets: two different sets among n mee
 
 Defined cases: null, empty and blank texts have no shingles, stay alone and are kept; a text shorter than a shingle is
 one shingle as a whole; rows that share an id and a set count as copies; null ids never become a component's id unless
-it has no other (then it is null, and such rows are kept); extra columns are ignored.
+it has no other (then it is null, and such rows are kept); `deduplicated` tells rows apart by id and text, so one row of a
+group stays whatever ids its rows share or lack; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from . import bits, graph, textcore, work
 
 CELL = 256
+CELL_SHINGLES = 1 << 20  # of all sets of a cell together, unless one set alone has more
 SKETCH_BITS = 1024
 _U32 = np.uint32
 
@@ -77,19 +79,19 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, hasher: Hasher, width: int) -> DataFrame:
-    """(doc_id, n_shingles, node, keys) of docs(doc_id, text); node null and no keys without shingles."""
+    """(doc_id, text_hash, n_shingles, node, keys) of docs(doc_id, text_hash, text); node null and no keys without shingles."""
 
     def sign(batches):
         for batch in batches:
-            for part in textcore.slices(batch, 1):
+            for part in textcore.slices(batch, 2):
                 n, node, keys = [], [], []
-                for s in textcore.shingle_sets(textcore.Words(part.column(1), lower=True), width):
+                for s in textcore.shingle_sets(textcore.Words(part.column(2), lower=True), width):
                     n.append(len(s))
                     node.append(node_of(s) if len(s) else None)
                     keys.append(hasher.keys(hasher.samples(s)) if len(s) else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(keys)], ["doc_id", "n_shingles", "node", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(keys)], ["doc_id", "text_hash", "n_shingles", "node", "keys"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, node long, keys array<long>")
+    return work.map_arrow(docs, sign, "doc_id long, text_hash long, n_shingles long, node long, keys array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -102,7 +104,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def _sets_of(docs: DataFrame, wanted: DataFrame, hasher: Hasher, width: int) -> DataFrame:
     """wanted(node, doc, comp, large) with sketch and shingles of each node, read from the text of one document each.
 
-    A bit table of at most 2 MB, made from the wanted ids, spares most other rows the work; what it lets through by
+    Rows that repeat both id and text give their node once a task, and once in all where any such rows are left. A bit table of at most 2 MB, made from the wanted ids, spares most other rows the work; what it lets through by
     chance the join drops, so its fixed size costs time at most.
     """
     spark = docs.sparkSession
@@ -115,23 +117,33 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, hasher: Hasher, width: int) ->
     sent = spark.sparkContext.broadcast(table)
 
     def read(batches):
-        table = sent.value
+        table, given = sent.value, set()
         for batch in batches:
             h = batch.column(2).to_numpy(zero_copy_only=False)
             hit = (table[h >> 6] >> (h & 63)) & 1 == 1
             hit |= batch.column(0).is_null().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(hit))
             for part in textcore.slices(batch, 1):
-                ids, node, sketch, sets = part.column(0).to_pylist(), [], [], []
-                for s in textcore.shingle_sets(textcore.Words(part.column(1), lower=True), width):
-                    node.append(node_of(s) if len(s) else None)
-                    sketch.append(hasher.sketch(hasher.samples(s)).tobytes() if len(s) else b"")
+                ids, node, sketch, sets = [], [], [], []
+                for d, s in zip(part.column(0).to_pylist(), textcore.shingle_sets(textcore.Words(part.column(1), lower=True), width), strict=True):
+                    if not len(s) or (d, name := node_of(s)) in given:
+                        continue
+                    given.add((d, name))
+                    ids.append(d)
+                    node.append(name)
+                    sketch.append(hasher.sketch(hasher.samples(s)).tobytes())
                     sets.append(s)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), _lists(sets)], ["d", "node", "sketch", "shingles"])
 
-    found = docs.select("doc_id", "text", place(F.col("doc_id")).alias("h")).mapInArrow(read, "d long, node long, sketch binary, shingles array<long>").where("node is not null")
+    found = docs.select("doc_id", "text", place(F.col("doc_id")).alias("h"))
+    found = work.map_arrow(found, read, "d long, node long, sketch binary, shingles array<long>")
     keep = wanted.select(F.col("node").alias("node0"), "doc", "comp", "large")
-    return found.join(keep, (F.col("node") == F.col("node0")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "comp", "large", "sketch", "shingles")
+    sets = work.saved(found.join(keep, (F.col("node") == F.col("node0")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "comp", "large", "sketch", "shingles"), "dup-sets")
+    if sets.count() > wanted.count():
+        once = work.saved(sets.dropDuplicates(["node"]), "dup-sets")
+        work.discard(sets)
+        return once
+    return sets
 
 
 def _shared_keys(named: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -149,7 +161,7 @@ def _shared_keys(named: DataFrame, buckets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(hit)).select([0, 1])
 
     keys = named.select("node", F.explode("keys").alias("key"))
-    return keys.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - size)).mapInArrow(keep, "node long, key long")
+    return keys.withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 64 - size)).transform(lambda d: work.map_arrow(d, keep, "node long, key long"))
 
 
 class Cell:
@@ -231,7 +243,7 @@ def _verify_small(members: DataFrame, cell: Cell) -> DataFrame:
                 yield _edges(pairs)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.select("comp", "node", "sketch", "shingles").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(run, "a long, b long")
+    return members.select("comp", "node", "sketch", "shingles").repartition(n, "comp").sortWithinPartitions("comp").transform(lambda d: work.map_arrow(d, run, "a long, b long"))
 
 
 def _verify_pairs(pairs: DataFrame, sets: DataFrame, cell: Cell, best: int = 3) -> DataFrame:
@@ -248,7 +260,7 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, cell: Cell, best: int = 3)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est)], ["a", "b", "est"])
 
     rank = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("est"), "a"))  # a node has one centre a band at most
-    top = both.mapInArrow(estimate, "a long, b long, est double").where(F.col("est") >= least).withColumn("rank", rank).where(F.col("rank") <= best)
+    top = work.map_arrow(both, estimate, "a long, b long, est double").where(F.col("est") >= least).withColumn("rank", rank).where(F.col("rank") <= best)
     full = sets.select("node", "shingles")
     rows = top.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -262,16 +274,18 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, cell: Cell, best: int = 3)
             if found:
                 yield _edges(found)
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(exact, "a long, b long")
+    return work.map_arrow(rows.select("a", "b", "sa", "sb"), exact, "a long, b long")
 
 
 def _verify_grid(members: DataFrame, cell: Cell) -> DataFrame:
     """Links between stragglers and all nodes of large groups: members(comp, node, sketch, shingles, label, straggler).
 
-    Cells of about CELL x CELL nodes; each straggler reports one partner for every component it links to in a cell.
+    Cells of about CELL x CELL nodes, of fewer where sets are long; each straggler reports one partner for every component it links to in a cell.
     """
-    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("straggler").cast("long")).alias("s")).where("s > 0")
-    size = size.select(F.col("comp").alias("comp0"), F.ceil(F.col("m") / CELL).cast("long").alias("mb"), F.ceil(F.col("s") / CELL).cast("long").alias("sb"))
+    blocks = lambda rows, shingles: F.ceil(F.greatest(F.col(rows) / CELL, F.col(shingles) / CELL_SHINGLES)).cast("long")
+    late, long = F.col("straggler").cast("long"), F.size("shingles").cast("long")
+    size = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum(long).alias("mw"), F.sum(late).alias("s"), F.sum(late * long).alias("sw")).where("s > 0")
+    size = size.select(F.col("comp").alias("comp0"), blocks("m", "mw").alias("mb"), blocks("s", "sw").alias("sb"))
     placed = members.join(size, F.col("comp") == F.col("comp0")).withColumn("h", F.xxhash64("node"))
     cols = ["comp", "x", "y", "node", "sketch", "shingles", "label", "side"]
     queries = placed.where("straggler").withColumn("x", F.pmod("h", "sb")).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mb") - 1))).withColumn("side", F.lit(True)).select(cols)
@@ -298,31 +312,35 @@ def _verify_grid(members: DataFrame, cell: Cell) -> DataFrame:
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = queries.unionByName(others).repartition(n, "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    return cells.mapInArrow(run, "a long, b long")
+    return work.map_arrow(cells, run, "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, slack: float = 0.13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row; links: 100 * |A & B| >= percent * |A | B|."""
+def _placed(documents: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, slack: float = 0.13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node) of every row, and (node4, comp, component): the group of each node and the
+    smallest id in it."""
     spark = documents.sparkSession
     work.ship(spark)
     hasher = Hasher(bands, rows)
     cell = Cell(hasher, percent, slack)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     sig = work.saved(signatures(docs, hasher, width), "dup-sig")
-    named = sig.where("node is not null").select("doc_id", "node", "keys")
+    named = sig.where("node is not null").select("doc_id", "n_shingles", "node", "keys")
     keys = named.select("node", F.explode("keys").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").select(F.col("key").alias("key0"), "a")
     buckets = work.saved(buckets, "dup-buckets")
     stars = _shared_keys(named, buckets).join(buckets, F.col("key") == F.col("key0")).where("node <> a").select("a", F.col("node").alias("b")).distinct()
     stars = work.saved(stars, "dup-stars")
-    least = named.groupBy("node").agg(F.min("doc_id").alias("doc"))
+    work.discard(buckets)
+    least = work.saved(named.groupBy("node").agg(F.min("doc_id").alias("doc"), F.max("n_shingles").alias("n")), "dup-least")
     groups = graph.components(stars, "dup-groups")
-    size = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).select(F.col("comp").alias("comp0"), (F.col("m") > CELL).alias("large"))
-    wanted = groups.join(least, "node").join(size, F.col("comp") == F.col("comp0")).select("node", "doc", "comp", "large")
-    wanted = work.saved(wanted, "dup-wanted")
-    sets = work.saved(_sets_of(docs, wanted, hasher, width), "dup-sets")
-    large = wanted.where("large").select("node")
+    members = work.saved(groups.join(least, "node").select("node", "doc", "n", "comp"), "dup-members")
+    work.discard(groups)
+    size = members.groupBy("comp").agg(((F.count(F.lit(1)) > CELL) | (F.sum("n") > CELL_SHINGLES)).alias("large")).select(F.col("comp").alias("comp0"), "large")
+    wanted = work.saved(members.join(size, F.col("comp") == F.col("comp0")).select("node", "doc", "comp", "large"), "dup-wanted")
+    work.discard(members)
+    sets = _sets_of(docs, wanted, hasher, width)
     links = work.saved(_verify_small(sets.where("not large"), cell), "dup-links")
+    large = wanted.where("large").select("node")
     if not large.isEmpty():
         inside = stars.join(large.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
         big_sets = sets.where("large").select("node", "comp", "sketch", "shingles")
@@ -332,14 +350,23 @@ def near_duplicates(documents: DataFrame, *, width: int = 5, percent: int = 80,
         counts = labelled.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("n"))
         main = counts.groupBy("comp").agg(F.max_by("label", F.struct("n", "label")).alias("main")).select(F.col("comp").alias("comp2"), "main")
         marked = labelled.join(main, F.col("comp") == F.col("comp2")).select("comp", "node", "sketch", "shingles", "label", (F.col("label") != F.col("main")).alias("straggler"))
-        second = _verify_grid(work.saved(marked, "dup-marked"), cell)
-        links = work.saved(links.unionByName(first).unionByName(second), "dup-links")
+        marked = work.saved(marked, "dup-marked")
+        links = work.saved(links.unionByName(first).unionByName(_verify_grid(marked, cell)), "dup-links")
+        work.discard(marked, labels)
+    work.discard(sets, stars, wanted)
     linked = graph.components(links, "dup-linked").select(F.col("node").alias("node1"), F.col("comp").alias("comp1"))
     owner = least.join(linked, F.col("node") == F.col("node1"), "left").select("node", "doc", F.coalesce("comp1", "node").alias("comp"))
     owner = work.saved(owner, "dup-owner")
-    ids = owner.groupBy("comp").agg(F.min("doc").alias("component")).select(F.col("comp").alias("comp3"), "component")
-    final = owner.join(ids, F.col("comp") == F.col("comp3")).select(F.col("node").alias("node4"), "component")
-    out = sig.select("doc_id", "n_shingles", "node").join(final, F.col("node") == F.col("node4"), "left")
+    # Most nodes are a group of their own: only the others are grouped and joined.
+    alone = owner.groupBy("comp").agg(F.min("doc").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("comp").alias("comp3"), "component")
+    final = owner.join(alone, F.col("comp") == F.col("comp3"), "left").select(F.col("node").alias("node4"), "comp", F.when(F.col("comp3").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
+    return sig.select("doc_id", "text_hash", "n_shingles", "node"), final
+
+
+def near_duplicates(documents: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row; links: 100 * |A & B| >= percent * |A | B|."""
+    sig, final = _placed(documents, **options)
+    out = sig.join(final, F.col("node") == F.col("node4"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -348,18 +375,28 @@ def op1(documents: DataFrame) -> DataFrame:
     return near_duplicates(documents, width=2)
 
 
-def deduplicated(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """documents without near-duplicates: one row of each group stays; columns as given.
 
-    Of rows that share the id of a group's first document those that repeat whole stay once.
+    The row of the smallest id stays (null ids last, then by a hash of the text); of rows that repeat both that id and its
+    text, one, and so of rows without shingles that repeat both.
     """
-    key = work.fresh(documents, "kept_doc")
-    found = near_duplicates(documents, id_col=id_col, **options)
-    each = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any"), F.count(F.when(F.col("kept"), 1)).alias("_copies"))
-    each = work.saved(each, "dup-kept")
-    out = bits.without(documents, id_col, each.where("not _any").select(key), key)
-    repeated = each.where("_copies > 1").select(key)
-    if repeated.isEmpty():
+    sig, final = _placed(documents, id_col=id_col, text_col=text_col, **options)
+    rows = work.saved(sig.join(final, F.col("node") == F.col("node4")).select("doc_id", "text_hash", "comp"), "dup-rows")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    groups = rows.groupBy(F.col("comp").alias("comp0")).agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = work.saved(groups, "dup-best")
+    several = rows.join(groups, F.col("comp") == F.col("comp0"))
+    gone = work.saved(several.where(place != F.col("best")).select("doc_id", "text_hash").distinct(), "dup-gone")
+    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))]
+    out = bits.without(documents, keys, gone)
+    stay = several.where(place == F.col("best")).select("doc_id", "text_hash").unionByName(sig.where("node is null").select("doc_id", "text_hash"))
+    twice = stay.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc_id", "text_hash")
+    twice = work.saved(twice, "dup-twice")
+    if twice.isEmpty():
         return out
-    same = out.join(repeated, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_semi").dropDuplicates()
-    return out.join(repeated, F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti").unionByName(same)
+    names = [work.fresh(documents, "twice_id"), work.fresh(documents, "twice_hash")]
+    twice = twice.toDF(*names)
+    same = keys[0].eqNullSafe(F.col(names[0])) & keys[1].eqNullSafe(F.col(names[1]))
+    once = out.join(twice, same).dropDuplicates(names).select(documents.columns)
+    return bits.without(out, keys, twice).unionByName(once)

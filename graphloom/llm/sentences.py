@@ -4,14 +4,15 @@ Texts are cut into sentences (a word that ends in . ! or ?, closing quotes and b
 line break). A span is a run of at least `run` consecutive sentences and `least_words` words, or of any number of
 sentences (one will do) with `short_words` words. The shortest span from every sentence on and the shortest one up to
 every sentence are taken, so every sentence of a repeated run that is long enough lies in one of them inside the run:
-if the span from it on would leave the run, the one up to the run's end begins before it. Spans are hashed on lower-cased words, grouped globally, and every sentence that a span
-covers which occurred before (in a document of smaller id, or earlier in the same document) is removed.
+if the span from it on would leave the run, the one up to the run's end begins before it. Spans are hashed on
+lower-cased words, grouped globally, and every sentence that a span covers which occurred before (in a document of smaller id, or earlier in the same document) is removed.
 
 Hot passages: a span's occurrences are only counted and minimised (partial sums before the shuffle), never gathered;
 the join that marks repeats has one row on its other side a span, and adaptive execution splits its hot keys.
 
-Defined cases: null and empty texts have no sentences; a text with too few words has no span; rows that share an id are one document (none removes the other); null ids come last, and among them the rule of
-one document holds; other columns are left as they are.
+Defined cases: null and empty texts have no sentences; a text with too few words has no span; rows are told apart by id
+and text: those that share an id follow each other by a hash of their texts, null ids come last, and rows that repeat
+both id and text are one document (none removes the other); other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -73,38 +74,46 @@ def spans(w: textcore.Words, run: int, least_words: int, short_words: int) -> tu
     return doc, s - first[doc], e - s, h.view(np.int64)
 
 
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc, key, text): doc orders documents by id with null last, doc and key together tell rows apart."""
+    text = F.col(text_col).cast("string")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(id_col).isNull(), text).alias("key"), text.alias("text"))
+
+
 def repeats(documents: DataFrame, *, run: int = 3, least_words: int = 20, short_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, first, sentences): every span occurrence that isn't the span's first."""
+    """(doc, key, first, sentences): every span occurrence that isn't the span's first."""
     work.ship(documents.sparkSession)
-    docs = documents.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    docs = _keyed(documents, id_col, text_col).select("doc", "key", "text")
 
     def find(batches):
         for batch in batches:
-            for part in textcore.slices(batch, 1):
-                doc, first, size, h = spans(textcore.Words(part.column(1), lower=True), run, least_words, short_words)
+            for part in textcore.slices(batch, 2):
+                doc, first, size, h = spans(textcore.Words(part.column(2), lower=True), run, least_words, short_words)
                 # the n-th occurrence of a span inside its own document
                 order = np.lexsort((first, h, doc))
                 again = np.zeros(len(h), bool)
                 again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(pa.array(doc)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], ["h", "doc", "first", "size", "again"])
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(h), part.column(0).take(at), part.column(1).take(at), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again)], ["h", "doc", "key", "first", "size", "again"])
 
-    rows = docs.mapInArrow(find, "h long, doc long, first int, size int, again boolean")
-    seen = rows.groupBy("h").agg(F.min("doc").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h0"), "owner")
-    later = rows.join(seen, F.col("h") == F.col("h0")).where("doc > owner or again")
-    return later.select("doc", "first", "size")
+    rows = work.saved(work.map_arrow(docs, find, "h long, doc long, key long, first int, size int, again boolean"), "span-rows")
+    place = F.struct("doc", "key")
+    seen = rows.groupBy("h").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h0"), "owner")
+    later = rows.join(seen, F.col("h") == F.col("h0")).where((place > F.col("owner")) | F.col("again"))
+    return later.select("doc", "key", "first", "size")
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """(doc, removed): sorted numbers of the sentences that repeated spans cover, each once."""
-    each = found.select("doc", F.explode(F.expr("sequence(first, first + size - 1)")).alias("s")).distinct()
-    return each.groupBy("doc").agg(F.sort_array(F.collect_list("s")).alias("removed"))  # bounded by the document's length
+    """(doc, key, removed): sorted numbers of the sentences that repeated spans cover, each once."""
+    each = found.select("doc", "key", F.explode(F.expr("sequence(first, first + size - 1)")).alias("s")).distinct()
+    return each.groupBy("doc", "key").agg(F.sort_array(F.collect_list("s")).alias("removed"))  # bounded by the document's length
 
 
 def cut(documents: DataFrame, *, run: int = 3, least_words: int = 20, short_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, n_words, words_removed, kept text) of every row."""
     removed = work.saved(covered(repeats(documents, run=run, least_words=least_words, short_words=short_words, id_col=id_col, text_col=text_col)), "span-removed")
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc0"))
-    joined = docs.join(removed, F.col("doc0") == F.col("doc"), "left").select("doc_id", "text", "removed")
+    removed = removed.toDF("doc0", "key0", "removed")
+    joined = _keyed(documents, id_col, text_col).join(removed, (F.col("doc") == F.col("doc0")) & (F.col("key") == F.col("key0")), "left").select("doc_id", "text", "removed")
 
     def apply(batches):
         for batch in batches:
@@ -114,14 +123,14 @@ def cut(documents: DataFrame, *, run: int = 3, least_words: int = 20, short_word
                 texts, gone = part.column(1).to_pylist(), part.column(2).to_pylist()
                 n, out, lost, words = np.diff(first), [], [], []
                 for d in range(part.num_rows):
-                    drop = [s for s in gone[d] or () if s < n[d]]
+                    drop = gone[d] or ()
                     lost.append(len(drop))
                     words.append(int(sum(starts[first[d] + s + 1] - starts[first[d] + s] for s in drop)))
                     out.append(_without(texts[d], w, starts, int(first[d]), d, drop) if drop else texts[d])
                 cols = [part.column(0), pa.array(n.astype(np.int64)), pa.array(lost, pa.int64()), pa.array(w.counts().astype(np.int64)), pa.array(words, pa.int64()), pa.array(out, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_sentences", "n_removed", "n_words", "words_removed", "text"])
 
-    return joined.mapInArrow(apply, "doc_id long, n_sentences long, n_removed long, n_words long, words_removed long, text string")
+    return work.map_arrow(joined, apply, "doc_id long, n_sentences long, n_removed long, n_words long, words_removed long, text string")
 
 
 def _without(text: str, w: textcore.Words, starts: np.ndarray, first: int, d: int, drop: list[int]) -> str:

@@ -1,6 +1,31 @@
 """DuckDB SQL that gives the rows of queries in queries.py, where SQL can express them."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # every pair of documents that share a shingle, then the smallest id reachable
+    "op1_minhash_odd_sketch": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS s FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), pairs AS (
+            SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)
+        ), links AS (
+            SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+        ), reached AS (
+            SELECT doc_id AS node, doc_id AS seen FROM documents
+            UNION
+            SELECT l.b, r.seen FROM reached r JOIN links l ON l.a = r.node
+        ), least AS (
+            SELECT node, min(seen) AS component_id FROM reached GROUP BY node
+        )
+        SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+    """,
+}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -175,14 +175,14 @@ def calibrated(zp: np.ndarray, zn: np.ndarray, prior: float, rounds: int = 50) -
 
 
 def _rows(rows: DataFrame, most: int) -> tuple[list[str], list]:
-    """Texts and second column of the rows, until `most` characters of text are read."""
+    """Texts and second column of the rows, within `most` characters of text in all: a text that doesn't fit any more is
+    passed over and shorter ones after it still count."""
     texts, marks, size = [], [], 0
     for text, mark in rows.toLocalIterator():
-        size += len(text or "")
-        if size > most:
-            break
-        texts.append(text or "")
-        marks.append(mark)
+        if size + len(text or "") <= most:
+            size += len(text or "")
+            texts.append(text or "")
+            marks.append(mark)
     return texts, marks
 
 
@@ -222,7 +222,7 @@ def score(documents: DataFrame, model: Model, *, threshold: float = 0.3, id_col:
                 out = pa.array([v is not None and zlib.crc32(str(v).encode()) % folds == held_out for v in ids.to_pylist()])
                 yield pa.RecordBatch.from_arrays([ids, out, pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return small.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return work.map_arrow(small, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op6(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 _SHIPPED: dict[str, bool] = {}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one (local runs and tests) where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or an own one where it is unset and the master is local.
+
+    A cluster without the setting is refused: a folder of the driver's machine would be another one on each executor.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -35,11 +44,42 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `saved` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            target = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow whose tasks hand the memory they have freed back to the system: workers live on for other stages."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, so Python workers import it wherever they run."""
+    """Sends this package to the executors once per application, so Python workers import it wherever they run, and bounds
+    the bytes of a batch of rows sent to them, unless the session has set that itself."""
+    if spark.conf.get(_BATCH).rstrip("bB") == str(64 << 20):
+        spark.conf.set(_BATCH, str(8 << 20))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

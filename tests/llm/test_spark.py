@@ -140,7 +140,7 @@ def test_language_model(docs):
         if not held[r[0]]:
             count.update([*words(r[1]), None])
     n, v = sum(count.values()), len(count)
-    got = {r.doc_id: r for r in lm.score(docs, cached=50, classes=4, members=4, fraction=2).collect()}
+    got = {r.doc_id: r for r in lm.score(docs, cached=50, classes=4, members=4).collect()}
     for r in rows:
         tokens, g = [*words(r[1]), None], got[r[0]]
         base = sum(math.log10((count[t] + 1) / (n + v + 1)) for t in tokens)
@@ -156,8 +156,9 @@ def test_language_model_learns_from_every_training_document(spark):
     learned = lm.score(kept, classes=4, members=4).collect()
     assert all(r.score / r.n_tokens > r.base_score / r.n_tokens + 0.3 for r in learned)  # the next word follows from the last one
     assert sorted(learned) == sorted(lm.score(kept, classes=4, members=4).collect())
-    unfitted = lm.score(kept, classes=4, members=4, fraction=1 << 60).collect()
-    assert all(r.score == r.base_score for r in unfitted)
+    held = spark.createDataFrame([(i, "a b c") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2] + [(None, "a b")], "doc_id long, text string")
+    unfitted = lm.score(held, classes=4, members=4).collect()  # nothing to learn from
+    assert all(r.score == r.base_score and r.n_known == r.train_tokens == 0 for r in unfitted)
 
 
 def test_co_occurrence_counts_every_row(spark):
@@ -177,6 +178,45 @@ def test_spans(spark):
     assert got[2].text == "Alpha beta. Gamma delta." and got[4].text is None and got[5].text == ""
 
 
+def test_spans_against_sets_of_spans(spark):
+    """Sentence spans by hand, over rows that share an id, lack one, or repeat whole."""
+    random.seed(12)
+    pool = [" ".join(random.choice("abcdefgh") * random.randint(1, 4) for _ in range(random.randint(3, 26))) + "." for _ in range(40)]
+    rows = [(random.choice([None, 7, 7, *range(20)]), " ".join(random.choice(pool) for _ in range(random.randint(0, 9)))) for _ in range(70)]
+    rows += [(3, None), (None, ""), rows[0], rows[1]]
+    key = {(d, t): r.k for (d, t), r in zip(rows, spark.createDataFrame(rows, "d long, t string").selectExpr("xxhash64(d is null, t) as k").collect(), strict=True)}
+    place = lambda d, t: (1 << 63 if d is None else d, key[d, t])
+    seen, found = {}, {}
+    for d, t in dict.fromkeys(rows):
+        parts = [s + "." for s in (t or "").split(".") if s.strip()]
+        size = [len(p.split()) for p in parts]
+        for i in range(len(parts)):
+            ends = [next((j for j in range(i, len(parts)) if sum(size[i : j + 1]) >= 20), None)]
+            begins = [next((j for j in range(i, -1, -1) if sum(size[j : i + 1]) >= 20), None)]
+            for a, b in {(i, e) for e in ends if e is not None} | {(x, i) for x in begins if x is not None}:
+                span = " ".join(" ".join(parts[a : b + 1]).split())
+                found.setdefault((d, t), set()).add((a, b, span))
+                seen.setdefault(span, []).append((place(d, t), a))
+    want = {}
+    for (d, t), spans in found.items():
+        gone = set()
+        for a, b, span in spans:
+            first = min(p for p, _ in seen[span])
+            if place(d, t) > first or any(p == place(d, t) and x < a for p, x in seen[span]):
+                gone |= set(range(a, b + 1))
+        want[d, t] = len(gone)
+    got = sentences.cut(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.n_removed, r.n_words) for r in got.collect()) == sorted((want.get((d, t), 0), len(words(t))) for d, t in rows)
+
+
+def test_spans_of_rows_that_share_or_lack_an_id(spark):
+    p = " ".join(f"w{k}" for k in range(30)) + "."
+    rows = [(7, f"Mine alone is here. {p}"), (7, f"{p} Another one of mine."), (None, f"One two three. {p} Four."), (None, "Five six seven. Eight nine. Ten."), (8, "Plain.")]
+    got = sorted((r.text or "") for r in sentences.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(p in t for t in got) == 1  # once in all, and nothing else is lost
+    assert all(any(x in t for t in got) for x in ("Mine alone is here.", "Another one of mine.", "One two three.", "Four.", "Five six seven. Eight nine. Ten.", "Plain."))
+
+
 def test_spans_of_few_sentences_and_tails(spark):
     long = " ".join(f"w{k}" for k in range(55)) + "."
     two = " ".join(f"u{k}" for k in range(28)) + ". " + " ".join(f"v{k}" for k in range(26)) + "."
@@ -221,6 +261,88 @@ def test_clean_drops_leaks_only(spark):
     assert sorted((r.doc_id or 0) for r in decontaminate.clean(docs, bench).collect()) == [0, 2]
 
 
+def test_rows_that_share_or_lack_an_id(spark):
+    """Each row goes by its own text, in every filtering stage."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    random.seed(3)
+    text = lambda: " ".join("".join(random.choice("abcdefgh") for _ in range(random.randint(2, 8))) for _ in range(60))
+    good = [text() for _ in range(6)]
+    rows = [(7, good[0], "s"), (7, f"{good[1]} {item}", "s"), (None, good[2], "s"), (None, f"x {item}", None), (9, "", "s"), (9, good[3], None), (None, None, "s"), (None, good[4], None)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or ""), 1) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, gone_0 int")
+    bench = spark.createDataFrame([(5, item)], "item_id long, text string")
+    left = lambda df: sorted((r.text or "") for r in df.collect())
+    assert left(decontaminate.clean(docs, bench)) == sorted((t or "") for _, t, _ in rows if item not in (t or ""))
+    assert left(quality.keep(docs)) == sorted(t for _, t, _ in rows if len(words(t)) >= 20)
+    assert left(neardup.deduplicated(docs.union(docs))) == sorted((t or "") for _, t, _ in rows)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in mixing.op5(docs).collect())
+    twice = docs.union(docs)
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(twice).collect()) == sum(r.taken for r in mixing.op5(twice).collect())
+    assert {words(r.text)[0] for r in mixed.collect()} <= {words(t)[0] for _, t, _ in rows if words(t)}
+
+
+def test_schedule_isnt_broadcast(spark, docs):
+    sizes = mixing.sizes_of(docs)
+    _, pieces, _ = mixing.mix(sizes)
+    plan = pieces._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "block#" in line and "Join" in line)
+    assert "rightHint=(strategy=merge)" in join
+
+
+def test_schedule_against_a_loop(spark):
+    sources = [{"s": k, "source_size": n, "take": t, "blocks": -(-n // 4), "need": -(-t // 4)} for k, (n, t) in enumerate([(40, 60), (0, 0), (7, 14), (100, 90)])]
+    for x in sources:
+        x["need"] = (x["take"] // x["source_size"] * x["blocks"] - (-(x["take"] % x["source_size"]) // 4)) if x["source_size"] else 0
+    total, rank, want = sum(x["need"] for x in sources), [0] * 4, []
+    for i in range(4 * total + 8):
+        at, s = ((i * mixing.GOLDEN) % (1 << 32)) * total >> 32, 0
+        while at >= sum(x["need"] for x in sources[: s + 1]):
+            s += 1
+        r, rank[s] = rank[s], rank[s] + 1
+        if r < sources[s]["need"]:
+            x = sources[s]
+            p, b = divmod(r, x["blocks"])
+            want.append((i, s, p, b, min(4, x["source_size"] - 4 * b, x["take"] - p * x["source_size"] - 4 * b)))
+    assert sorted(map(tuple, mixing.schedule(spark, sources, 4).collect())) == want
+
+
+def test_minimum_covariance_determinant(spark):
+    import numpy as np
+    from test_units import mcd_by_hand
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=(90, quality.P)), "b": np.concatenate([rng.normal(size=(70, quality.P)), 9 + rng.normal(size=(50, quality.P))]), "c": np.zeros((60, quality.P))}
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    used = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    got = {r.grp: r for r in quality.determinants(used, h=0.5)[0].collect()}
+    for g, x in groups.items():
+        _, m, q = mcd_by_hand(x, 0.5, np.array(quality.FLOOR))
+        assert np.allclose([got[g][f"m{j}"] for j in range(quality.P)], m, atol=1e-9)
+        assert np.allclose([got[g][f"q{i}_{j}"] for i in range(quality.P) for j in range(i, quality.P)], q[np.triu_indices(quality.P)], rtol=1e-6, atol=1e-6)
+    with pytest.raises(RuntimeError):
+        quality.determinants(used, h=0.5, max_steps=1)
+
+
+def test_fit_passes_over_a_text_that_is_too_long(spark):
+    rows = spark.createDataFrame([(1, "x" * 100), (2, "abc"), (3, None)], "k int, text string").orderBy("k").selectExpr("text", "k")
+    assert toxicity._rows(rows, 50) == (["abc", ""], [2, 3])
+
+
+def test_toxicity_of_rows(spark):
+    random.seed(2)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
+    rows = [(i, " ".join(word() for _ in range(30)) + (" zzyxx" if i % 4 == 0 else "")) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    odd = [(None, "zzyxx here"), (5, ""), (5, "a repeated id zzyxx"), (6, None)]
+    got = toxicity.op6(spark.createDataFrame([*rows, *odd], "doc_id long, text string"), labels).collect()
+    assert len(got) == 404 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    right = sum(r.predicted == int(r.doc_id % 4 == 0) for r in held if r.doc_id not in (5, 6))
+    assert right >= 0.95 * len(held)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -110,18 +110,30 @@ def test_decontamination_against_full_alignment():
             body.insert(random.randint(0, len(body)), "".join(x).upper() if k % 4 == 1 else "".join(x))
         rows.append("\n".join(body))
     rows += [None, "", "a SHORT\tone b", "shorty one"]
-    found = {(d, i): e for d, i, e, _, _ in decontaminate.Items(list(range(len(items))), items, 0.05).matches(pa.array(rows))}
+    found = {(d, i): e for d, i, _, _, e, _, _ in decontaminate.Items(list(range(len(items))), items, 0.05).matches(pa.array(rows))}
     for d, t in enumerate(rows):
         plain = " ".join((t or "").lower().split())
         for i, item in enumerate(x for x in items if x):
-            k = 0 if len(item) < 20 else min(int(0.05 * len(item)), (len(item) - 12) // 12)
-            if len(item) < 20:
+            q = decontaminate.Q
+            k = 0 if len(item) < q + 8 else min(int(0.05 * len(item)), (len(item) - q) // q)
+            if len(item) < q + 8:
                 assert ((d, i) in found) == (f" {item} " in f" {plain} ")
                 continue
             e = edit_distance_inside(item, plain)
             assert ((d, i) in found) == (e <= k) and found.get((d, i), e) == e
 
 
+def test_decontamination_of_parts_substitutions_and_repetition(monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 50)  # hits are counted in many parts
+    random.seed(6)
+    word = lambda: "".join(random.choice("abcdefghijklm") for _ in range(random.randint(3, 7)))
+    item = [word() for _ in range(120)]
+    sub = [word() if k % 16 == 5 else w for k, w in enumerate(item)]  # one word in sixteen replaced
+    rows = [" ".join(item[40:100]), "x y " + " ".join(item[:-15]) + " z", " ".join(sub), " ".join(word() for _ in range(300)), " ".join(item[60:80]), "ab " * 4000, "no aa bb no", "aa bb"]
+    got = {(d, i): (size, e) for d, i, size, _, e, _, _ in decontaminate.Items([7, 8, 9], [" ".join(item), "ab " * 200, "AA  bb"], 0.08).matches(pa.array(rows))}
+    assert set(got) == {(0, 0), (1, 0), (2, 0), (5, 1), (6, 2), (7, 2)} and got[0, 0] == (200, 0) and got[5, 1][1] == 0 and 0 < got[2, 0][1] <= 16
+
+
 PAGE = """<html><head><title>T &amp; x</title><script>var a="</p><p>no";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>
 <div class="cookie-notice">We use cookies, accept them all please and go on</div>
 {open}<h1>Title  here</h1><p><b>First &amp;  para<br>goes on<p>Second&nbsp;one &eacute; is a good deal longer than that, with many words in it.</p><div class="ad">Buy things now</div>
@@ -142,6 +154,25 @@ def test_html_edges(html, text):
         assert htmltext.extract(html) == text
 
 
+LONG = "word after word " * 12
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "comments-open", "related-posts-enabled", "search-results", "page-with-sidebar"])
+def test_html_wrappers_that_name_a_state(name):
+    got = htmltext.extract(f"<body><div class='{name}'><h2>Head</h2><p>{LONG}</p><div class='sidebar'><p>{LONG}</p></div></div></body>")
+    assert got == f"Head\n\n{LONG.strip()}"
+
+
+def test_html_marked_wrapper_with_the_heading_and_most_text():
+    got = htmltext.extract(f"<body><div class='promo'><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><div class='promo'><p>{LONG}</p></div></body>")
+    assert got == f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("start", ["<head><title>x</title><body>", "<head><meta charset=a><title>x</title>", "<svg><path d=1>", "<noscript>", "<![if x]><![ endif]>", "<iframe src=a>", "<head><script>if (a < b) {}</script>"])
+def test_html_unclosed_and_odd_starts(start):
+    assert htmltext.extract(f"{start}<p>{LONG}</p><p>{LONG}</p>") == f"{LONG.strip()}\n\n{LONG.strip()}"
+
+
 def test_sketch_estimates():
     h, rng = neardup.Hasher(), np.random.default_rng(0)
     for shared in (50, 80, 95):
@@ -153,11 +184,41 @@ def test_sketch_estimates():
         assert abs(neardup.similarity(np.array([(x != y).sum()]), h.k)[0] - j) < 0.13
 
 
-def test_licenses():
+def dice_by_hand(text, template, least):
+    """The best coefficient over every run of words of the text."""
+    trim = lambda t: [x for x in (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in t.lower().split()) if x]
+    a, b = trim(text), trim(template)
+    want = set(zip(b, b[1:], strict=False))
+    best = 0
+    for i in range(len(a)):
+        for j in range(i + 2, min(len(a), i + int(len(b) * 2 / least) + 2) + 1):
+            have = set(zip(a[i : j - 1], a[i + 1 : j], strict=True))
+            best = max(best, 2 * len(have & want) / (len(have) + len(want)))
+    return best
+
+
+def test_licenses_against_every_run():
     t = licenses.Templates(licenses.TEMPLATES, 0.85)
-    rows = ["x y\nReleased under the MIT License.\nz", "RELEASED under the  mit license", licenses.TEMPLATES["MIT"].replace(". ", ".\n"), "nothing here at all", None, "", "license"]
-    got = [b[0] for b in licenses._scan_part(t, pa.array(rows))]
-    assert got == ["MIT notice", "MIT notice", "MIT", None, None, None, None]
+    rows = ["x y\nReleased under the MIT License.\nz", "RELEASED under the  mit license", "nothing here at all", None, "", "license"]
+    assert [b[0] for b in licenses._scan_part(t, pa.array(rows))] == ["MIT notice", "MIT notice", None, None, None, None]
+    mit = licenses.TEMPLATES["MIT"]
+    cut = [mit.index("The above"), mit.index("THE SOFTWARE")]
+    three = f"some words\n\n// {mit[: cut[0]]}\n \n{mit[cut[0] : cut[1]]}\r\n\r\n# {mit[cut[1] :]}\n" + "int main() { return 0; }\n" * 40
+    assert licenses._scan_part(t, pa.array([three]))[0][:3] == ("MIT", 1.0, int(t.size[t.names.index("MIT")]))
+    random.seed(8)
+    short = {k: licenses.TEMPLATES[k] for k in ("MIT notice", "GPL-2.0 notice", "GPL-3.0 notice", "BSD-3-Clause notice")}
+    s, rows = licenses.Templates(short, 0.6), []
+    for _ in range(60):
+        w = random.choice(list(short.values())).split() + random.choice(["", "The MIT License again"]).split()
+        for _ in range(random.randrange(6)):
+            w[random.randrange(len(w))] = random.choice(["of", "the", "word", "license"])
+        rows.append(" ".join([random.choice(["a", "the", "is"]) for _ in range(random.randrange(8))] + w + ["code", "is"] * random.randrange(4)))
+    for text, got in zip(rows, licenses._scan_part(s, pa.array(rows)), strict=True):
+        each = {k: dice_by_hand(text, v, 0.6) for k, v in short.items()}
+        assert (got[0] is None) == (max(each.values()) < 0.6)
+        if got[0]:
+            assert abs(each[got[0]] - got[1]) < 1e-9
+    assert licenses._scan_part(licenses.Templates({}, 0.85), pa.array(["a b c"])) == [(None,) * 5]
 
 
 def test_segments():
@@ -204,6 +265,62 @@ def test_state_runs_through_windows():
         assert abs(net.log_probs(states[:, 0], x).sum() - got[d]) < 1e-3
 
 
+def test_network_against_a_plain_loop():
+    """The probabilities of a document's tokens, worked out one token and one unit at a time."""
+    rng = np.random.default_rng(4)
+    classes, members, d = 3, 4, 5
+    net = lm.Network(classes * members + lm.TAILS, classes, members, d)
+    net.start(rng.normal(size=classes + lm.TAILS), rng.normal(size=(classes, members)))
+    idx = rng.integers(0, classes * members + lm.TAILS, 60)
+    p, h, total = {k: v.astype(float) for k, v in net.p.items()}, np.zeros(d), 0.0
+    for t in idx:
+        cls = t // members if t < classes * members else classes + t - classes * members
+        logits = [sum(h[i] * p["c"][i, k] for i in range(d)) + p["cb"][k] for k in range(classes + lm.TAILS)]
+        total += logits[cls] - np.log(sum(np.exp(x) for x in logits))
+        if cls < classes:
+            logits = [sum(h[i] * p["m"][cls, i, k] for i in range(d)) + p["mb"][cls, k] for k in range(members)]
+            total += logits[t % members] - np.log(sum(np.exp(x) for x in logits))
+        a = [sum(h[i] * p["u"][i, k] for i in range(d)) + p["x"][t, k] + p["b"][k] for k in range(2 * d)]
+        z, n = [1 / (1 + np.exp(-x)) for x in a[:d]], [np.tanh(x) for x in a[d:]]
+        h = np.array([z[i] * h[i] + (1 - z[i]) * n[i] for i in range(d)])
+    assert abs(lm.document_scores(net, idx, np.array([0, 60]))[0] - total) < 1e-3
+
+
+def test_training_lowers_the_loss_and_repeats():
+    rng = np.random.default_rng(5)
+    idx = (np.arange(6000) % 7 + (rng.random(6000) < 0.05)).astype(np.int32)
+    off = np.array([0, 10, 2500, 6000])
+    made = []
+    for _ in range(2):
+        net = lm.Network(12 + lm.TAILS, 3, 4, 8)
+        net.start(np.zeros(3 + lm.TAILS), np.zeros((3, 4)))
+        before = lm.document_scores(net, idx, off).sum()
+        lm.train_local(net, idx, off)
+        made.append((before, lm.document_scores(net, idx, off).sum()))
+    assert made[0] == made[1] and made[0][1] > 0.5 * made[0][0]
+
+
+def mcd_by_hand(x, h, floor):
+    """Concentration steps to the end from medians, from the nearest half of h rows too; the least determinant wins."""
+    k, best = lambda share: max(1, int(np.ceil(share * len(x)))), None
+    for share in (1.0, 0.5):
+        m = np.sort(x, axis=0)[(len(x) + 1) // 2 - 1]
+        dev = np.sort(np.abs(x - m), axis=0)[(len(x) + 1) // 2 - 1]
+        q, last = np.diag(1 / ((1.4826 * dev) ** 2 + floor**2)), np.inf
+        for step in range(100):
+            d = np.einsum("ni,ij,nj->n", x - m, q, x - m)
+            near = x[d <= np.sort(d)[k(h * (share if step == 0 else 1)) - 1]]
+            m = near.mean(axis=0)
+            cov = near.T @ near / len(near) - np.outer(m, m) + np.diag(floor**2)
+            q, det = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+            if step > 1 and last - det <= 1e-3:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = (det, m, q)
+    return best
+
+
 def test_nnpu_learns_from_positives_only():
     random.seed(1)
     word = lambda: "".join(random.choice("abcdefghij") for _ in range(5))
