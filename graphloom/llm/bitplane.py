@@ -57,11 +57,18 @@ def join_planes(planes: list[bytes], n: int, bits: int = 1) -> np.ndarray:
             if b:
                 cols[:, p] = np.frombuffer(b, np.uint8)
         return cols.reshape(-1).view("<u4").copy()
-    rows = np.zeros((32, n), np.uint8)
+    size = 8 * (-(-len(planes) // 8))
+    rows = np.zeros((size, n), np.uint8)
     for p, b in enumerate(planes):
         if b:
             rows[p] = np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little", count=n)
-    return np.packbits(np.ascontiguousarray(rows.T), axis=1, bitorder="little").reshape(-1).view("<u4").copy()
+    out = np.zeros((n, 4), np.uint8)
+    for k in range(size // 8):  # eight planes make one byte of each id
+        byte = rows[8 * k].copy()
+        for j in range(1, 8):
+            byte |= rows[8 * k + j] << np.uint8(j)
+        out[:, k] = byte
+    return out.reshape(-1).view("<u4")
 
 
 class ShardWriter:
@@ -196,12 +203,12 @@ class WordEncoder:
     Its pre-tokens are runs of letters, single digits and runs of other signs. Words of ASCII and of the letters
     U+00C0-U+00FF are cut into such runs here, and each distinct run is encoded once a process; other words (an
     apostrophe, other scripts, marks) are units of their own, so the tokenizer sees all that could depend on context.
-    The last token of a pre-token ends in the end-of-word mark, which tells the runs of a joined text apart. The table of
-    known units is emptied beyond `cache` units, so memory is bounded. `by_word=False` encodes whole texts instead,
-    for any other tokenizer.
+    The last token of a pre-token ends in the end-of-word mark, which tells the runs of a joined text apart. Units are
+    found again by 64-bit hashes of their bytes; the table of known units is emptied beyond `cache` units, so memory is
+    bounded (some 40 bytes a unit). `by_word=False` encodes whole texts instead, for any other tokenizer.
     """
 
-    def __init__(self, path: str, by_word: bool = True, cache: int = 600_000):
+    def __init__(self, path: str, by_word: bool = True, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -215,14 +222,15 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.at, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted hashes, the place of each in at and n
+        self.pool = np.zeros(1 << 16, np.uint16 if self.by_word and len(self.last) <= 1 << 16 else np.uint32)
+        self.at, self.n = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
         self.used = self.words = 0
 
     @staticmethod
-    def units(w: textcore.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(bytes of all words, start of each unit with the end last, number of the first unit of each document)."""
+    def units(w: textcore.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all words, start of each unit with the end last, number of the first unit of each document, whether
+        each unit is a run cut here and not an odd word)."""
         body = w.data[w.word]
         size = w.end - w.start
         at = np.zeros(len(size) + 1, np.int64)
@@ -240,39 +248,43 @@ class WordEncoder:
             cut[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == 2)) & plain[1:]
             cut[at[:-1]] = True
         starts = np.append(np.flatnonzero(cut), len(body))
-        return body, starts, np.searchsorted(starts, at[w.first])
+        return body, starts, np.searchsorted(starts, at[w.first]), plain[starts[:-1]]
 
-    def _append(self, words: list[str], flat: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        """Enters words whose ids are flat[at:at + n]."""
+    def _append(self, hashes: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        """Enters units whose ids lie end to end in flat, n of each."""
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.words + len(words) > len(self.at):
+        while self.words + len(n) > len(self.at):
             self.at, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.n))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.at[self.words : self.words + len(words)] = at + self.used
-        self.n[self.words : self.words + len(words)] = n
-        self.known.update(zip(words, range(self.words, self.words + len(words)), strict=True))
+        self.at[self.words : self.words + len(n)] = self.used + np.cumsum(n) - n
+        self.n[self.words : self.words + len(n)] = n
+        order = np.argsort(hashes)
+        where = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, where, hashes[order])
+        self.slot = np.insert(self.slot, where, (self.words + order).astype(np.int32))
         self.used += len(flat)
-        self.words += len(words)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encodes new units many to a text, since a call costs more than a unit does."""
-        alone = [w for w in words if not (w.isascii() and "'" not in w and "<|" not in w) and not all(c < "\x7f" and c != "'" or "\xc0" <= c <= "\xff" and c not in "\xd7\xf7" for c in w)]
-        if alone:
-            odd = set(alone)
-            words = [w for w in words if w not in odd]
-        groups = [words[a : a + 512] for a in range(0, len(words), 512)]
-        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        self.words += len(n)
+
+    def _learn(self, hashes: np.ndarray, words: list[str], plain: np.ndarray) -> None:
+        """Encodes new units: runs many to a text, since a call costs more than a unit does, odd words each as a text."""
+        runs, alone = np.flatnonzero(plain), np.flatnonzero(~plain).tolist()
+        which, ids, sizes = [], [], []
+        groups = [runs[a : a + 512] for a in range(0, len(runs), 512)]
+        for g, e in zip(groups, self.tok.encode_batch_fast([" ".join([words[k] for k in g.tolist()]) for g in groups], add_special_tokens=False), strict=True):
             flat = np.array(e.ids, np.uint32)
             ends = np.flatnonzero(self.last[flat]) + 1
             if len(ends) == len(g):
-                at = np.concatenate(([0], ends[:-1]))
-                self._append(g, flat, at, ends - at)
+                which.append(g)
+                ids.append(flat)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                alone += g
-        for w in alone:
-            flat = np.array(self.tok.encode(w, add_special_tokens=False).ids, np.uint32)
-            self._append([w], flat, np.zeros(1, np.int64), np.array([len(flat)]))
+                alone += g.tolist()
+        for k, e in zip(alone, self.tok.encode_batch_fast([words[k] for k in alone], add_special_tokens=False), strict=True):
+            which.append([k])
+            ids.append(np.array(e.ids, np.uint32))
+            sizes.append([len(e.ids)])
+        self._append(hashes[np.concatenate(which)], np.concatenate(ids), np.concatenate(sizes).astype(np.int32))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end with `end` after each, ids in each text)."""
@@ -281,16 +293,25 @@ class WordEncoder:
             rows = [np.array([*e.ids, end], np.uint32) for e in enc]
             return (np.concatenate(rows) if rows else np.zeros(0, np.uint32)), np.array([len(r) for r in rows], np.int64)
         w = textcore.Words(texts)
-        body, starts, first = self.units(w)
+        body, starts, first, plain = self.units(w)
         units = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(body)]).dictionary_encode()
         code, words = units.indices.to_numpy(), units.dictionary
-        words = words.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
-        if self.words + len(words) > self.most:
+        data, off = textcore.text_bytes(words.cast(pa.large_string()))
+        h = textcore.span_hashes(data, off[:-1], off[1:])
+        order = np.argsort(h)
+        h = h[order]
+        if self.words + len(h) > self.most:
             self._forget()
-        known = self.known
-        if fresh := [x for x in words if x not in known]:
-            self._learn(fresh)
-        slot = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        place = np.searchsorted(self.known, h)
+        fresh = np.flatnonzero(self.known[np.minimum(place, len(self.known) - 1)] != h) if len(self.known) else np.arange(len(h))
+        if len(fresh):
+            kind = np.empty(len(h), bool)
+            kind[code] = plain
+            kind = kind[order]
+            self._learn(h[fresh], words.take(pa.array(order[fresh])).cast(pa.large_string()).to_pylist(), kind[fresh])
+            place = np.searchsorted(self.known, h)
+        slot = np.zeros(len(h), np.int64)
+        slot[order] = self.slot[place]
         at, n = self.at[slot][code], self.n[slot][code]
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
@@ -349,7 +370,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, *, end_id: int = 2,
             handle.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [f"{out}/{name}"], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    return work.saved(ordered.mapInArrow(encode, "shard long, path string, n_docs long, n_ids long"), "shards")
+    return work.saved(work.map_arrow(ordered, encode, "shard long, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -375,7 +396,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return placed.mapInArrow(decode, "shard long, doc_id long, start long, n_tokens long, ids binary")
+    return work.map_arrow(placed, decode, "shard long, doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
