@@ -1,12 +1,13 @@
 """Quality rules by robust multivariate outliers: minimum covariance determinant per language and source (operator 8).
 
 Statistics of whole texts become a small table of transformed vectors. Per (language, source) the minimum covariance
-determinant is approached by concentration steps, each a distributed pass: distances from the present centre and
-covariance, their h-quantile per group, then centre and covariance of the rows below it. The first centre is the median
-with scaled median deviations. Vectors far from their group's final estimate (Mahalanobis) are rejected.
+determinant is sought by concentration steps, each a distributed pass: distances from the present centre and
+covariance, their h-quantile per group, then centre and covariance of the rows below it, until the determinant settles,
+from several starts of which the one with the least determinant wins. Vectors far from their group's final estimate (Mahalanobis) are rejected.
 
 Defined cases: null text has no words and fails the base rule; null language or source is a value of its own; groups
-below `min_rows` pool by language, then all together, and a pool that is still below it rejects by the base rule only.
+below `min_rows` pool by language (null apart from an empty one), then all together, and a pool that is still below it
+rejects by the base rule only; rows that tie with a quantile are on its near side; rows that share an id are judged each.
 """
 
 from __future__ import annotations
@@ -119,31 +120,32 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def statistics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """doc_id, lang, source, the counts and the feature vector of every row."""
+    """doc_id, lang, source, text_hash, the counts and the feature vector of every row."""
     work.ship(documents.sparkSession)
-    small = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    small = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
 
     def measure(batches):
         for batch in batches:
-            for part in textcore.slices(batch, 3):
-                s = text_statistics(part.column(3))
+            for part in textcore.slices(batch, 4):
+                s = text_statistics(part.column(4))
                 x = features(s)
-                cols = [part.column(0), part.column(1), part.column(2), *(pa.array(s[k], pa.int64()) for k in COUNTS), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(P))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "source", *COUNTS, *FEATURES])
+                cols = [part.column(0), part.column(1), part.column(2), part.column(3), *(pa.array(s[k], pa.int64()) for k in COUNTS), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(P))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang", "source", "text_hash", *COUNTS, *FEATURES])
 
     kinds = ", ".join([*(f"{k} long" for k in COUNTS), *(f"{k} double" for k in FEATURES)])
-    return small.mapInArrow(measure, f"doc_id long, lang string, source string, {kinds}")
+    return work.map_arrow(small, measure, f"doc_id long, lang string, source string, text_hash long, {kinds}")
 
 
 def _grouped(stats: DataFrame, min_rows: int) -> DataFrame:
     """Adds `grp`: language and source, or a pool for small groups; null where even the pool is small."""
     key = F.to_json(F.struct("lang", "source"))
-    counts = stats.where("not base_failed").groupBy(key.alias("grp0"), F.coalesce("lang", F.lit("")).alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stats.where("not base_failed").groupBy(key.alias("grp0"), F.to_json(F.struct("lang")).alias("l")).agg(F.count(F.lit(1)).alias("n"))
     pooled = counts.withColumn("grp1", F.when(F.col("n") >= min_rows, F.col("grp0")).otherwise(F.concat(F.lit("lang:"), "l")))
     pools = pooled.groupBy("grp1").agg(F.sum("n").alias("n1")).withColumn("grp2", F.when(F.col("n1") >= min_rows, F.col("grp1")).otherwise(F.lit("all")))
     last = pools.groupBy("grp2").agg(F.sum("n1").alias("n2"))
     names = pooled.join(pools, "grp1").join(last, "grp2").select("grp0", F.when(F.col("n2") >= min_rows, F.col("grp2")).alias("grp"))
-    return stats.withColumn("grp0", key).join(names, "grp0", "left").drop("grp0")
+    names = work.saved(names, "quality-groups")
+    return stats.withColumn("grp0", key).join(F.broadcast(names) if names.count() <= 100_000 else names, "grp0", "left").drop("grp0")
 
 
 def _distance() -> F.Column:
@@ -155,17 +157,20 @@ def _distance() -> F.Column:
     return total
 
 
-_PARAMS = ", ".join(["grp string", *(f"m{j} double" for j in range(P)), *(f"q{i}_{j} double" for i in range(P) for j in range(i, P))])
+_ESTIMATE = ", ".join(["grp string", "start int", "logdet double", *(f"m{j} double" for j in range(P)), *(f"q{i}_{j} double" for i in range(P) for j in range(i, P))])
+_CENTRE = [c.split()[0] for c in _ESTIMATE.split(", ")]
 
 
-def _precision(moments: DataFrame) -> DataFrame:
-    """Centre and inverse covariance a group from its moments: one row in, one row out."""
+def _estimates(rows: DataFrame) -> DataFrame:
+    """Centre, inverse covariance and log determinant of the covariance of rows, a group and start."""
+    aggs = [F.avg(f).alias(f"a{j}") for j, f in enumerate(FEATURES)]
+    aggs += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i in range(P) for j in range(i, P)]
 
     def invert(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = []
+            out = []
             for r in pdf.to_dict("records"):
                 mean = np.array([r[f"a{j}"] for j in range(P)])
                 cov = np.zeros((P, P))
@@ -174,19 +179,58 @@ def _precision(moments: DataFrame) -> DataFrame:
                         cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] - mean[i] * mean[j]
                 cov += np.diag(np.square(FLOOR))
                 q = np.linalg.inv(cov)
-                rows.append([r["grp"], *mean, *(q[i, j] for i in range(P) for j in range(i, P))])
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _PARAMS.split(", ")])
+                out.append([r["grp"], r["start"], np.linalg.slogdet(cov)[1], *mean, *(q[i, j] for i in range(P) for j in range(i, P))])
+            yield pd.DataFrame(out, columns=_CENTRE)
 
-    return moments.mapInPandas(invert, _PARAMS)
+    return rows.groupBy("grp", "start").agg(*aggs).mapInPandas(invert, _ESTIMATE)
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    aggs = [F.avg(f).alias(f"a{j}") for j, f in enumerate(FEATURES)]
-    aggs += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"c{i}_{j}") for i in range(P) for j in range(i, P)]
-    return rows.groupBy("grp").agg(*aggs)
+def _beside(rows: DataFrame, table: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """rows with the columns of a table of one row a key; few: the table was counted and is small enough to send."""
+    return rows.join(F.broadcast(table) if few else table, keys)
 
 
-def verdicts(stats: DataFrame, *, min_words: int = 20, max_repeat: int = 30, min_rows: int = 60, h: float = 0.75, steps: int = 2, cutoff: float = 45.0, full_words: int = 100) -> DataFrame:
+def determinants(used: DataFrame, *, h: float, starts: tuple[float, ...] = (1.0, 0.5), max_steps: int = 50, tolerance: float = 1e-3, accuracy: int = 10_000, most_sent: int = 10_000) -> tuple[DataFrame, bool]:
+    """The minimum covariance determinant estimate of each group of used(grp, features): a saved table (grp, m.., q..), and
+    whether it has at most `most_sent` rows (some 3 MB), so that it may be broadcast.
+
+    Concentration steps take the h nearest of a group's rows. They run side by side from several starts: all from medians
+    and their deviations, the k-th taking the share starts[k] of h rows in its first step. Each goes on until its
+    determinant falls by less than `tolerance` (in logarithm); the start of the least determinant wins. A step is two passes over
+    the vectors, with partial sums before the shuffle, so a group's size doesn't matter. Raises if a group hasn't settled
+    after `max_steps`.
+    """
+    median = work.saved(used.groupBy("grp").agg(*(F.percentile_approx(f, 0.5, accuracy).alias(f"m{j}") for j, f in enumerate(FEATURES))), "quality-median")
+    few = median.count() * len(starts) <= most_sent
+    off = _beside(used, median, ["grp"], few).groupBy("grp").agg(*(F.first(f"m{j}").alias(f"m{j}") for j in range(P)), *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m{j}")), 0.5, accuracy).alias(f"d{j}") for j, f in enumerate(FEATURES)))
+    scale = lambda j: 1 / (F.pow(1.4826 * F.col(f"d{j}"), 2) + FLOOR[j] ** 2)
+    first = off.select("grp", F.explode(F.array(*(F.lit(k) for k in range(len(starts))))).alias("start"), *(f"m{j}" for j in range(P)), *((scale(i) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i in range(P) for j in range(i, P)), F.lit(float("inf")).alias("logdet"), F.lit(True).alias("going"))
+    params, settled = work.saved(first, "quality-params"), []
+    for step in range(max_steps):
+        live = params.where("going")
+        near = _beside(used, live.drop("going", "logdet"), ["grp"], few).select("grp", "start", *FEATURES, _distance().alias("d"))
+        shares = F.array(*(F.lit(h * x) for x in starts)) if step == 0 else F.array(F.lit(h))
+        cut = near.groupBy("grp", "start").agg(F.element_at(F.percentile_approx("d", shares, accuracy), F.col("start") + 1 if step == 0 else F.lit(1)).alias("cut"))
+        cut = work.saved(cut, "quality-cut")
+        new = _estimates(_beside(near, cut, ["grp", "start"], few).where("d <= cut"))
+        # the first step may take fewer rows than the others, so its determinant is no measure
+        going = F.lit(True) if step == 0 else F.col("old") - F.col("logdet") > tolerance
+        old = live.select("grp", "start", F.lit(float("inf")).alias("old") if step <= 1 else F.col("logdet").alias("old"))
+        before, params = params, work.saved(_beside(new, old, ["grp", "start"], few).withColumn("going", going).drop("old"), "quality-params")
+        settled.append(params.where("not going"))
+        work.discard(cut, *([before] if step == 0 else []))
+        if params.where("going").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"a covariance estimate did not settle within {max_steps} steps")
+    every = settled[0]
+    for x in settled[1:]:
+        every = every.unionByName(x)
+    best = every.groupBy("grp").agg(F.min_by(F.struct(*_CENTRE[3:]), F.struct("logdet", "start")).alias("b"))
+    return work.saved(best.select("grp", "b.*"), "quality-final"), few
+
+
+def verdicts(stats: DataFrame, *, min_words: int = 20, max_repeat: int = 30, min_rows: int = 60, h: float = 0.5, cutoff: float = 45.0, full_words: int = 100) -> DataFrame:
     """stats with base_failed, distance (squared Mahalanobis; null without an estimate) and kept.
 
     Rows that fail the base rule don't enter the estimates. A text of fewer than `full_words` words has features of
@@ -194,25 +238,19 @@ def verdicts(stats: DataFrame, *, min_words: int = 20, max_repeat: int = 30, min
     of chi-square with seven degrees of freedom: whole documents are lost only where something is clearly off.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
-    rows = work.saved(_grouped(stats.withColumn("base_failed", failed), min_rows), "quality-stats")
+    stats = work.saved(stats.withColumn("base_failed", failed), "quality-measured")  # texts are measured once
+    rows = work.saved(_grouped(stats, min_rows), "quality-stats")
     used = rows.where("not base_failed and grp is not null").select("grp", *FEATURES)
-    median = used.groupBy("grp").agg(*(F.percentile_approx(f, 0.5, 1000).alias(f"m{j}") for j, f in enumerate(FEATURES)))
-    spread = used.join(median, "grp").groupBy("grp").agg(*(F.first(f"m{j}").alias(f"m{j}") for j in range(P)), *(F.percentile_approx(F.abs(F.col(f) - F.col(f"m{j}")), 0.5, 1000).alias(f"d{j}") for j, f in enumerate(FEATURES)))
-    scale = lambda j: 1 / (F.pow(1.4826 * F.col(f"d{j}"), 2) + FLOOR[j] ** 2)
-    params = spread.select("grp", *(f"m{j}" for j in range(P)), *((scale(i) if i == j else F.lit(0.0)).alias(f"q{i}_{j}") for i in range(P) for j in range(i, P)))
-    params = work.saved(params, "quality-params")
-    for _ in range(steps):
-        near = used.join(params, "grp").select("grp", *FEATURES, _distance().alias("d"))
-        cut = near.groupBy("grp").agg(F.percentile_approx("d", h, 1000).alias("cut"))
-        params = work.saved(_precision(_moments(near.join(cut, "grp").where("d <= cut"))), "quality-params")
+    params, few = determinants(used, h=h)
     # Consistency: the h-subset understates the spread, so distances are scaled to the chi-square median per group.
-    level = used.join(params, "grp").select("grp", _distance().alias("d")).groupBy("grp").agg(F.percentile_approx("d", 0.5, 1000).alias("mid"))
-    judged = rows.join(params.join(level, "grp"), "grp", "left")
+    level = _beside(used, params, ["grp"], few).select("grp", _distance().alias("d")).groupBy("grp").agg(F.percentile_approx("d", 0.5, 10_000).alias("mid"))
+    both = work.saved(_beside(params, level, ["grp"], few), "quality-level")
+    judged = rows.join(F.broadcast(both) if few else both, "grp", "left")
     weight = F.least(F.lit(1.0), F.col("n_words") / F.lit(float(full_words)))
     distance = _distance() / F.greatest(F.lit(1.0), F.col("mid") / F.lit(CHI2_MEDIAN)) * weight
     judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return judged.withColumn("kept", kept).select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", "kept")
+    return judged.withColumn("kept", kept).select("doc_id", "lang", "source", "text_hash", *COUNTS, "base_failed", "distance", "kept")
 
 
 def op8(documents: DataFrame) -> DataFrame:
@@ -220,10 +258,10 @@ def op8(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", *COUNTS, "base_failed", "kept", "distance")
 
 
-def keep(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """documents without those rejected; columns as given. Rows that share an id stay or go by their own texts' verdicts:
-    an id goes only if all its rows are rejected."""
-    found = verdicts(statistics(documents, id_col))
-    key = work.fresh(documents, "kept_doc")
-    gone = found.groupBy(F.col("doc_id").alias(key)).agg(F.max("kept").alias("_any")).where("not _any").select(key)
-    return bits.without(documents, id_col, work.saved(gone, "quality-gone"), key)
+def keep(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """documents without those rejected; columns as given. Each row goes by its own verdict, whatever other rows share its
+    id: rows are told apart by id, text, language and source, which are all a verdict rests on."""
+    found = verdicts(statistics(documents, id_col, text_col, lang_col, source_col))
+    gone = work.saved(found.where("not kept").select("doc_id", "text_hash", "lang", "source").distinct(), "quality-gone")
+    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(lang_col).cast("string"), F.col(source_col).cast("string")]
+    return bits.without(documents, keys, gone)
