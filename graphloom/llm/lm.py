@@ -12,8 +12,9 @@ words, as the base score does for all of them. Weights are fitted in numpy by tr
 all training documents: each is learned from once, in one of the rounds (by hash), by local steps of each trainer and
 averaging between rounds, so the fit grows with the corpus. Scoring carries the state across windows to a document's end; nothing is cut off.
 
-Counts of tail words are joined as a distributed table. Broadcast: the network (about 1 MB) and the `cached` most
-frequent counts. Token hashes are 64-bit (the low bits name the tail class).
+Texts are cut into tokens twice: to count, and to write token codes (two bytes a token), from which the network learns and
+scores. Counts of rare words are joined as a distributed table. Sent to tasks: the network (about 1 MB) and the `cached`
+most frequent counts (4 MB). Token hashes are 64-bit (the low bits name the tail class).
 
 Defined cases: null and empty texts are an end token alone; null ids never train and are scored as seen; an empty
 training set, or one that fits nothing, gives every document the base score as its score; rows with equal ids are
@@ -22,9 +23,6 @@ scored each.
 
 from __future__ import annotations
 
-import zlib
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,37 +60,15 @@ def token_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, n + 1
 
 
-@dataclass
-class Vocabulary:
-    head: np.ndarray  # sorted hashes of the head words
-    head_index: np.ndarray  # number (class * members + place) of each
-    classes: int
-    members: int
-    known: np.ndarray  # sorted hashes of the most frequent words
-    known_count: np.ndarray
-    tail_log: np.ndarray  # log10(N_k + V_k + 1)
-    total: int
-    distinct: int
-
-    def index(self, h: np.ndarray) -> np.ndarray:
-        """Input number of each token: head words first, then tail classes."""
-        out = (h & (TAILS - 1)) + self.classes * self.members
-        if len(self.head):
-            at = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-            hit = self.head[at] == h
-            out[hit] = self.head_index[at[hit]]
-        return out
-
-    def inputs(self) -> int:
-        return self.classes * self.members + TAILS
-
-
 class Network:
-    """Gated recurrent unit with a class-factored softmax; weights in one flat array of float32."""
+    """Gated recurrent unit with one gate and a class-factored softmax; weights in one flat array of float32.
+
+    z = sigmoid(x W_z + h U_z), n = tanh(x W_n + h U_n), h' = n + z (h - n): the gate decides how much of the state stays.
+    """
 
     def __init__(self, inputs: int, classes: int, members: int, hidden: int, flat: np.ndarray | None = None):
         self.classes, self.members, self.hidden = classes, members, hidden
-        self.shapes = {"x": (inputs, 3 * hidden), "u": (hidden, 3 * hidden), "b": (3 * hidden,), "c": (hidden, classes + TAILS), "cb": (classes + TAILS,), "m": (classes, hidden, members), "mb": (classes, members)}
+        self.shapes = {"x": (inputs, 2 * hidden), "u": (hidden, 2 * hidden), "b": (2 * hidden,), "c": (hidden, classes + TAILS), "cb": (classes + TAILS,), "m": (classes, hidden, members), "mb": (classes, members)}
         size = sum(int(np.prod(s)) for s in self.shapes.values())
         self.flat = np.zeros(size, F32) if flat is None else np.array(flat, F32)
         self.p = self._views(self.flat)
@@ -110,69 +86,65 @@ class Network:
         for k in ("x", "u", "c", "m"):
             self.p[k][...] = rng.normal(0, {"x": 0.3, "u": 1 / np.sqrt(self.hidden), "c": 0.05, "m": 0.02}[k], self.shapes[k])
         self.p["b"][: self.hidden] = 1.0  # keep the state at first
-        self.p["cb"][...] = class_log
-        self.p["mb"][...] = member_log
+        self.p["cb"][...] = class_log - class_log.max()
+        self.p["mb"][...] = member_log - member_log.max(axis=1, keepdims=True)
 
-    def run(self, idx: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States before each of T x B tokens, and the state after the last; keep: gets what the way back needs."""
+    def run(self, idx: np.ndarray, reset: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States before each of T x B tokens, and the state after the last; gates: gets z and n of each."""
         d, p = self.hidden, self.p
         steps, lanes = idx.shape
         states = np.empty((steps, lanes, d), F32)
-        x = p["x"] + p["b"]
-        u = p["u"]
-        any_reset = reset.any(axis=1)
+        # sigmoid(a) = (1 + tanh(a / 2)) / 2, so one tanh serves both
+        x, u = p["x"] + p["b"], p["u"].copy()
+        x[:, :d] *= F32(0.5)
+        u[:, :d] *= F32(0.5)
+        g, any_reset = np.empty((lanes, 2 * d), F32), reset.any(axis=1)
+        h = h.copy()
         for t in range(steps):
             if any_reset[t]:
-                h = np.where(reset[t][:, None], F32(0), h)
+                h[reset[t]] = 0
             states[t] = h
-            hu = h @ u
-            xt = x[idx[t]]
-            zr = 1 / (1 + np.exp(-(xt[:, : 2 * d] + hu[:, : 2 * d])))
-            z, r = zr[:, :d], zr[:, d:]
-            n = np.tanh(xt[:, 2 * d :] + r * hu[:, 2 * d :])
-            if keep is not None:
-                keep[t] = (z, r, n, hu[:, 2 * d :])
-            h = n + z * (h - n)
+            if gates is not None:
+                g = gates[t]
+            np.matmul(h, u, out=g)
+            g += x[idx[t]]
+            np.tanh(g, out=g)
+            z, n = g[:, :d], g[:, d:]
+            z += F32(1)
+            z *= F32(0.5)
+            h -= n
+            h *= z
+            h += n
         return states, h
 
     def log_probs(self, h: np.ndarray, idx: np.ndarray, grad: dict | None = None, scale: float = 1.0) -> np.ndarray:
         """Natural log of P(class | h), times P(word | class, h) for the head, of tokens idx; grad: gets gradients of the
         negative sum times scale, and grad['h'] of the states."""
         p, heads = self.p, self.classes * self.members
-        cls = np.where(idx < heads, idx // self.members, idx - heads + self.classes)
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
+        cls = np.where(idx < heads, idx // self.members, idx - heads + self.classes).astype(np.int16)
         rows = np.arange(len(idx))
-        out = (logits[rows, cls] - np.log(s)).astype(np.float64)
+        out, e = _softmax(h @ p["c"] + p["cb"], rows, cls)
         if grad is not None:
-            g = e / s[:, None]
-            g[rows, cls] -= 1
-            g *= F32(scale)
-            grad["c"] += h.T @ g
-            grad["cb"] += g.sum(axis=0)
-            grad["h"] = g @ p["c"].T
+            e[rows, cls] -= 1
+            e *= F32(scale)
+            grad["c"] += h.T @ e
+            grad["cb"] += e.sum(axis=0)
+            grad["h"] = e @ p["c"].T
         order = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
         for c in range(self.classes):
             r = order[cuts[c] : cuts[c + 1]]
             if not len(r):
                 continue
-            hr, place = h[r], idx[r] - c * self.members
-            logits = hr @ p["m"][c] + p["mb"][c]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            s = e.sum(axis=1)
-            at = np.arange(len(r))
-            out[r] += logits[at, place] - np.log(s)
+            hr, place, at = h[r], idx[r] - c * self.members, rows[: len(r)]
+            more, e = _softmax(hr @ p["m"][c] + p["mb"][c], at, place)
+            out[r] += more
             if grad is not None:
-                g = e / s[:, None]
-                g[at, place] -= 1
-                g *= F32(scale)
-                grad["m"][c] += hr.T @ g
-                grad["mb"][c] += g.sum(axis=0)
-                grad["h"][r] += g @ p["m"][c].T
+                e[at, place] -= 1
+                e *= F32(scale)
+                grad["m"][c] += hr.T @ e
+                grad["mb"][c] += e.sum(axis=0)
+                grad["h"][r] += e @ p["m"][c].T
         return out
 
     def gradient(self, idx: np.ndarray, live: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -180,36 +152,57 @@ class Network:
         d = self.hidden
         flat = np.zeros_like(self.flat)
         g = self._views(flat)
-        keep: dict = {}
-        states, after = self.run(idx, reset, h, keep)
+        gates = np.empty((*idx.shape, 2 * d), F32)
+        states, after = self.run(idx, reset, h, gates)
         use = live.ravel()
         count = max(1, int(use.sum()))
-        dh_out = np.zeros((idx.size, d), F32)
-        loss = -self.log_probs(states.reshape(-1, d)[use], idx.ravel()[use], g, 1 / count).sum() / count
-        dh_out[use] = g.pop("h")
-        dh_out = dh_out.reshape(states.shape)
+        every = count == idx.size
+        flat_states = states.reshape(-1, d)
+        loss = -self.log_probs(flat_states if every else flat_states[use], idx.ravel() if every else idx.ravel()[use], g, 1 / count).sum() / count
+        if every:
+            dh_out = g.pop("h").reshape(states.shape)
+        else:
+            dh_out = np.zeros((idx.size, d), F32)
+            dh_out[use] = g.pop("h")
+            dh_out = dh_out.reshape(states.shape)
+        z, n = gates[..., :d], gates[..., d:]
+        slope = np.empty_like(gates)
+        slope[..., :d] = (states - n) * z * (1 - z)
+        slope[..., d:] = (1 - z) * (1 - n * n)
+        back, any_reset = np.ascontiguousarray(self.p["u"].T), reset.any(axis=1)
         dh = np.zeros_like(h)
-        dx = np.empty((*idx.shape, 3 * d), F32)
         for t in range(len(idx) - 1, -1, -1):
-            z, r, n, hun = keep[t]
-            before = states[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * hun * r * (1 - r)
-            dx[t, :, :d], dx[t, :, d : 2 * d], dx[t, :, 2 * d :] = dz, dr, dn
-            dhu = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += before.T @ dhu
-            dh = dh * z + dhu @ self.p["u"].T + dh_out[t]
-            if reset[t].any():
-                dh = np.where(reset[t][:, None], F32(0), dh)
-        flat_dx = dx.reshape(-1, 3 * d)
-        order = np.argsort(idx, axis=None, kind="stable")
+            s = slope[t]
+            s[:, :d] *= dh
+            s[:, d:] *= dh
+            dh *= z[t]
+            dh += s @ back
+            dh += dh_out[t]
+            if any_reset[t]:
+                dh[reset[t]] = 0
+        dx = slope.reshape(-1, 2 * d)
+        g["u"] += flat_states.T @ dx
+        order = np.argsort(idx.ravel().astype(np.int16 if len(self.p["x"]) < 1 << 15 else np.int64), kind="stable")
         inputs, first = np.unique(idx.ravel()[order], return_index=True)
-        g["x"][inputs] += np.add.reduceat(flat_dx[order], first)
-        g["b"] += flat_dx.sum(axis=0)
+        g["x"][inputs] += np.add.reduceat(dx[order], first)
+        g["b"] += dx.sum(axis=0)
         return flat, after, float(loss)
 
 
+def _softmax(logits: np.ndarray, rows: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log of the chosen probability of each row, all probabilities)."""
+    chosen = logits[rows, which]
+    if logits.size and logits.max() > 60:
+        top = logits.max(axis=1, keepdims=True)
+        logits -= top
+        chosen = chosen - top[:, 0]
+    np.exp(logits, out=logits)
+    s = logits.sum(axis=1)
+    np.maximum(s, F32(1e-30), out=s)
+    logits /= s[:, None]
+    return (chosen - np.log(s)).astype(np.float64), logits
+
+
 def lanes_of(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     """Documents dealt to at most `lanes` lanes, longest first to the shortest lane; longest lane first."""
     import heapq
@@ -224,7 +217,7 @@ def lanes_of(sizes: np.ndarray, lanes: int) -> list[list[int]]:
     return sorted((x for x in out if x), key=lambda x: -sum(int(sizes[d]) for d in x))
 
 
-def windows(idx: np.ndarray, off: np.ndarray, lanes: int, steps: int):
+def windows(off: np.ndarray, lanes: int, steps: int):
     """Cuts documents laid end to end into windows of steps x lanes: (tokens' places, live, reset), lanes shrinking."""
     rows = lanes_of(np.diff(off), lanes)
     place = [np.concatenate([np.arange(off[d], off[d + 1]) for d in lane]) for lane in rows]
@@ -247,7 +240,7 @@ def document_scores(net: Network, idx: np.ndarray, off: np.ndarray, lanes: int =
     """Natural log of each document's network part: its state runs from its first token to its last."""
     token = np.zeros(len(idx))
     h = None
-    for at, live, reset in windows(idx, off, lanes, steps):
+    for at, live, reset in windows(off, lanes, steps):
         tokens = idx[at]
         h = np.zeros((at.shape[1], net.hidden), F32) if h is None else h[: at.shape[1]]
         states, h = net.run(tokens, reset, h)
@@ -258,23 +251,35 @@ def document_scores(net: Network, idx: np.ndarray, off: np.ndarray, lanes: int =
     return sums[off[1:]] - sums[off[:-1]]
 
 
-def train_local(net: Network, idx: np.ndarray, off: np.ndarray, *, lanes: int | None = None, steps: int = 32, rate: float = 0.005, done: int = 0, epochs: int = 1) -> Network:
-    """One pass of Adam over the documents; as many lanes as leave about 400 updates."""
-    lanes = lanes or max(4, min(64, len(idx) // (400 * steps)))
-    m, v = np.zeros_like(net.flat), np.zeros_like(net.flat)
-    k = 0
-    for _ in range(epochs):
-        h = None
-        for at, live, reset in windows(idx, off, lanes, steps):
-            h = np.zeros((at.shape[1], net.hidden), F32) if h is None else h[: at.shape[1]]
-            g, h, _ = net.gradient(idx[at], live, reset, h)
-            norm = float(np.sqrt((g * g).sum()))
-            if norm > 1:
-                g *= F32(1 / norm)
-            k += 1
-            m += F32(0.1) * (g - m)
-            v += F32(0.01) * (g * g - v)
-            net.flat -= F32(rate / (1 + 0.5 * done)) * (m / F32(1 - 0.9**k)) / (np.sqrt(v / F32(1 - 0.99**k)) + F32(1e-8))
+def train_local(net: Network, idx: np.ndarray, off: np.ndarray, *, lanes: int | None = None, steps: int = 32, rate: float = 0.005, done: int = 0) -> Network:
+    """One pass of Adam over the documents, laid end to end and dealt in equal parts to so many lanes as leave about 250
+    updates. A state runs on from window to window and starts anew with each document (and with each lane)."""
+    lanes = lanes or max(4, min(256, len(idx) // (250 * steps)))
+    each = -(-len(idx) // lanes)
+    reset = np.zeros(each * lanes, bool)
+    reset[off[:-1]] = True
+    live = np.arange(each * lanes) < len(idx)
+    tokens = np.concatenate([idx, np.zeros(each * lanes - len(idx), idx.dtype)]).reshape(lanes, each).T
+    reset, live = reset.reshape(lanes, each).T.copy(), live.reshape(lanes, each).T
+    reset[0] = True
+    m, v, h = np.zeros_like(net.flat), np.zeros_like(net.flat), np.zeros((lanes, net.hidden), F32)
+    step = F32(rate / (1 + 0.5 * done))
+    for k, t in enumerate(range(0, each, steps), 1):
+        g, h, _ = net.gradient(np.ascontiguousarray(tokens[t : t + steps]), live[t : t + steps], reset[t : t + steps], h)
+        norm = float(np.sqrt(np.dot(g, g)))
+        if norm > 1:
+            g *= F32(1 / norm)
+        m *= F32(0.9)
+        m += F32(0.1) * g
+        g *= g
+        v *= F32(0.99)
+        v += F32(0.01) * g
+        size = np.sqrt(v)
+        size *= F32(1 / np.sqrt(1 - 0.99**k))
+        size += F32(1e-8)
+        np.divide(m, size, out=size)
+        size *= step / F32(1 - 0.9**k)
+        net.flat -= size
     return net
 
 
@@ -306,7 +311,7 @@ def counts_of(docs: DataFrame, most: int = 3_000_000) -> DataFrame:
             u, c = merged()
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["h", "c"])
 
-    return docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return work.map_arrow(docs.select("text"), count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _order_head(seen: np.ndarray, groups: int = 12) -> np.ndarray:
@@ -323,27 +328,50 @@ def _order_head(seen: np.ndarray, groups: int = 12) -> np.ndarray:
     return np.lexsort((np.arange(n), near))
 
 
-def coded(docs: DataFrame, head: np.ndarray, heads: int) -> DataFrame:
-    """(doc_id, n, w) of docs(doc_id, text): tokens, and their codes: a head word's place in `head`, or `heads` + tail class."""
+def coded(docs: DataFrame, head: np.ndarray, heads: int, known: np.ndarray | None = None, known_count: np.ndarray | None = None) -> DataFrame:
+    """docs(doc_id, text) as tokens: (doc_id, n, w, known, sure, sure_tail, tail).
+
+    w: codes of the tokens, a head word's place in `head`, or `heads` + tail class; known: tokens among `known`; sure: the
+    sum of log10(count + 1) of those, sure_tail: of those outside the head; tail: hashes of the other tokens.
+    """
     order = np.argsort(head)
-    sent = docs.sparkSession.sparkContext.broadcast((head[order], order))
+    known = np.zeros(0, np.int64) if known is None else known
+    by = np.argsort(known)
+    logs = np.log10(known_count[by] + 1.0) if len(known) else np.zeros(0)
+    sent = docs.sparkSession.sparkContext.broadcast((head[order], order, known[by], logs))
     kind = _code(heads)
 
     def run(batches):
-        known, place = sent.value
+        head, place, known, logs = sent.value
         for batch in batches:
             for part in textcore.slices(batch, 1):
                 h, n = token_hashes(part.column(1))
+                off = np.concatenate([[0], np.cumsum(n)])
                 code = (h & (TAILS - 1)) + heads
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    hit = known[at] == h
-                    code[hit] = place[at[hit]]
-                off = np.concatenate([[0], np.cumsum(n)]) * kind.itemsize
-                w = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(code.astype(kind))])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n.astype(np.int64)), w], ["doc_id", "n", "w"])
+                hit, at = _among(head, h)
+                code[hit] = place[at[hit]]
+                in_head = hit
+                hit, at = _among(known, h)
+                log = np.where(hit, logs[at] if len(known) else 0.0, 0.0)
+                rest = np.flatnonzero(~hit)
+                w = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((off * kind.itemsize).astype(np.int32)), pa.py_buffer(code.astype(kind))])
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, off).astype(np.int32)), pa.array(h[rest]))
+                cols = [part.column(0), pa.array(n.astype(np.int64)), w, pa.array(_per_doc(hit, off).astype(np.int64)), pa.array(_per_doc(log, off)), pa.array(_per_doc(np.where(in_head, 0.0, log), off)), tail]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "w", "known", "sure", "sure_tail", "tail"])
+
+    return work.map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n long, w binary, known long, sure double, sure_tail double, tail array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, w binary")
+
+def _among(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of h are among the sorted keys, their places)."""
+    at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
+    return (keys[at] == h if len(keys) else np.zeros(len(h), bool)), at
+
+
+def _per_doc(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(x) + 1, np.float64)
+    np.cumsum(x, out=sums[1:])
+    return sums[off[1:]] - sums[off[:-1]]
 
 
 def _code(heads: int) -> np.dtype:
@@ -368,157 +396,154 @@ def co_occurrence(rows: DataFrame, n: int, heads: int, anchors: int = 128) -> np
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["pair", "c"])
 
-    sums = rows.select("w").mapInArrow(count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most n * anchors rows
+    sums = work.map_arrow(rows.select("w"), count, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toArrow()  # at most n * anchors rows
     out = np.zeros(n * anchors)
     out[sums["pair"].to_numpy()] = sums["c"].to_numpy()
     return out.reshape(n, anchors)
 
 
-def vocabulary(counts: DataFrame, h: np.ndarray, c: np.ndarray, index: np.ndarray, *, classes: int, members: int) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary, and the training count of each input number; h, c: the most frequent words and their counts,
-    index: numbers of the head words, which are the first of them."""
-    n = len(index)
-    by = np.argsort(h[:n])
-    number_counts = np.zeros(classes * members)
-    number_counts[index] = c[:n]
-    tail = counts.groupBy(F.col("h").bitwiseAND(TAILS - 1).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+def tail_counts(counts: DataFrame, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(tokens, distinct words) of each tail class without the head words h of counts c; all tokens, all distinct words."""
     tokens, words = np.zeros(TAILS), np.zeros(TAILS)
-    for r in tail:
+    for r in counts.groupBy(F.col("h").bitwiseAND(TAILS - 1).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tokens[r.k], words[r.k] = r.n, r.v
     total, distinct = int(tokens.sum()), int(words.sum())
-    np.subtract.at(tokens, h[:n] & (TAILS - 1), c[:n])
-    np.subtract.at(words, h[:n] & (TAILS - 1), 1)
-    known = np.argsort(h)
-    return Vocabulary(h[:n][by], index[by], classes, members, h[known], c[known], np.log10(tokens + words + 1), total, distinct), np.concatenate([number_counts, tokens])
+    np.subtract.at(tokens, h & (TAILS - 1), c)
+    np.subtract.at(words, h & (TAILS - 1), 1)
+    return tokens, words, total, distinct
 
 
 def fold_of(col: str, folds: int) -> F.Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % folds
 
 
-def score(documents: DataFrame, *, folds: int = 7, held_out: int = 2, classes: int = 32, members: int = 64, hidden: int = 32, cached: int = 65536, fraction: int = 1, rounds: int = 2, tokens_each: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, *, folds: int = 7, held_out: int = 2, classes: int = 32, members: int = 64, hidden: int = 32, cached: int = 1 << 18, rounds: int = 2, tokens_each: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    `fraction`: one in so many training documents (by hash) fits the network, all of them unless asked otherwise;
-    `rounds`: parts they are learned in, with averaging between; `tokens_each`: about so many tokens a trainer, so the
-    number of trainers follows the corpus.
+    `rounds`: parts the training documents are learned in, with averaging between; `tokens_each`: about so many tokens a
+    trainer, so the number of trainers follows the corpus; `cached`: how many of the most frequent words' counts are sent.
     """
     spark = documents.sparkSession
     work.ship(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     train = docs.where(fold_of("doc_id", folds) != held_out)
     counts = work.saved(counts_of(train), "lm-counts")
-    top = counts.orderBy(F.desc("c"), "h").limit(cached).collect()
-    h, c = np.array([r.h for r in top], np.int64), np.array([r.c for r in top], np.int64)
+    top = counts.orderBy(F.desc("c"), "h").limit(cached).toArrow()
+    h, c = top["h"].to_numpy(), top["c"].to_numpy()
     heads, n = classes * members, min(len(h), classes * members)
-    picked = train.where(F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(fraction)) == 0) if fraction > 1 else train
-    rows = work.saved(coded(picked, h[:n], heads), "lm-coded")
+    rows = coded(docs, h[:n], heads, h, c).withColumn("held_out", F.coalesce(fold_of("doc_id", folds) == held_out, F.lit(False)))
+    rows = work.saved(rows.withColumn("rid", F.monotonically_increasing_id()), "lm-coded")
+    learned = rows.where("not held_out and doc_id is not null").select("doc_id", "n", "w")
     index = np.empty(n, np.int64)
     if n:
-        every = rows if fraction == 1 else coded(train, h[:n], heads)
-        index[_order_head(co_occurrence(every, n, heads))] = np.arange(n)
-    vocab, number_counts = vocabulary(counts, h, c, index, classes=classes, members=members)
-    head_counts = number_counts[:heads].reshape(classes, members)
-    class_counts = np.concatenate([head_counts.sum(axis=1), number_counts[heads:]])
-    net = Network(vocab.inputs(), classes, members, hidden)
-    net.start(np.log(class_counts + 1), np.log(head_counts + 0.1))
-    fitted = rows.agg(F.sum("n")).first()[0] or 0
+        index[_order_head(co_occurrence(learned, n, heads))] = np.arange(n)
+    tokens, words, total, distinct = tail_counts(counts, h[:n], c[:n])
+    head_counts = np.zeros(heads)
+    head_counts[index] = c[:n]
+    head_counts = head_counts.reshape(classes, members)
+    net = Network(heads + TAILS, classes, members, hidden)
+    net.start(np.log(np.concatenate([head_counts.sum(axis=1), tokens]) + 1), np.log(head_counts + 0.1))
+    fitted = learned.agg(F.sum("n")).first()[0] or 0
+    number = np.concatenate([index, np.arange(n, heads + TAILS)])  # input number of each code
     if fitted:
         trainers = max(1, round(fitted / rounds / tokens_each))
-        number = np.concatenate([index, np.arange(n, heads + TAILS)])
-        key = F.xxhash64(F.lit(5), "doc_id", "w")
-        dealt = rows.select("doc_id", "w", F.pmod(key, F.lit(rounds)).alias("part"), F.expr(f"cast(pmod(xxhash64(6, doc_id, w), {trainers}) as int)").alias("trainer"))
+        # both by hash of the document, so reruns deal alike
+        dealt = learned.select("w", F.pmod(F.xxhash64(F.lit(5), "doc_id", "w"), F.lit(rounds)).alias("part"), F.expr(f"cast(pmod(xxhash64(6, doc_id, w), {trainers}) as int)").alias("trainer"))
         for done in range(rounds):
             net = _round(spark, dealt.where(F.col("part") == done).drop("part"), trainers, net, number, _code(heads), done)
-    return _scored(docs, counts, vocab, net if fitted else None, folds, held_out)
+        rows = work.saved(_network_part(rows, net, number, _code(heads), -np.log10(tokens + words + 1)), "lm-rows")
+    unseen = rows.select("rid", F.explode("tail").alias("h"))
+    counted = counts.select(F.col("h").alias("h0"), F.log10(F.col("c") + 1).alias("l"))
+    sums = unseen.join(counted, F.col("h") == F.col("h0")).groupBy(F.col("rid").alias("rid0")).agg(F.sum("l").alias("l"), F.count(F.lit(1)).alias("k"))
+    out = rows.drop("tail").join(sums, F.col("rid") == F.col("rid0"), "left")
+    rest, found = F.coalesce("l", F.lit(0.0)), F.coalesce("k", F.lit(0))
+    base = F.col("sure") + rest - F.col("n") * F.lit(float(np.log10(total + distinct + 1)))
+    full = F.col("net") + F.col("sure_tail") + rest if fitted else base
+    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + found).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
 
 
 def _round(spark, dealt: DataFrame, trainers: int, net: Network, number: np.ndarray, kind: np.dtype, done: int) -> Network:
-    """The mean of the trainers' networks, each after its own documents of dealt(doc_id, w, trainer)."""
+    """The mean of the trainers' networks, each after its own documents of dealt(w, trainer), weighted by their tokens."""
     shape = (net.shapes["x"][0], net.classes, net.members, net.hidden)
     sent = spark.sparkContext.broadcast((net.flat, number))
 
     def fit(batches):
-        rows = []
+        docs, trainer = [], None
         for batch in batches:
-            rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        if not rows:
+            docs += batch.column(0).to_pylist()
+            trainer = batch.column(1)[0].as_py() if batch.num_rows else trainer
+        if not docs:
             return
-        rows.sort()  # so that reruns take the same steps
+        docs.sort()  # so that reruns take the same steps, however the rows arrive
         flat, number = sent.value
-        idx = number[np.frombuffer(b"".join(r[1] for r in rows), kind)]
-        off = np.concatenate([[0], np.cumsum([len(r[1]) // kind.itemsize for r in rows])])
+        off = np.concatenate([[0], np.cumsum([len(w) // kind.itemsize for w in docs])])
+        idx = number[np.frombuffer(b"".join(docs), kind)].astype(np.int32)
+        del docs
         local = train_local(Network(*shape, flat=flat), idx, off, done=done)
-        yield pa.RecordBatch.from_arrays([pa.array([rows[0][2]], pa.int32()), pa.array([len(idx)], pa.int64()), pa.array([local.flat.tobytes()], pa.binary())], ["trainer", "n", "w"])
+        yield pa.RecordBatch.from_arrays([pa.array([trainer], pa.int32()), pa.array([len(idx)], pa.int64()), pa.array([local.flat.tobytes()], pa.binary())], ["trainer", "n", "w"])
 
-    each = dealt.repartitionById(trainers, F.col("trainer")).mapInArrow(fit, "trainer int, n long, w binary")
-    total, weight = np.zeros(len(net.flat)), 0
-    # written first: trainers run side by side, and one trainer's weights at a time reach the driver
-    for r in work.saved(each, "lm-weights").orderBy("trainer").toLocalIterator():
-        total += np.frombuffer(r.w, F32) * float(r.n)
+    each = work.saved(work.map_arrow(dealt.repartitionById(trainers, F.col("trainer")), fit, "trainer int, n long, w binary"), "lm-weights")
+
+    def total(batches):
+        sums, weight = np.zeros(0), 0
+        for batch in batches:
+            for n, w in sorted(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x = np.frombuffer(w, F32) * float(n)
+                sums, weight = (sums + x if len(sums) else x.astype(np.float64)), weight + n
+        if weight:
+            yield pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["n", "w"])
+
+    # Groups of 64 trainers are added up by tasks, so the driver reads one row a group.
+    groups = each.select("n", "w", "trainer").repartitionById(-(-trainers // 64), F.expr("cast(trainer div 64 as int)")).sortWithinPartitions("trainer").select("n", "w")
+    sums, weight = np.zeros(len(net.flat)), 0
+    parts = work.saved(work.map_arrow(groups, total, "n long, w binary"), "lm-sums")
+    for r in sorted(parts.toLocalIterator(), key=lambda r: (r.n, bytes(r.w))):
+        sums += np.frombuffer(r.w, np.float64)
         weight += r.n
-    return Network(*shape, flat=(total / weight).astype(F32)) if weight else net
+    work.discard(each, parts)
+    return Network(*shape, flat=(sums / weight).astype(F32)) if weight else net
 
 
-def _scored(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, net: Network | None, folds: int, held_out: int, buffer: int = 1_500_000) -> DataFrame:
-    spark = docs.sparkSession
-    fitted = net is not None
-    net = net or Network(vocab.inputs(), vocab.classes, vocab.members, 1)
+def _network_part(rows: DataFrame, net: Network, number: np.ndarray, kind: np.dtype, shares: np.ndarray, buffer: int = 2_000_000) -> DataFrame:
+    """rows without w, with net: log10 probability the network gives a row's head words and tail classes, and the tail
+    words' common share of their class."""
     shape = (net.shapes["x"][0], net.classes, net.members, net.hidden)
-    sent, sent_vocab = spark.sparkContext.broadcast(net.flat), spark.sparkContext.broadcast(vocab)
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, sure double, net double, tail array<long>"
+    sent = rows.sparkSession.sparkContext.broadcast((net.flat, number))
+    heads = net.classes * net.members
+    names = [c for c in rows.columns if c != "w"]
 
     def run(batches):
-        v = sent_vocab.value
-        model = Network(*shape, flat=sent.value)
-        heads = v.classes * v.members
-        log_known = np.log10(v.known_count + 1)
-        waiting: list[tuple] = []
-        size = 0
+        flat, number = sent.value
+        model, waiting, size = Network(*shape, flat=flat), [], 0
 
         def flush():
-            rid, ids = (pa.concat_arrays([w[k] for w in waiting]) for k in (0, 1))
-            h, n = np.concatenate([w[2] for w in waiting]), np.concatenate([w[3] for w in waiting])
+            codes = np.frombuffer(b"".join(x for b in waiting for x in b.column("w").to_pylist()), kind)
+            n = np.concatenate([b.column("n").to_numpy() for b in waiting])
             off = np.concatenate([[0], np.cumsum(n)])
-            idx = v.index(h)
-            natural = document_scores(model, idx, off)
-            tail = np.where(idx >= heads, -v.tail_log[np.maximum(idx - heads, 0)], 0.0)
-            at = np.minimum(np.searchsorted(v.known, h), max(0, len(v.known) - 1))
-            hit = v.known[at] == h if len(v.known) else np.zeros(len(h), bool)
-            logc = np.where(hit, log_known[at] if len(v.known) else 0.0, 0.0)
-
-            def per_doc(x):
-                sums = np.zeros(len(x) + 1, np.float64)
-                np.cumsum(x, out=sums[1:])
-                return sums[off[1:]] - sums[off[:-1]]
-
-            # score = net part + tail classes' shares + log counts of tail words; base = log counts of all words - n * log(N + V + 1)
-            net10 = natural / np.log(10) + per_doc(tail) + per_doc(np.where(idx >= heads, logc, 0.0))
-            rest = np.flatnonzero(~hit)
-            rest_n = np.searchsorted(rest, off)
-            yield pa.RecordBatch.from_arrays([rid, ids, pa.array([x is not None and zlib.crc32(str(x).encode()) % folds == held_out for x in ids.to_pylist()]), pa.array(n.astype(np.int64)), pa.array(per_doc(hit).astype(np.int64)), pa.array(per_doc(logc)), pa.array(net10), pa.ListArray.from_arrays(pa.array(rest_n.astype(np.int32)), pa.array(h[rest]))], ["rid", "doc_id", "held_out", "n_tokens", "known", "sure", "net", "tail"])
+            idx = number[codes].astype(np.int32)
+            net10 = document_scores(model, idx, off) / np.log(10) + _per_doc(np.append(np.zeros(heads), shares)[idx], off)
+            at = 0
+            for b in waiting:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(net10[at : at + b.num_rows])], [*names, "net"])
+                at += b.num_rows
 
         for batch in batches:
-            for part in textcore.slices(batch, 2):
-                h, n = token_hashes(part.column(2))
-                waiting.append((part.column(0), part.column(1), h, n))
-                size += len(h)
-                if size >= buffer:
+            count = batch.column("n").to_numpy()
+            a = 0
+            while a < len(count):  # whole documents up to `buffer` tokens at a time
+                upto = np.cumsum(count[a:])
+                b = a + max(1, int(np.searchsorted(upto, buffer - size, "right")))
+                waiting.append(batch.slice(a, b - a))
+                size += int(upto[b - a - 1])
+                a = b
+                if size >= buffer or a < len(count):
                     yield from flush()
                     waiting, size = [], 0
         if waiting:
             yield from flush()
 
-    numbered = docs.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "text")
-    rows = work.saved(numbered.mapInArrow(run, schema), "lm-rows")
-    words = rows.select("rid", F.explode("tail").alias("h"))
-    counted = counts.select(F.col("h").alias("h0"), F.log10(F.col("c") + 1).alias("l"))
-    sums = words.join(counted, F.col("h") == F.col("h0")).groupBy("rid").agg(F.sum("l").alias("l"), F.count(F.lit(1)).alias("k"))
-    out = rows.drop("tail").join(sums.withColumnRenamed("rid", "rid0"), F.col("rid") == F.col("rid0"), "left")
-    rest, found = F.coalesce("l", F.lit(0.0)), F.coalesce("k", F.lit(0))
-    base = F.col("sure") + rest - F.col("n_tokens") * F.lit(float(np.log10(vocab.total + vocab.distinct + 1)))
-    full = F.col("net") + rest if fitted else base
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + found).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "w")
+    return work.map_arrow(rows, run, f"{kinds}, net double")
 
 
 def op4(documents: DataFrame) -> DataFrame:
