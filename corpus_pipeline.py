@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import bitplane, decontaminate, mixing, neardup, quality, queries, work
@@ -32,12 +34,23 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bitplane.op10(spark, docs, queries.tokenizer_path())
 
 
+def swept(stage):
+    """The stage, after the shuffle files of the stages before it are let go."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        work.sweep(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("source_mixing", source_mixing),
-    ("token_output", token_output),
+    ("quality_rules", swept(quality_rules)),
+    ("near_dedup", swept(near_dedup)),
+    ("decontamination", swept(decontamination)),
+    ("source_mixing", swept(source_mixing)),
+    ("token_output", swept(token_output)),
 ]
 #: SQL cannot express the robust estimates, the schedule or the tokenizer; the tests hold every stage against brute force.
 ORACLE_SQL = None
