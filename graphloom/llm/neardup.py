@@ -315,9 +315,9 @@ def _verify_grid(members: DataFrame, cell: Cell) -> DataFrame:
     return work.map_arrow(cells, run, "a long, b long")
 
 
-def _placed(documents: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, slack: float = 0.13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, node) of every row, and (node4, comp, component): the group of each node and the
-    smallest id in it."""
+def _placed(documents: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, slack: float = 0.13, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node, keys) of every row; (node4, comp, component): the group of each node and the
+    smallest id in it; the saved table of that."""
     spark = documents.sparkSession
     work.ship(spark)
     hasher = Hasher(bands, rows)
@@ -360,13 +360,14 @@ def _placed(documents: DataFrame, *, width: int = 5, percent: int = 80, bands: i
     # Most nodes are a group of their own: only the others are grouped and joined.
     alone = owner.groupBy("comp").agg(F.min("doc").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("comp").alias("comp3"), "component")
     final = owner.join(alone, F.col("comp") == F.col("comp3"), "left").select(F.col("node").alias("node4"), "comp", F.when(F.col("comp3").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"))
-    return sig.select("doc_id", "text_hash", "n_shingles", "node"), final
+    work.discard(least)
+    return sig, final, owner
 
 
 def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; links: 100 * |A & B| >= percent * |A | B|."""
-    sig, final = _placed(documents, **options)
-    out = sig.join(final, F.col("node") == F.col("node4"), "left")
+    sig, final, _ = _placed(documents, **options)
+    out = sig.drop("keys").join(final, F.col("node") == F.col("node4"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -381,7 +382,7 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     The row of the smallest id stays (null ids last, then by a hash of the text); of rows that repeat both that id and its
     text, one, and so of rows without shingles that repeat both.
     """
-    sig, final = _placed(documents, id_col=id_col, text_col=text_col, **options)
+    sig, final, owner = _placed(documents, id_col=id_col, text_col=text_col, **options)
     rows = work.saved(sig.join(final, F.col("node") == F.col("node4")).select("doc_id", "text_hash", "comp"), "dup-rows")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     groups = rows.groupBy(F.col("comp").alias("comp0")).agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -393,6 +394,7 @@ def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     stay = several.where(place == F.col("best")).select("doc_id", "text_hash").unionByName(sig.where("node is null").select("doc_id", "text_hash"))
     twice = stay.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("doc_id", "text_hash")
     twice = work.saved(twice, "dup-twice")
+    work.discard(sig, owner, rows, groups)  # the result rests on `gone` and `twice` alone
     if twice.isEmpty():
         return out
     names = [work.fresh(documents, "twice_id"), work.fresh(documents, "twice_hash")]

@@ -250,7 +250,10 @@ def verdicts(stats: DataFrame, *, min_words: int = 20, max_repeat: int = 30, min
     distance = _distance() / F.greatest(F.lit(1.0), F.col("mid") / F.lit(CHI2_MEDIAN)) * weight
     judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)
-    return judged.withColumn("kept", kept).select("doc_id", "lang", "source", "text_hash", *COUNTS, "base_failed", "distance", "kept")
+    out = judged.withColumn("kept", kept).select("doc_id", "lang", "source", "text_hash", *COUNTS, "base_failed", "distance", "kept")
+    work.discard(stats, params)
+    out._made = (rows, both)  # the saved tables that the result reads
+    return out
 
 
 def op8(documents: DataFrame) -> DataFrame:
@@ -263,5 +266,6 @@ def keep(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     id: rows are told apart by id, text, language and source, which are all a verdict rests on."""
     found = verdicts(statistics(documents, id_col, text_col, lang_col, source_col))
     gone = work.saved(found.where("not kept").select("doc_id", "text_hash", "lang", "source").distinct(), "quality-gone")
+    work.discard(*found._made)  # the result rests on `gone` alone
     keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")), F.col(lang_col).cast("string"), F.col(source_col).cast("string")]
     return bits.without(documents, keys, gone)

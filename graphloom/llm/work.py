@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -57,6 +58,13 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and broadcasts of jobs that nothing refers to any more, which else wait for the
+    driver's next large garbage collection, by default up to half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df.mapInArrow whose tasks hand the memory they have freed back to the system: workers live on for other stages."""
 
