@@ -79,13 +79,14 @@ def usable(answer: Column) -> Column:
 
 
 def summary(scored: DataFrame) -> DataFrame:
-    """Overall and per answer type in one pass (grouping sets): scored(model, answer_type, score)."""
+    """Overall and per answer type in one pass (grouping sets): scored(model, answer_type, score). A null type is a type of
+    its own; 'ALL' is the overall row."""
     s = F.col("score")
     grouped = scored.groupingSets([["model"], ["model", "answer_type"]], "model", "answer_type")
     return grouped.agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(s >= 1, 1)).alias("perfect"), F.count(F.when((s > 0) & (s < 1), 1)).alias("partial"),
+        F.grouping("answer_type").alias("_all"), F.count(F.lit(1)).alias("n"), F.count(F.when(s >= 1, 1)).alias("perfect"), F.count(F.when((s > 0) & (s < 1), 1)).alias("partial"),
         F.count(F.when(s <= 0, 1)).alias("wrong"), F.round(F.avg(s), 6).alias("mean"), F.round(F.stddev_pop(s), 6).alias("std"),
-    ).withColumn("answer_type", F.coalesce("answer_type", F.lit("ALL")))
+    ).select("model", F.when(F.col("_all") > 0, "ALL").otherwise(F.col("answer_type")).alias("answer_type"), "n", "perfect", "partial", "wrong", "mean", "std")
 
 
 def rank_sum(scores: DataFrame) -> DataFrame:
@@ -105,14 +106,93 @@ def rank_sum(scores: DataFrame) -> DataFrame:
     return pairs.join(u, ["a", "b"]).select("a", "b", F.col("ta").alias("n_a"), F.col("tb").alias("n_b"), F.col("u").alias("u"))
 
 
-def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42) -> DataFrame:
-    """(model, mean, low, high): percentile interval from Poisson resampling, one pass: each row's weight in resample k is
-    a hash-seeded Poisson(1) draw, so nothing is collected and reruns agree."""
-    k = scores.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    x = (F.pmod(F.xxhash64(F.lit(seed), "id", "k"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    w = F.when(x < 0.367879, 0).when(x < 0.735759, 1).when(x < 0.919699, 2).when(x < 0.981012, 3).when(x < 0.996340, 4).otherwise(5)
-    means = k.withColumn("w", w).groupBy("model", "k").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("m"))
-    return means.groupBy("model").agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+def rank_test(scores: DataFrame, least: int = 30) -> DataFrame:
+    """rank_sum with mean difference, two-sided p-value (normal approximation with tie and continuity correction) and
+    stars; null where a model has `least` scores or fewer. Python sees one row a pair of models."""
+    counts = scores.groupBy("model", "score").agg(F.count(F.lit(1)).alias("n"))
+    means = counts.groupBy("model").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean"))
+    u = rank_sum(scores)
+    pairs = u.select("a", "b").join(counts.select("model", "score", "n"), (F.col("model") == F.col("a")) | (F.col("model") == F.col("b"))).groupBy("a", "b", "score").agg(F.sum("n").alias("t"))
+    ties = pairs.groupBy("a", "b").agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
+    j = u.join(ties, ["a", "b"]).join(means.select(F.col("model").alias("a"), F.col("mean").alias("ma")), "a").join(means.select(F.col("model").alias("b"), F.col("mean").alias("mb")), "b")
+    n = F.col("n_a") + F.col("n_b")
+    variance = F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    top = F.greatest(F.col("u"), F.col("n_a") * F.col("n_b") - F.col("u"))
+    z = F.when(variance > 0, (top - F.col("n_a") * F.col("n_b") / 2.0 - 0.5) / F.sqrt(variance)).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def two_sided(z):
+        from math import erfc, sqrt
+
+        return z.map(lambda x: min(1.0, erfc(x / sqrt(2))))
+
+    p = F.when((F.col("n_a") > least) & (F.col("n_b") > least), two_sided(z))
+    stars = F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").when(p.isNotNull(), "ns")
+    return j.select("a", "b", "n_a", "n_b", "u", (F.col("ma") - F.col("mb")).alias("mean_difference"), p.alias("p_value"), stars.alias("significance"))
+
+
+def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42, least: int = 30) -> DataFrame:
+    """(model, mean, low, high): percentile interval from resampling scores(model, score); null with `least` scores or
+    fewer.
+
+    Rows are first aggregated to distinct values with counts; in a resample the number of times a value is drawn is a
+    Poisson number around its count, rounded from a normal one by md5-seeded draws, so the work is values x resamples,
+    nothing is collected and reruns agree on any engine.
+    """
+    counts = scores.groupBy("model", F.col("score").cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    k = counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    name = F.concat_ws("|", F.lit(seed).cast("string"), "model", F.round(F.col("score") * 1e9).cast("long").cast("string"), F.col("k").cast("string"))
+    u = lambda at: (F.conv(F.substring(F.md5(name), at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(9))
+    w = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal))
+    means = k.withColumn("w", w).groupBy("model", "k").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("m"), F.sum("n").alias("n"))
+    keep = lambda c: F.when(F.max("n") > least, c)
+    return means.groupBy("model").agg(keep(F.avg("m")).alias("mean"), keep(F.percentile("m", 0.025)).alias("low"), keep(F.percentile("m", 0.975)).alias("high"))
+
+
+#: Words and signs of reasoning (fixed values).
+_BULLETS = ["•", "-", "*", "1.", "2.", "3."]
+_REASONS = ["because", "therefore", "since", "thus", "shows", "indicates"]
+
+
+def quality(response: Column, expected: Column, extracted: Column, kind: Column) -> dict[str, Column]:
+    """Heuristic marks of a response: correctness, completeness (by number of words), structure_compliance,
+    reasoning_quality; all 0 for an empty or null response."""
+    want, got = F.lower(F.trim(F.coalesce(expected, F.lit("none")))), F.lower(F.trim(F.coalesce(extracted, F.lit("none"))))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"\b(\w+)\b"), 1))
+    a, b = words(want), words(got)
+    jaccard = F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
+    correct = F.when(kind == "BIN", (want == got).cast("double")).when(kind == "MC", F.when(got.contains(want) | want.contains(got), 1.0).otherwise(jaccard)).otherwise(0.0)
+    n = F.size(F.filter(F.split(response, r"\s+"), lambda x: x != ""))
+    complete = F.when(n > 50, 0.6).when(n >= 20, 1.0).when(n >= 10, 0.8).otherwise(0.3)
+    part = lambda word: response.rlike(rf"(?i){word}:\s*[^\n]+").cast("int")
+    total = lambda text, items, each: sum((text.contains(x).cast("int") for x in items), F.lit(0)) * each
+    reasons = F.least(F.lit(1.0), total(response, _BULLETS, 0.3) + total(F.lower(response), _REASONS, 0.2))
+    marks = {"correctness": correct, "completeness": complete, "structure_compliance": (part("ANSWER") + part("REASONING")) * 0.5, "reasoning_quality": reasons}
+    return {k: F.when(F.coalesce(response, F.lit("")) == "", 0.0).otherwise(v) for k, v in marks.items()}
+
+
+def valid_entities(context: Column, expected: Column) -> Column:
+    """The expected answers and every individual, class name and IRI's name in the context, lower-cased, sorted."""
+    c = F.coalesce(context, F.lit(""))
+    found = lambda text, form, g=0: F.transform(F.regexp_extract_all(text, F.lit(form), g), F.lower)
+    return F.sort_array(F.array_distinct(F.concat(parse_answers(F.coalesce(expected, F.lit(""))), found(F.lower(c), r"\b[a-z]+(?:_[a-z]+)*_\d{4}\b"), found(c, r"\b[A-Z][a-zA-Z]+\b"), found(c, r"<[^>]+#([^>]+)>", 1))))
+
+
+def succeeded(score: Column, threshold: Column, is_rate: Column) -> Column:
+    """Whether a metric's score reaches its threshold; a rate succeeds at or below it."""
+    return F.when(is_rate, score <= threshold).otherwise(score >= threshold)
+
+
+def models_of(columns: list[str]) -> list[str]:
+    """Models of a wide table of answers: its columns that end in _final_answer."""
+    return sorted(c.removesuffix("_final_answer") for c in columns if c.endswith("_final_answer"))
+
+
+def long_answers(wide: DataFrame, key: str, measures: tuple[str, ...] = ("final_answer",)) -> DataFrame:
+    """(key, model, measures...) of a wide table with one column a model and measure; missing columns are null."""
+    rows = [F.struct(F.lit(m).alias("model"), *((F.col(f"{m}_{x}").cast("string") if f"{m}_{x}" in wide.columns else F.lit(None).cast("string")).alias(x) for x in measures)) for m in models_of(wide.columns)]
+    return wide.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.*")
 
 
 def shortest_tags(explanations: DataFrame) -> DataFrame:

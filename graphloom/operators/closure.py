@@ -161,8 +161,10 @@ def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None
         new = saved(new, "facts-new")
         if new.isEmpty():
             break
-        every = saved(every.unionByName(new), "facts")
+        every = every.unionByName(new)  # each part is a table of its own, written once
         delta = new
+    else:
+        raise RuntimeError(f"facts still grow after {max_rounds} rounds")
     return every
 
 
@@ -212,7 +214,9 @@ def close_types(types: DataFrame, facts: DataFrame, t: Terminology, max_rounds:
         new = saved(expand_types(new, t).join(every, ["g", "i", "c"], "left_anti"), "types-new")
         if new.isEmpty():
             break
-        every = saved(every.unionByName(new), "types")
+        every = every.unionByName(new)  # each part is a table of its own, written once
+    else:
+        raise RuntimeError(f"types still grow after {max_rounds} rounds")
     return every
 
 

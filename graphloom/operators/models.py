@@ -18,8 +18,11 @@ def prompt(question, context, kind, most: int = 10_000):
 
 
 def unanswered(questions: DataFrame, models: DataFrame, done: DataFrame) -> DataFrame:
-    """Question and model pairs without a recorded answer, so a stopped run goes on where it stopped. models: a short list."""
-    pairs = questions.join(F.broadcast(models.limit(1000)), F.lit(True))
+    """Question and model pairs without a recorded answer, so a stopped run goes on where it stopped. models: a list of at
+    most 1,000; a longer one is refused."""
+    if models.limit(1001).count() > 1000:
+        raise ValueError("more than 1,000 models")
+    pairs = questions.join(F.broadcast(models), F.lit(True))
     return pairs.join(done.select("task_id", "model"), ["task_id", "model"], "left_anti")
 
 

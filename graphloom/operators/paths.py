@@ -17,7 +17,7 @@ _AXIOM = "struct<kind:string,text:string>"
 
 
 def fact_text(s: Column, p: Column, o: Column) -> Column:
-    return F.concat_ws(" ", s, p, o)
+    return F.concat(s, F.lit(" "), p, F.lit(" "), o)  # null where any of them is, never another fact's text
 
 
 def _axiom(kind: str, text: Column) -> Column:

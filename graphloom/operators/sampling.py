@@ -27,8 +27,8 @@ def histogram_edges(df: DataFrame, col: str) -> list[float]:
 
 
 def bucket(col: Column, edges: list[float]) -> Column:
-    """Number of the right-closed bin, the lowest edge included; null outside."""
-    out = F
+    """Number of the right-closed bin, the lowest edge included; null outside, and everywhere without edges."""
+    out = F.when(F.lit(False), F.lit(0))
     for k in range(1, len(edges)):
         low = col >= edges[0] if k == 1 else col > edges[k - 1]
         out = out.when(low & (col <= edges[k]), F.lit(k - 1))
@@ -41,3 +41,18 @@ def split(df: DataFrame, stratum: str, key: str, small: float = 0.05) -> DataFra
     sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * small)).cast("long").alias("_quota"))
     ranked = df.withColumn("_rank", F.row_number().over(order))
     return ranked.join(sizes, stratum).withColumn("chosen", F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+
+
+def quotas(sizes: DataFrame, total: int) -> DataFrame:
+    """(stratum, n, quota): `total` rows dealt to strata in proportion to their sizes by largest remainders, one at least
+    and all at most; sizes(stratum, n) is one row a stratum. A total outside what the strata allow is clamped to it."""
+    n, strata = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not n:
+        return sizes.select("stratum", "n", F.lit(0).cast("long").alias("quota"))
+    total = min(max(total, strata), n)
+    share = F.col("n") * F.lit(total - strata) / F.lit(n - strata if n > strata else 1) - F.lit((total - strata) / (n - strata) if n > strata else 0)
+    base = sizes.withColumn("_x", F.greatest(F.lit(0.0), F.round(share, 9))).withColumn("_f", F.floor("_x"))
+    left = total - strata - (base.agg(F.sum("_f")).first()[0] or 0)
+    # strata are few beside rows: they are ranked as one row each
+    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_x") - F.col("_f")), "stratum"))
+    return base.withColumn("quota", (1 + F.col("_f") + F.when(rank <= F.lit(int(left)), 1).otherwise(0)).cast("long")).select("stratum", "n", "quota")

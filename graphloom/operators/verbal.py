@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def clean_name(c: Column) -> Column:
-    """A readable name: trailing year, number, version or short suffix dropped, camel case and signs split, capitalised."""
+    """A readable name: trailing year, number or version dropped, camel case and signs split, capitalised."""
     x = F.regexp_replace(c, r"_\d{4}$", "")
     x = F.regexp_replace(F.regexp_replace(x, r"_\d+$", ""), r"_v\d+$", "")
     x = F.regexp_replace(x, r"([a-z])([A-Z])", "$1 $2")
@@ -25,10 +25,10 @@ def base_relation(c: Column) -> Column:
 
 
 def listed(items: Column) -> Column:
-    """'a', 'a and b', 'a, b, and c'."""
+    """'a', 'a and b', 'a, b, and c'; empty for no items or null."""
     n = F.size(items)
     head = F.array_join(F.slice(items, 1, F.greatest(F.lit(1), n - 1)), ", ")
-    return F.when(n == 1, F.element_at(items, 1)).when(n == 2, F.concat_ws(" and ", items)).otherwise(F.concat(head, F.lit(", and "), F.element_at(items, -1)))
+    return F.when(n == 1, F.try_element_at(items, F.lit(1))).when(n == 2, F.concat_ws(" and ", items)).when(n > 2, F.concat(head, F.lit(", and "), F.try_element_at(items, F.lit(-1)))).otherwise("")
 
 
 def sentence(s: Column, p: Column, objects: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import answers, sampling, verbal
+from ..operators import answers, models, sampling, verbal
 from ..sources import star
 from .star_queries import FACTS
 
@@ -171,9 +171,9 @@ def l_answer_type(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", answers.answer_type(spelled).alias("kind"))
 
 
-@query("l_context_join", "SELECT o_orderkey, CASE WHEN text IS NULL THEN '[ERROR: no context]' WHEN length(text) > 200 THEN left(text, 200) || ' [truncated]' ELSE text END AS context FROM orders LEFT JOIN documents ON o_orderkey = doc_id")
+@query("l_context_join", "SELECT o_orderkey, CASE WHEN text IS NULL THEN '[ERROR: no context]' WHEN length(text) > 15000 THEN left(text, 15000) || ' [truncated]' ELSE text END AS context FROM orders LEFT JOIN documents ON o_orderkey = doc_id")
 def l_context_join(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit(" [truncated]"))).otherwise(F.col("text")).alias("context"))
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.length("text") > 15_000, F.concat(F.substring("text", 1, 15_000), F.lit(" [truncated]"))).otherwise(F.col("text")).alias("context"))
     o = _t(spark, d, "orders").select("o_orderkey")
     return o.join(docs, o.o_orderkey == docs.doc_id, "left").select("o_orderkey", F.coalesce("context", F.lit("[ERROR: no context]")).alias("context"))
 
@@ -197,10 +197,11 @@ def l_pivot(spark, d):
     return wide.select("o_custkey", *(F.col(m).alias(f"{m}_response") for m in ("m0", "m1", "m2")))
 
 
-@query("l_prompt", "SELECT conv_id, turn, 'Question: ' || text || chr(10) || 'Context: ' || left(text, 100) AS prompt, md5(text)[1:8] AS hash FROM conversations")
+@query("l_prompt", "SELECT conv_id, turn, 'Answer from the context alone. ' || CASE WHEN turn % 2 = 0 THEN 'List every answer, separated by ''; ''.' ELSE 'Answer TRUE or FALSE.' END || chr(10) || 'Question: ' || role || chr(10) || 'Context: ' || left(text, 10000) || chr(10) || 'ANSWER:' AS prompt, md5(text)[1:8] AS hash FROM conversations")
 def l_prompt(spark, d):
     c = _t(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.concat(F.lit("Question: "), "text", F.lit("\nContext: "), F.substring("text", 1, 100)).alias("prompt"), F.substring(F.md5("text"), 1, 8).alias("hash"))
+    text = models.prompt(F.col("role"), F.col("text"), F.when(F.col("turn") % 2 == 0, "MC").otherwise("BIN"))
+    return c.select("conv_id", "turn", text.alias("prompt"), F.substring(F.md5("text"), 1, 8).alias("hash"))
 
 
 @query("l_estimate", f"WITH {_REPLY} SELECT kind, count(*) * 3 * 3.0::DOUBLE / 8 AS seconds FROM reply GROUP BY kind")
@@ -260,7 +261,7 @@ def x_rank_u(spark, d):
 
 @query("x_bootstrap")
 def x_bootstrap(spark, d):
-    return answers.bootstrap(scored(spark, d).select("id", "model", "score"), resamples=200)
+    return answers.bootstrap(scored(spark, d).select("model", "score"))
 
 
 _GROUPS = ["D", "H", "T", "S", "I", "R", "N", "M"]
