@@ -145,7 +145,7 @@ def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42, least: i
     u = lambda at: (F.conv(F.substring(F.md5(name), at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(9))
     w = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal))
-    means = k.withColumn("w", w).groupBy("model", "k").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("m"), F.sum("n").alias("n"))
+    means = k.withColumn("w", w).groupBy("model", "k").agg(F.try_divide(F.sum(F.col("score") * F.col("w")), F.sum("w")).alias("m"), F.sum("n").alias("n"))
     keep = lambda c: F.when(F.max("n") > least, c)
     return means.groupBy("model").agg(keep(F.avg("m")).alias("mean"), keep(F.percentile("m", 0.025)).alias("low"), keep(F.percentile("m", 0.975)).alias("high"))
 

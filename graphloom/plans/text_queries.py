@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import answers, models, sampling, verbal
-from ..sources import star
+from ..sources import files, star
 from .star_queries import FACTS
 
 QUERIES: dict = {}
@@ -288,10 +288,12 @@ def x_query_index(spark, d):
     return f.select(normal.alias("query"), names.triple_key(F.col("s"), F.col("p"), F.col("o")).alias("key")).groupBy("query").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
 
 
-@query("x_final_grouping", f"WITH {_CASES} SELECT kind, model, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM scored GROUP BY kind, model")
+@query("x_final_grouping", "WITH q AS (SELECT 'Membership' AS task, CASE WHEN conv_id % 2 = 0 THEN 'BIN' ELSE 'MC' END AS kind, 'root_' || conv_id AS root, left(text, 40) AS context, role, turn FROM conversations WHERE text IS NOT NULL) SELECT task, kind, root, context, count(*) AS n, string_agg(role || turn, ',' ORDER BY role || turn) AS qas FROM q GROUP BY task, kind, root, context")
 def x_final_grouping(spark, d):
-    g = cases(spark, d).groupBy("kind", "model").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
-    return g.select("kind", "model", "n", "ids")
+    c = _t(spark, d, "conversations")
+    q = c.select(F.lit("Membership").alias("Task Type"), F.when(F.col("conv_id") % 2 == 0, "BIN").otherwise("MC").alias("Answer Type"), F.concat(F.lit("root_"), "conv_id").alias("Root Entity"), F.substring("text", 1, 40).alias("NL Context"), F.concat("role", F.col("turn").cast("string")).alias("SPARQL Query"), F.col("text").alias("NL Question"), F.lit("TRUE").alias("Answer"))
+    entries = files.benchmark_entries(q)
+    return entries.select(F.col("Task Type").alias("task"), F.col("Answer Type").alias("kind"), F.col("Root Entity").alias("root"), F.col("NL Context").alias("context"), F.size("QAs").cast("long").alias("n"), F.array_join(F.transform("QAs", lambda x: x["SPARQL Query"]), ",").alias("qas"))
 
 
 @query("x_events_json", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")

@@ -226,7 +226,7 @@ def parse(text: str) -> list[tuple]:
     return RdfXml(head).run() if head.startswith(("<?xml", "<rdf:RDF", "<!DOCTYPE", "<!--")) else Turtle(text).run()
 
 
-def read(spark: SparkSession, path: str, pattern: str = "*.{owl,ttl,rdf,n3}") -> DataFrame:
+def read(spark: SparkSession, path: str, pattern: str = "*.{[oO][wW][lL],[tT][tT][lL],[rR][dD][fF],[nN]3}") -> DataFrame:
     """The triples of every file under path, in tasks of their own; graph_id is the file's name without its extension."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
     files = files.repartition(F.col("path"))

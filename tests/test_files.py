@@ -61,3 +61,29 @@ def test_mapping(spark, tmp_path):
     t = spark.createDataFrame([("g", "http://s", "http://p", 'a "b"', "literal", None, "en")], "graph_id string, s string, p string, o string, o_kind string, o_dtype string, o_lang string")
     assert files.turtle_lines(t).first().value == '<http://s> <http://p> "a \\"b\\""@en .'
     assert F
+
+
+def test_sinks(spark, tmp_path):
+    numbered = spark.createDataFrame([("class", "B", "Class2"), ("class", "A", "Class1"), ("individual", "x", "Individual1")], "category string, term string, abstract string")
+    assert [r.value for r in files.mapping_lines(numbered).collect()] == ["=== CLASSES ===", "A -> <http://www.example.com/abstracted.owl#Class1>", "B -> <http://www.example.com/abstracted.owl#Class2>", "=== OBJECT PROPERTIES ===", "=== DATA PROPERTIES ===", "=== INDIVIDUALS ===", "x -> <http://www.example.com/abstracted.owl#Individual1>"]
+    files.write_mapping(numbered, str(tmp_path / "m"))
+    assert sorted(files.read_mapping(spark, str(tmp_path / "m")).collect()) == [("A", "Class1"), ("B", "Class2"), ("x", "Individual1")]
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "a.TTL").write_text("x\ny")
+    (tmp_path / "deep" / "b.txt").write_text("no")
+    assert [r.text for r in files.read_texts(spark, str(tmp_path / "deep")).collect()] == ["x\ny"]
+    names = spark.createDataFrame([("g", "G", "general", 3, "d"), ("h", "H", None, 0, None)], "graph_id string, name string, structuralType string, triples long, description string")
+    entries = spark.createDataFrame([("g", "class", "B", "b"), ("g", "class", "A", "a"), ("g", "individual", "I", "i")], "graph_id string, part string, label string, text string")
+    files.write_json(files.verbalised(names, entries).drop("graph_id"), str(tmp_path / "v"))
+    back = {r.ontology.name: r for r in files.read_verbalised(spark, str(tmp_path / "v")).collect()}
+    assert [c.classLabel for c in back["G"].classes] == ["A", "B"] and back["H"].classes == [] and back["G"].individuals[0].description == "i"
+    for run, answer in (("r1", "old"), ("r2", "new"), ("r2", "new")):
+        files.write_checkpoint(spark.createDataFrame([("t", "m", answer)], "task_id string, model string, response string"), str(tmp_path / "c"), run)
+    assert [r.response for r in files.read_checkpoints(spark, str(tmp_path / "c")).collect()] == ["new"]
+    found = files.findings(spark.createDataFrame([("m", "ALL", 4, 1, 2, 1, 0.5, 0.25), ("m", None, 0, 0, 0, 0, None, None)], "model string, answer_type string, n long, perfect long, partial long, wrong long, mean double, std double"))
+    assert found.first()[2:] == ("4", "25.0%", "50.0%", "25.0%", "50.0%", "25.0%") and found.count() == 2
+    facts = spark.createDataFrame([("g", "http://a/s", "http://a/p", "v", "literal", None, None)], "graph_id string, s string, p string, o string, o_kind string, o_dtype string, o_lang string")
+    files.write_modules(facts, str(tmp_path / "mod"))
+    assert sorted(r.value[:30] for r in spark.read.text(str(tmp_path / "mod")).collect())[0].startswith("<http://a/s>")
+    name = files.module_name(F.array(F.lit("C"), F.lit("A"), F.lit("B")), F.lit("x"))
+    assert spark.range(1).select(name, files.module_name(F.array().cast("array<string>"), F.lit("x"))).first()[:] == ("A_B_x", "Thing_x")
