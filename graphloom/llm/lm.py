@@ -123,7 +123,9 @@ class Network:
         p, heads = self.p, self.classes * self.members
         cls = np.where(idx < heads, idx // self.members, idx - heads + self.classes).astype(np.int16)
         rows = np.arange(len(idx))
-        out, e = _softmax(h @ p["c"] + p["cb"], rows, cls)
+        logits = h @ p["c"]
+        logits += p["cb"]
+        out, e = _softmax(logits, rows, cls, grad is not None)
         if grad is not None:
             e[rows, cls] -= 1
             e *= F32(scale)
@@ -131,20 +133,27 @@ class Network:
             grad["cb"] += e.sum(axis=0)
             grad["h"] = e @ p["c"].T
         order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        order = order[: cuts[-1]]  # tokens of the head, class by class
+        sorted_h, place, more = h[order], idx[order], np.empty(len(order))
+        back = np.empty_like(sorted_h) if grad is not None else None
         for c in range(self.classes):
-            r = order[cuts[c] : cuts[c + 1]]
-            if not len(r):
+            a, b = cuts[c], cuts[c + 1]
+            if a == b:
                 continue
-            hr, place, at = h[r], idx[r] - c * self.members, rows[: len(r)]
-            more, e = _softmax(hr @ p["m"][c] + p["mb"][c], at, place)
-            out[r] += more
+            hr, at, which = sorted_h[a:b], rows[: b - a], place[a:b] - c * self.members
+            logits = hr @ p["m"][c]
+            logits += p["mb"][c]
+            more[a:b], e = _softmax(logits, at, which, grad is not None)
             if grad is not None:
-                e[at, place] -= 1
+                e[at, which] -= 1
                 e *= F32(scale)
                 grad["m"][c] += hr.T @ e
                 grad["mb"][c] += e.sum(axis=0)
-                grad["h"][r] += e @ p["m"][c].T
+                back[a:b] = e @ p["m"][c].T
+        out[order] += more
+        if grad is not None:
+            grad["h"][order] += back
         return out
 
     def gradient(self, idx: np.ndarray, live: np.ndarray, reset: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -189,18 +198,20 @@ class Network:
         return flat, after, float(loss)
 
 
-def _softmax(logits: np.ndarray, rows: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log of the chosen probability of each row, all probabilities)."""
+def _softmax(logits: np.ndarray, rows: np.ndarray, which: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log of the chosen probability of each row, all probabilities if `shares`)."""
     chosen = logits[rows, which]
-    if logits.size and logits.max() > 60:
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+    s = e @ np.ones(e.shape[1], e.dtype)
+    if not np.isfinite(s).all() or (s <= 1e-30).any():  # logits far from 0: shifted by the greatest of each row
         top = logits.max(axis=1, keepdims=True)
-        logits -= top
+        e = np.exp(logits - top)
         chosen = chosen - top[:, 0]
-    np.exp(logits, out=logits)
-    s = logits.sum(axis=1)
-    np.maximum(s, F32(1e-30), out=s)
-    logits /= s[:, None]
-    return (chosen - np.log(s)).astype(np.float64), logits
+        s = e.sum(axis=1)
+    if shares:
+        e *= (1 / s)[:, None]
+    return (chosen - np.log(s)).astype(np.float64), e
 
 
 def lanes_of(sizes: np.ndarray, lanes: int) -> list[list[int]]:
