@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session names one; an own folder (local runs and tests) otherwise."""
+    """spark.checkpoint.dir where the session names one; an own folder where it is unset and the master is local. A cluster
+    without the setting is refused: a folder of the driver's machine would be another one on each executor."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
