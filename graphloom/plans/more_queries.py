@@ -79,10 +79,10 @@ def r_intersection(spark, d):
     return finders.intersection_asserted(_with_base(spark, d, "Customer", "Party"), star.types(spark, d), rules).select("s", "o", "description")
 
 
-@query("r_all_values", "SELECT 'customer_' || c_custkey AS s, 'customer_' || c_custkey || ' has no value of placed and placed allValuesFrom Order' AS description FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("r_all_values", "SELECT 'customer_' || c_custkey AS s, 'customer_' || c_custkey || ' has no value of placed and placed allValuesFrom Order' AS description FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'supplier_' || s_suppkey, 'supplier_' || s_suppkey || ' has no value of placed and placed allValuesFrom Order' FROM supplier")
 def r_all_values(spark, d):
     placed = star.facts(spark, d, ("placedBy",)).select(F.col("o").alias("s"), F.lit("placed").alias("p"), F.col("s").alias("o"))
-    people = star.types(spark, d).where("c like '%Customer'").select("i")
+    people = star.types(spark, d).where("c like '%Customer' or c = 'Supplier'").select("i")
     return finders.universal_vacuous(people, placed, [("IdleCustomer", "placed", "Order")]).select("s", "description")
 
 
