@@ -11,6 +11,18 @@ def answer_type(c: Column) -> Column:
     return F.when(t.isin("multi choice", "mc", "multichoice"), "MC").otherwise("BIN")
 
 
+#: Spellings of the two answer types (fixed values).
+_BINARY = ["bin", "binary", "true/false", "true false"]
+_OPEN = ["mc", "multi choice", "multiple choice", "multichoice"]
+
+
+def strict_answer_type(c: Column) -> Column:
+    """'binary' or 'multi choice'; any other spelling, or null, raises when its row is computed."""
+    t = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    unknown = F.raise_error(F.concat(F.lit("unknown answer type: "), F.coalesce(c, F.lit("null"))))
+    return F.when(t.isin(*_BINARY), "binary").when(t.isin(*_OPEN), "multi choice").otherwise(unknown)
+
+
 def final_answer(text: Column, kind: Column) -> Column:
     """The ANSWER: line, else the first line; TRUE/FALSE for yes/no questions, ERROR for failed calls."""
     line = F.regexp_extract(text, r"(?i)ANSWER:\s*([^\n]*)", 1)
@@ -221,3 +233,41 @@ def fuzzy_queries(queries: DataFrame, index: DataFrame, least: float = 0.9) -> D
     j = pairs.join(a, "query").join(b, "match")
     good = j.where(F.size(F.array_intersect("a", "b")) >= least * F.size(F.array_union("a", "b")))
     return good.groupBy("query").agg(F.min("match").alias("match"))
+
+
+def require_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` itself; raises ValueError, naming what is missing, before any row is read."""
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}; there are {df.columns}")
+    return df
+
+
+def completed(responses: DataFrame, key: str, models: list[str]) -> DataFrame:
+    """(key, answered, complete): number of `models` with a response that is not empty (repeats count once), and whether
+    all have one. Null responses and other models count for nothing."""
+    told = F.when(F.col("model").isin(*models) & (F.col("response") != ""), F.col("model"))
+    rows = responses.groupBy(key).agg(F.count_distinct(told).alias("answered"))
+    return rows.withColumn("complete", F.col("answered") == len(set(models)))
+
+
+#: Columns of the short metric record (fixed values).
+_ESSENTIAL = ["query_index", "model_display_name", "final_answer_extracted", "quality_correctness", "response_time_seconds", "error_occurred"]
+
+
+def essential(metrics: DataFrame) -> DataFrame:
+    """The short record of each metric row; a column that is not there is null."""
+    return metrics.select(*(F.col(c) if c in metrics.columns else F.lit(None).cast("string").alias(c) for c in _ESSENTIAL))
+
+
+def percent(c: Column, signed: bool = False) -> Column:
+    """A share as percentage text with one decimal, halves to even; with a sign if `signed`; null stays null."""
+    text = F.format_string("%+.1f%%" if signed else "%.1f%%", F.bround(c.cast("double") * 100, 1))
+    return F.when(c.isNotNull(), text)
+
+
+def interval_texts(intervals: DataFrame) -> DataFrame:
+    """bootstrap's rows as texts: (model, mean_accuracy, confidence_interval_lower, confidence_interval_upper,
+    margin_of_error), the margin being half of the interval; null where there is no interval."""
+    margin = (F.col("high") - F.col("low")) / 2
+    return intervals.select("model", percent(F.col("mean")).alias("mean_accuracy"), percent(F.col("low")).alias("confidence_interval_lower"), percent(F.col("high")).alias("confidence_interval_upper"), percent(margin).alias("margin_of_error"))

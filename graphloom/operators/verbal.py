@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,24 @@ def rewrite(texts: DataFrame, mapping: DataFrame, key: str, text: str) -> DataFr
     joined = words.join(mapping.select(F.col("term").alias("w"), "abstract"), "w", "left")
     new = joined.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.coalesce("abstract", "w").alias("w")))), lambda x: x["w"]), "").alias(text))
     return new
+
+
+def phrases(mapping: DataFrame, most: int = 5_000) -> dict[str, str]:
+    """The mapping of one terminology as a dict, empty terms left out, the least name of a term that has several. It goes
+    into an expression, so more than `most` terms raise (`rewrite` joins, for mappings of single words of any size)."""
+    rows = mapping.where("term <> ''").groupBy("term").agg(F.min("abstract").alias("abstract")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms to replace")
+    return {r["term"]: r["abstract"] for r in rows}
+
+
+def replace_phrases(text: Column, names: dict[str, str]) -> Column:
+    """`text` with every term, of one word or several, replaced by its name in one pass from left to right, longer terms
+    first, never inside a word; a null text gives an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    if not names:
+        return text
+    terms = sorted(names, key=lambda t: (-len(t), t))
+    form = rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, terms))})(?!\w)|\w+|\W"
+    lookup = F.create_map(*(F.lit(x) for t in terms for x in (t, names[t])))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda w: F.coalesce(F.try_element_at(lookup, w), w)), "")

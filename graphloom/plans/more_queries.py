@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..operators import abstraction, answers, closure, describe, finders, graph, paths, sampling
+from ..operators import abstraction, answers, closure, describe, finders, graph, paths, sampling, verbal
 from ..sources import star
 from .star_queries import CLOSED, FACTS, TYPES, closed_facts
 from .text_queries import _CASES, _t, cases, scored
@@ -309,3 +309,41 @@ def x_group_analysis(spark, d):
 @query("x_case_assembly", f"WITH {_CASES} SELECT id, 'Task Type: ' || kind || chr(10) || 'Model: ' || model AS context, score >= 1 AS correct FROM scored")
 def x_case_assembly(spark, d):
     return scored(spark, d).select("id", F.concat(F.lit("Task Type: "), "kind", F.lit("\nModel: "), "model").alias("context"), (F.col("score") >= 1).alias("correct"))
+
+
+@query("l_strict_type", "SELECT p_partkey, CASE WHEN p_partkey % 8 < 4 THEN 'binary' ELSE 'multi choice' END AS kind FROM part")
+def l_strict_type(spark, d):
+    told = F.element_at(F.array(*map(F.lit, [" BIN", "Binary", "true/false", "True False ", "MC", "multi choice", "Multiple Choice", "\tmultichoice"])), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", answers.strict_answer_type(told).alias("kind"))
+
+
+@query("l_completed", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS answered, count(DISTINCT o_orderstatus) = 3 AS complete FROM (SELECT o_custkey, CASE WHEN o_orderkey % 4 > 0 THEN o_orderstatus END AS o_orderstatus FROM orders) GROUP BY o_custkey")
+def l_completed(spark, d):
+    response = F.when(F.col("o_orderkey") % 4 > 0, F.lit("yes")).when(F.col("o_orderkey") % 8 == 0, F.lit(""))
+    return answers.completed(_t(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("model"), response.alias("response")), "o_custkey", ["F", "O", "P"])
+
+
+@query("l_essential", f"WITH {_CASES} SELECT id AS query_index, model AS model_display_name, CAST(NULL AS VARCHAR) AS final_answer_extracted, round(score, 9) AS quality_correctness, CAST(NULL AS VARCHAR) AS response_time_seconds, CAST(NULL AS VARCHAR) AS error_occurred FROM scored")
+def l_essential(spark, d):
+    return answers.essential(scored(spark, d).select(F.col("id").alias("query_index"), F.col("model").alias("model_display_name"), F.round("score", 9).alias("quality_correctness"), "conf"))
+
+
+@query("x_percent", "SELECT o_orderstatus, printf('%.1f%%', 100.0::DOUBLE * count(*) / (SELECT count(*) FROM orders)) AS share, printf('%+.1f%%', 100.0::DOUBLE * (count(*) FILTER (o_orderkey % 2 = 0) - count(*) FILTER (o_orderkey % 2 = 1)) / count(*)) AS difference FROM orders GROUP BY o_orderstatus")
+def x_percent(spark, d):
+    o = _t(spark, d, "orders")
+    even = F.avg(F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(-1.0))
+    n = o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), even.alias("even"))
+    share = F.col("n") / F.col("total")
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("total")))).select("o_orderstatus", answers.percent(share).alias("share"), answers.percent(F.col("even"), signed=True).alias("difference"))
+
+
+@query("v_phrases", """SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE 'Is customer of Individual' || n_nationkey || ', not Word nor ' ||
+ CASE WHEN n_name LIKE 'UNITED %' THEN 'Word' || substr(n_name, 7) ELSE n_name END || 'S, in Class' || r_regionkey || '?' END AS text
+ FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
+def v_phrases(spark, d):
+    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
+    named = nation.select(F.col("n_name").alias("term"), F.concat(F.lit("Individual"), "n_nationkey").alias("abstract"))
+    named = named.union(region.select("r_name", F.concat(F.lit("Class"), "r_regionkey"))).union(spark.createDataFrame([("UNITED", "Word")], "term string, abstract string"))
+    text = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("Is customer of "), "n_name", F.lit(", not UNITED nor "), "n_name", F.lit("S, in "), "r_name", F.lit("?")))
+    c = _t(spark, d, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(region), F.col("r_regionkey") == F.col("n_regionkey"))
+    return c.select("c_custkey", verbal.replace_phrases(text, verbal.phrases(named)).alias("text"))

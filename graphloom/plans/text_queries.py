@@ -259,9 +259,22 @@ def x_rank_u(spark, d):
     return answers.rank_sum(scored(spark, d).select("model", F.round("score", 9).alias("score")))
 
 
-@query("x_bootstrap")
+_DRAWS = f"""{_CASES}, counts AS (SELECT model, score, count(*) AS n FROM scored GROUP BY model, score),
+ named AS (SELECT *, md5('42|' || model || '|' || CAST(round(score * 1e9) AS BIGINT) || '|' || k) AS h FROM counts, (SELECT unnest(range(1, 1001)) AS k)),
+ drawn AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u, (('0x' || substr(h, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v FROM named),
+ means AS (SELECT model, k, sum(n) AS n, sum(score * greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * 3.141592653589793::DOUBLE * v)))) / nullif(sum(greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * 3.141592653589793::DOUBLE * v)))), 0) AS m FROM drawn GROUP BY model, k),
+ intervals AS (SELECT model, CASE WHEN max(n) > 30 THEN avg(m) END AS mean, CASE WHEN max(n) > 30 THEN quantile_cont(m, 0.025) END AS low, CASE WHEN max(n) > 30 THEN quantile_cont(m, 0.975) END AS high FROM means GROUP BY model)"""
+
+
+@query("x_bootstrap", f"WITH {_DRAWS} SELECT model, round(mean, 7) AS mean, round(low, 7) AS low, round(high, 7) AS high FROM intervals")
 def x_bootstrap(spark, d):
-    return answers.bootstrap(scored(spark, d).select("model", "score"))
+    found = answers.bootstrap(scored(spark, d).select("model", "score"))
+    return found.select("model", *(F.round(c, 7).alias(c) for c in ("mean", "low", "high")))
+
+
+@query("x_interval_texts", f"WITH {_DRAWS} SELECT model, printf('%.1f%%', 100 * mean) AS mean_accuracy, printf('%.1f%%', 100 * low) AS confidence_interval_lower, printf('%.1f%%', 100 * high) AS confidence_interval_upper, printf('%.1f%%', 50 * (high - low)) AS margin_of_error FROM intervals")
+def x_interval_texts(spark, d):
+    return answers.interval_texts(answers.bootstrap(scored(spark, d).select("model", "score")))
 
 
 _GROUPS = ["D", "H", "T", "S", "I", "R", "N", "M"]
