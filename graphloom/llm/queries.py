@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, decontaminate, htmltext, licenses, lm, mixing, neardup, quality, sentences, toxicity
+from . import bitplane, codes, decontaminate, htmltext, licenses, lm, merkle, mixing, neardup, quality, sentences, sharding, toxicity
 from .work import table
 
 
@@ -56,5 +56,17 @@ def op10_token_ids_bitplane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.op10(spark, table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op11(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.op12(table(spark, sf_dir, "embeddings"))
+
+
+def op13_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in sorted(globals().items()) if k.startswith("op") and k[2:3].isdigit()}
