@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import more_queries, star_queries, text_queries
+from .plans import more_queries, reason_queries, star_queries, text_queries
 
 
 def _modules() -> list:
-    return [star_queries, text_queries, more_queries]
+    return [star_queries, text_queries, more_queries, reason_queries]
 
 
 def queries() -> dict:

@@ -16,10 +16,31 @@ from pyspark.sql import functions as F
 from ..plans.materialise import saved
 
 
+#: Begins the names of chain states, which are no properties.
+STATE = "state "
+
+
+def chain_steps(chains: list[tuple]) -> list[tuple[str, str, str]]:
+    """Chains (p1, ..., pn, q) of any length as steps (state or p1, p, state or q). A state stands for the pairs that have read
+    a prefix; chains that begin alike share it, so the steps are the automaton of all chains."""
+    out = {}
+    for *steps, q in chains:
+        state = steps[0]
+        for k, p in enumerate(steps[1:], 2):
+            to = q if k == len(steps) else STATE + " ∘ ".join(steps[:k])
+            out[state, p, to] = True
+            state = to
+    return list(out)
+
+
 @dataclass
 class Terminology:
     """Axioms without individuals, by kind. `some`: (p, D, C) for (exists p.D) below C; `only`: (C, p, D) for C below
-    (all p.D); `exists`: (C, p, D) for C below (exists p.D); `intersections`: (C, operands), `unions`: (C, operands)."""
+    (all p.D); `exists`: (C, p, D) for C below (exists p.D); `intersections`: (C, operands), `unions`: (C, operands);
+    `chains`: (p1, ..., pn, q); `expressions`: (left, right) of class expressions of any depth, written as tuples:
+    ('and' | 'or', ...), ('not', C), ('some' | 'only', p, C), ('value', p, v), ('self', p), ('min' | 'max' | 'exact', n, p, C),
+    ('one', v, ...), with ('inverse', p) for p. Expressions are for `reasoner.closure` only.
+    `left_out`: (statement, reason) that a reader did not understand."""
 
     sub_property: list = field(default_factory=list)
     equivalent_property: list = field(default_factory=list)
@@ -42,11 +63,15 @@ class Terminology:
     exists: list = field(default_factory=list)
     disjoint: list = field(default_factory=list)
     disjoint_property: list = field(default_factory=list)
+    expressions: list = field(default_factory=list)
+    left_out: list = field(default_factory=list)
 
     def size(self) -> int:
-        return sum(len(v) for v in vars(self).values())
+        return sum(len(v) for k, v in vars(self).items() if k != "left_out")
 
     def check(self, most: int = 200_000) -> None:
+        if self.expressions:
+            raise ValueError("nested class expressions are for reasoner.closure")
         if self.size() > most:
             raise ValueError(f"terminology of over {most} axioms")
 
@@ -112,7 +137,7 @@ class Terminology:
         out = set()
         for c, p, _ in self.exists:
             reach = {(p, False)} | implies[p]
-            for a, b, r in self.chains:
+            for a, b, r in (x for x in self.chains if len(x) == 3):
                 if (a, False) in reach and (b, True) in reach:
                     out |= {(x, r) for x in {c} | up[c]}
         return sorted(out)
@@ -142,7 +167,7 @@ def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None
     if types is not None and (rules := t.self_rules()):
         own = types.join(_small(rules, spark, "c0 string, r string"), F.col("c") == F.col("c0")).select("g", F.col("i").alias("s"), F.col("r").alias("p"), F.col("i").alias("o"))
         every = expand_facts(every.unionByName(own), t)
-    rules = [*t.chains, *((p, p, p) for p in t.transitive)]
+    rules = [*chain_steps(t.chains), *((p, p, p) for p in t.transitive)]
     if not rules:
         return every
     chains = _small(rules, spark, "p1 string, p2 string, q string")
@@ -165,7 +190,7 @@ def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None
         delta = new
     else:
         raise RuntimeError(f"facts still grow after {max_rounds} rounds")
-    return every
+    return every if all(len(x) == 3 for x in t.chains) else every.where(~F.col("p").startswith(STATE))
 
 
 def expand_types(types: DataFrame, t: Terminology) -> DataFrame:
@@ -231,6 +256,14 @@ def violations(facts: DataFrame, types: DataFrame, t: Terminology) -> DataFrame:
     if t.functional:
         many = facts.where(F.col("p").isin(t.functional)).groupBy("g", "s", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         out = out.unionByName(many.select("g", F.lit("functional").alias("rule"), F.col("s").alias("x"), F.col("p").alias("y")))
+    if t.inverse_functional:
+        many = facts.where(F.col("p").isin(t.inverse_functional)).groupBy("g", "o", "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionByName(many.select("g", F.lit("inverse-functional").alias("rule"), F.col("o").alias("x"), F.col("p").alias("y")))
+    if t.disjoint_property:
+        table = _small(t.disjoint_property, spark, "p0 string, q string")
+        other = facts.select(*(F.col(c).alias(f"{c}2") for c in ("g", "s", "p", "o")))
+        both = facts.join(table, F.col("p") == F.col("p0")).join(other, (F.col("g") == F.col("g2")) & (F.col("s") == F.col("s2")) & (F.col("o") == F.col("o2")) & (F.col("q") == F.col("p2")))
+        out = out.unionByName(both.select("g", F.lit("disjoint-property").alias("rule"), F.col("s").alias("x"), F.concat_ws("|", "o", "p", "q").alias("y")))
     if t.irreflexive:
         out = out.unionByName(facts.where(F.col("p").isin(t.irreflexive) & (F.col("s") == F.col("o"))).select("g", F.lit("irreflexive").alias("rule"), F.col("s").alias("x"), F.col("p").alias("y")))
     if t.asymmetric:

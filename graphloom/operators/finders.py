@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .closure import Terminology, _small
-from .paths import _axiom, _path, fact_text
+from .paths import _along, _axiom, _path, fact_text
 
 
 def _told(facts: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def _below(pairs: list[tuple[str, str]]) -> dict[str, set[str]]:
 
 def traces(facts: DataFrame, t: Terminology, properties: list[str]) -> DataFrame:
     """(i, p, kind, evidence): why i has a value of p, by asserted facts: such a fact, one of a sub-property at any depth,
-    one of an inverse, or a chain of two; the first kind in this order, the smallest facts by name within it."""
+    one of an inverse, or a chain; the first kind in this order, the smallest facts by name within it."""
     spark = facts.sparkSession
     told = _told(facts).where(F.col("p").isin(sorted(_used(t, properties))))
     text = fact_text(F.col("s"), F.col("p"), F.col("o"))
@@ -52,13 +52,16 @@ def traces(facts: DataFrame, t: Terminology, properties: list[str]) -> DataFrame
     inverse = sorted({(q, p) for a, b in t.inverse for p, q in ((a, b), (b, a)) if p in properties})
     if inverse:
         parts.append(row(told.join(_small(inverse, spark, "q string, target string"), F.col("p") == F.col("q")), F.col("o"), F.col("target"), 3, "inverse", F.array(text)))
-    chains = [c for c in t.chains if c[2] in properties]
+    chains = [c for c in t.chains if len(c) == 3 and c[2] in properties]
     if chains:
         first = told.join(_small(chains, spark, "p1 string, p2 string, target string"), F.col("p") == F.col("p1")).select(F.col("s").alias("a"), text.alias("ta"), F.col("o").alias("m"), "p2", "target")
         # one edge a middle will do, so a hot middle meets one row
         second = told.where(F.col("p").isin(sorted({c[1] for c in chains}))).groupBy(F.col("s").alias("m2"), F.col("p").alias("pp")).agg(F.min(text).alias("tb"))
         both = first.join(second, (F.col("m") == F.col("m2")) & (F.col("p2") == F.col("pp")))
         parts.append(row(both, F.col("a"), F.col("target"), 4, "chain", F.array("ta", "tb")))
+    for *steps, q in (c for c in t.chains if len(c) > 3 and c[-1] in properties):
+        ways = _along(told, steps).groupBy("a").agg(F.min("nodes").alias("nodes"))
+        parts.append(row(ways, F.col("a"), F.lit(q), 4, "chain", F.array(*(fact_text(F.col("nodes")[k], F.lit(x), F.col("nodes")[k + 1]) for k, x in enumerate(steps)))))
     every = parts[0]
     for x in parts[1:]:
         every = every.unionByName(x)
@@ -73,8 +76,8 @@ def _used(t: Terminology, properties: list[str]) -> set[str]:
     for a, b in t.inverse:
         out |= {b} if a in properties else set()
         out |= {a} if b in properties else set()
-    for p1, p2, q in t.chains:
-        out |= {p1, p2} if q in properties else set()
+    for *steps, q in t.chains:
+        out |= set(steps) if q in properties else set()
     return out
 
 

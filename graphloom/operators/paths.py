@@ -77,11 +77,34 @@ def transitive(facts: DataFrame, t: Terminology) -> DataFrame:
     return _path(j, F.col("a"), F.col("q"), F.col("b"), "transitive", "TRANSITIVE_PROPERTY", [_axiom("ObjectPropertyAssertion", x), _axiom("ObjectPropertyAssertion", y), _axiom("TransitiveObjectProperty", z)], [x, y, z])
 
 
+def _along(facts: DataFrame, steps: list[str]) -> DataFrame:
+    """(a, b, nodes): the ends of facts of the named properties one after the other, with the least nodes between; every step
+    keeps one way for a pair of ends, so ways don't multiply."""
+    first = facts.where(F.col("p") == steps[0])
+    out = first.select(F.col("s").alias("a"), F.col("o").alias("b"), F.array("s", "o").alias("nodes")).distinct()
+    for p in steps[1:]:
+        step = facts.where(F.col("p") == p).select(F.col("s").alias("b0"), F.col("o").alias("b1"))
+        out = out.join(step, F.col("b") == F.col("b0")).select("a", F.col("b1").alias("b"), F.concat("nodes", F.array("b1")).alias("nodes"))
+        out = out.groupBy("a", "b").agg(F.min("nodes").alias("nodes"))
+    return out
+
+
+def _long_chain(ways: DataFrame, steps: list[str], q: str, finder: str, o: Column, p: Column, more: list[tuple[str, Column]]) -> DataFrame:
+    facts = [fact_text(F.col("nodes")[k], F.lit(x), F.col("nodes")[k + 1]) for k, x in enumerate(steps)]
+    rest = [("SubPropertyChainOf", F.lit(f"{' ∘ '.join(steps)} → {q}")), *more]
+    axioms = [*(_axiom("ObjectPropertyAssertion", x) for x in facts), *(_axiom(k, x) for k, x in rest)]
+    return _path(ways, F.col("a"), p, o, finder, "PROPERTY_CHAIN", axioms, [*facts, *(x for _, x in rest)])
+
+
 def chain(facts: DataFrame, t: Terminology) -> DataFrame:
-    j = _two_steps(facts, t.chains)
+    """Facts that a chain gives, of any length, with the facts along the least way."""
+    j = _two_steps(facts, [x for x in t.chains if len(x) == 3])
     x, y = fact_text(F.col("a"), F.col("p1"), F.col("m")), fact_text(F.col("m"), F.col("p2"), F.col("b"))
     z = F.concat("p1", F.lit(" ∘ "), "p2", F.lit(" → "), "q")
-    return _path(j, F.col("a"), F.col("q"), F.col("b"), "chain", "PROPERTY_CHAIN", [_axiom("ObjectPropertyAssertion", x), _axiom("ObjectPropertyAssertion", y), _axiom("SubPropertyChainOf", z)], [x, y, z])
+    out = _path(j, F.col("a"), F.col("q"), F.col("b"), "chain", "PROPERTY_CHAIN", [_axiom("ObjectPropertyAssertion", x), _axiom("ObjectPropertyAssertion", y), _axiom("SubPropertyChainOf", z)], [x, y, z])
+    for *steps, q in (x for x in t.chains if len(x) > 3):
+        out = out.unionByName(_long_chain(_along(facts, steps), steps, q, "chain", F.col("b"), F.lit(q), []))
+    return out
 
 
 def domain(facts: DataFrame, t: Terminology) -> DataFrame:
@@ -175,11 +198,17 @@ def symmetric_domain(facts: DataFrame, t: Terminology) -> DataFrame:
 
 
 def chain_domain(facts: DataFrame, t: Terminology) -> DataFrame:
-    rule = [r for r in t.chains if r[2] in {p for p, _ in t.domain}]
-    j = _two_steps(facts, rule).join(_small(t.domain, facts.sparkSession, "dp string, c string"), F.col("q") == F.col("dp")).groupBy("a", "p1", "p2", "q", "c", "m").agg(F.min("b").alias("b"))
+    """Members of a domain through a chain into its property; of chains of over two steps the least way of a subject."""
+    rule = [r for r in t.chains if r[-1] in {p for p, _ in t.domain}]
+    j = _two_steps(facts, [r for r in rule if len(r) == 3]).join(_small(t.domain, facts.sparkSession, "dp string, c string"), F.col("q") == F.col("dp")).groupBy("a", "p1", "p2", "q", "c", "m").agg(F.min("b").alias("b"))
     x, y = fact_text(F.col("a"), F.col("p1"), F.col("m")), fact_text(F.col("m"), F.col("p2"), F.col("b"))
     z, d = F.concat("p1", F.lit(" ∘ "), "p2", F.lit(" → "), "q"), F.concat(F.lit("domain("), "q", F.lit(") = "), "c")
-    return _path(j, F.col("a"), F.lit("rdf:type"), F.col("c"), "chain_domain", "PROPERTY_CHAIN", [_axiom("ObjectPropertyAssertion", x), _axiom("ObjectPropertyAssertion", y), _axiom("SubPropertyChainOf", z), _axiom("ObjectPropertyDomain", d)], [x, y, z, d])
+    out = _path(j, F.col("a"), F.lit("rdf:type"), F.col("c"), "chain_domain", "PROPERTY_CHAIN", [_axiom("ObjectPropertyAssertion", x), _axiom("ObjectPropertyAssertion", y), _axiom("SubPropertyChainOf", z), _axiom("ObjectPropertyDomain", d)], [x, y, z, d])
+    for *steps, q in (r for r in rule if len(r) > 3):
+        ways = _along(facts, steps).groupBy("a").agg(F.min("nodes").alias("nodes"))
+        for c in (c for p, c in t.domain if p == q):
+            out = out.unionByName(_long_chain(ways, steps, q, "chain_domain", F.lit(c), F.lit("rdf:type"), [("ObjectPropertyDomain", F.lit(f"domain({q}) = {c}"))]))
+    return out
 
 
 def functional_range(facts: DataFrame, t: Terminology) -> DataFrame:

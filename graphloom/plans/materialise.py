@@ -24,4 +24,14 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back; a lost executor then costs one stage only."""
     path = f"{shared_dir(df.sparkSession)}/graphloom/{what}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `saved` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            target = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

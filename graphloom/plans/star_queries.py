@@ -252,7 +252,7 @@ def e_symmetric_domain(spark, d):
     return _shown(paths.symmetric_domain(f, closure.Terminology(symmetric=["tradesWith"], domain=[("tradesWith", "Trader")])))
 
 
-@query("e_chain_domain", _sql("s", "'rdf:type'", "'ForeignOrder'", "PROPERTY_CHAIN", 4, "DDHNRM".replace("H", "") .replace("DDNRM", "DDNNRM"), "s || ' placedBy ' || m || '; ' || m || ' inNation ' || o || '; placedBy ∘ inNation → orderedFrom; domain(orderedFrom) = ForeignOrder'", "FROM (SELECT a.s, a.o AS m, min(b.o) AS o FROM facts a JOIN facts b ON a.o = b.s WHERE a.p = 'placedBy' AND b.p = 'inNation' GROUP BY a.s, a.o)"))
+@query("e_chain_domain", _sql("s", "'rdf:type'", "'ForeignOrder'", "PROPERTY_CHAIN", 4, "DDNNRM", "s || ' placedBy ' || m || '; ' || m || ' inNation ' || o || '; placedBy ∘ inNation → orderedFrom; domain(orderedFrom) = ForeignOrder'", "FROM (SELECT a.s, a.o AS m, min(b.o) AS o FROM facts a JOIN facts b ON a.o = b.s WHERE a.p = 'placedBy' AND b.p = 'inNation' GROUP BY a.s, a.o)"))
 def e_chain_domain(spark, d):
     t = closure.Terminology(chains=star.terminology().chains, domain=[("orderedFrom", "ForeignOrder")])
     return _shown(paths.chain_domain(star.facts(spark, d, ("placedBy", "inNation")), t))

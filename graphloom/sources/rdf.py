@@ -241,68 +241,216 @@ def read(spark: SparkSession, path: str, pattern: str = "*.{[oO][wW][lL],[tT][tT
                 try:
                     own = lambda v, g=graph: f"_:{g}.{v[2:]}" if v.startswith("_:") else v
                     rows += [(graph, own(t[0]), t[1], own(t[2]) if t[3] == "blank" else t[2], *t[3:]) for t in parse(bytes(content).decode("utf-8", "replace"))]
-                except (ValueError, ET.ParseError, StopIteration) as e:
+                except (ValueError, ET.ParseError, StopIteration, RecursionError) as e:
                     rows.append((graph, None, None, str(e), "error", None, None))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return files.mapInPandas(run, SCHEMA)
 
 
-def terminology(triples: DataFrame, most: int = 200_000):
-    """The terminology of a triples table: schema statements only come to the driver, and no more than `most`."""
+class _Expressions:
+    """Class expressions and lists out of schema statements: (s, p, o) of the terminology, as many as `most`."""
+
+    def __init__(self, rows):
+        from ..functions.names import OWL
+
+        self.owl, self.by, self.one = OWL, {}, {}
+        for s, p, o in rows:
+            self.by.setdefault(p, []).append((s, o))
+            self.one[s, p] = o
+
+    def get(self, s, word: str):
+        return self.one.get((s, self.owl + word))
+
+    def items(self, head) -> list:
+        out, seen = [], set()
+        while head and head != RDF + "nil":
+            if head in seen or (head, RDF + "first") not in self.one:
+                raise ValueError("a list without an end")
+            seen.add(head)
+            out.append(self.one[head, RDF + "first"])
+            head = self.one.get((head, RDF + "rest"))
+        return out
+
+    def prop(self, p):
+        if named(p):
+            return p
+        if named(q := self.get(p, "inverseOf")):
+            return ("inverse", q)
+        raise ValueError("a property without a name")
+
+    def read(self, x, depth: int = 0):
+        """The expression of a node, named or blank, however deep; ValueError where there is none that is known."""
+        if depth > 200:
+            raise ValueError("an expression within itself, or over 200 deep")
+        if named(x):
+            return x
+        deeper = lambda y: self.read(y, depth + 1)
+        for word, kind in (("intersectionOf", "and"), ("unionOf", "or")):
+            if head := self.get(x, word):
+                return (kind, *map(deeper, self.items(head)))
+        if y := self.get(x, "complementOf"):
+            return ("not", deeper(y))
+        if head := self.get(x, "oneOf"):
+            return ("one", *self.items(head))
+        if on := self.get(x, "onProperty"):
+            p = self.prop(on)
+            for word, kind in (("someValuesFrom", "some"), ("allValuesFrom", "only")):
+                if y := self.get(x, word):
+                    return (kind, p, deeper(y))
+            if (v := self.get(x, "hasValue")) is not None:
+                return ("value", p, v)
+            if self.get(x, "hasSelf"):
+                return ("self", p)
+            for words, kind in ((("minCardinality", "minQualifiedCardinality"), "min"), (("maxCardinality", "maxQualifiedCardinality"), "max"), (("cardinality", "qualifiedCardinality"), "exact")):
+                for word in words:
+                    if n := self.get(x, word):
+                        if self.get(x, "onDataRange"):
+                            raise ValueError("a data range")
+                        on_class = self.get(x, "onClass")
+                        return (kind, int(n), p, deeper(on_class) if on_class else self.owl + "Thing")
+        raise ValueError("an unknown kind of expression")
+
+
+def named(x) -> bool:
+    return x is not None and not x.startswith("_:")
+
+
+#: Statements that make a terminology (names of the published vocabulary).
+_RDFS = ("subClassOf", "subPropertyOf", "domain", "range")
+_OWL = (
+    "equivalentClass", "equivalentProperty", "inverseOf", "propertyChainAxiom", "disjointWith", "intersectionOf", "unionOf", "onProperty", "someValuesFrom", "allValuesFrom",
+    "hasValue", "hasSelf", "minCardinality", "maxCardinality", "cardinality", "minQualifiedCardinality", "maxQualifiedCardinality", "qualifiedCardinality", "onClass", "complementOf", "oneOf",
+    "disjointUnionOf", "propertyDisjointWith", "members", "hasKey", "onDataRange", "onDatatype",
+)
+_KINDS = ("TransitiveProperty", "SymmetricProperty", "FunctionalProperty", "InverseFunctionalProperty", "AsymmetricProperty", "IrreflexiveProperty", "ReflexiveProperty", "AllDisjointClasses", "AllDisjointProperties", "NegativePropertyAssertion")
+
+
+def terminology(triples: DataFrame, most: int = 200_000, strict: bool = True):
+    """The terminology of a triples table: schema statements only come to the driver, and no more than `most`.
+
+    Class expressions may nest; simple ones fill the plain lists, all others `expressions` (see `reasoner.closure`). What is
+    not understood (keys, reflexive properties, negative assertions, data ranges, broken lists) raises NotUnderstood with all
+    such statements, or is listed in `left_out` if strict is False.
+    """
     from ..functions.names import OWL, RDFS
     from ..operators.closure import Terminology
+    from ..operators.rules import NotUnderstood
 
-    kinds = [OWL + k for k in ("TransitiveProperty", "SymmetricProperty", "FunctionalProperty", "InverseFunctionalProperty", "AsymmetricProperty", "IrreflexiveProperty")]
-    schema = [RDFS + k for k in ("subClassOf", "subPropertyOf", "domain", "range")] + [OWL + k for k in ("equivalentClass", "equivalentProperty", "inverseOf", "propertyChainAxiom", "disjointWith", "intersectionOf", "unionOf", "onProperty", "someValuesFrom", "allValuesFrom")] + [RDF + "first", RDF + "rest"]
+    kinds, schema = [OWL + k for k in _KINDS], [RDFS + k for k in _RDFS] + [OWL + k for k in _OWL] + [RDF + "first", RDF + "rest"]
     rows = triples.where(F.col("p").isin(schema) | ((F.col("p") == RDF + "type") & F.col("o").isin(kinds))).select("s", "p", "o").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"terminology of over {most} statements")
-    by: dict[str, list] = {}
-    one: dict[tuple, str] = {}
-    for s, p, o in rows:
-        by.setdefault(p, []).append((s, o))
-        one[s, p] = o
-
-    def items(head):
-        out = []
-        while head and head != RDF + "nil":
-            out.append(one.get((head, RDF + "first")))
-            head = one.get((head, RDF + "rest"))
-        return out
-
-    named = lambda x: x is not None and not x.startswith("_:")
-    pairs = lambda p: [(s, o) for s, o in by.get(p, []) if named(s) and named(o)]
-    typed = lambda k: [s for s, o in by.get(RDF + "type", []) if o == OWL + k]
-    t = Terminology(
-        sub_property=pairs(RDFS + "subPropertyOf"), equivalent_property=pairs(OWL + "equivalentProperty"), inverse=pairs(OWL + "inverseOf"), symmetric=typed("SymmetricProperty"), transitive=typed("TransitiveProperty"),
-        functional=typed("FunctionalProperty"), inverse_functional=typed("InverseFunctionalProperty"), asymmetric=typed("AsymmetricProperty"), irreflexive=typed("IrreflexiveProperty"),
-        domain=pairs(RDFS + "domain"), range=pairs(RDFS + "range"), sub_class=pairs(RDFS + "subClassOf"), equivalent_class=pairs(OWL + "equivalentClass"), disjoint=pairs(OWL + "disjointWith"),
-    )
-    for s, o in by.get(OWL + "propertyChainAxiom", []):
-        steps = items(o)
-        if len(steps) == 2:
-            t.chains.append((steps[0], steps[1], s))
-    for c, x in [*by.get(OWL + "equivalentClass", []), *by.get(RDFS + "subClassOf", [])]:
-        both = (c, x) in set(by.get(OWL + "equivalentClass", []))
-        p, some, only = (one.get((x, OWL + k)) for k in ("onProperty", "someValuesFrom", "allValuesFrom"))
-        if named(c) and p and named(some):
-            t.exists.append((c, p, some))
-            if both:
-                t.some.append((p, some, c))
-        if named(c) and p and named(only):
-            t.only.append((c, p, only))
-        for kind, into in (("intersectionOf", t.intersections), ("unionOf", t.unions)):
-            if both and named(c) and (head := one.get((x, OWL + kind))):
-                parts = [y if named(y) else (one.get((y, OWL + "onProperty")), one.get((y, OWL + "someValuesFrom"))) for y in items(head)]
-                if kind == "intersectionOf" and all(isinstance(y, str) or all(y) for y in parts) or all(isinstance(y, str) for y in parts):
-                    into.append((c, parts))
+    x = _Expressions(sorted(tuple(r) for r in rows))
+    said = lambda word, space=OWL: x.by.get(space + word, [])
+    typed = lambda k: [s for s, o in x.by.get(RDF + "type", []) if o == OWL + k]
+    t, left_out = Terminology(), []
+
+    def each(rows, what: str, add) -> None:
+        for s, o in rows:
+            try:
+                add(s, o)
+            except ValueError as e:
+                left_out.append((f"{s} {what} {o}", str(e)))
+
+    def pair(into):
+        def add(s, o):
+            if not (named(s) and named(o)):
+                raise ValueError("a part without a name")
+            into.append((s, o))
+
+        return add
+
+    def simple(e) -> bool:
+        return isinstance(e, tuple) and e[0] in ("some", "only") and isinstance(e[1], str) and isinstance(e[2], str)
+
+    def sub_class(c, d) -> None:
+        a, b = x.read(c), x.read(d)
+        if isinstance(a, str) and isinstance(b, str):
+            t.sub_class.append((a, b))
+        elif isinstance(a, str) and simple(b):
+            (t.exists if b[0] == "some" else t.only).append((a, b[1], b[2]))
+        else:
+            t.expressions.append((a, b))
+
+    def equal(a, b) -> None:
+        operand = lambda y: y if isinstance(y, str) else y[1:] if y[0] == "some" and simple(y) else None
+        if not isinstance(a, str):
+            a, b = b, a
+        if isinstance(a, str) and isinstance(b, str):
+            t.equivalent_class.append((a, b))
+        elif isinstance(a, str) and simple(b) and b[0] == "some":
+            t.exists.append((a, b[1], b[2]))
+            t.some.append((b[1], b[2], a))
+        elif isinstance(a, str) and b[0] == "and" and all(operand(y) for y in b[1:]):
+            t.intersections.append((a, [operand(y) for y in b[1:]]))
+        elif isinstance(a, str) and b[0] == "or" and all(isinstance(y, str) for y in b[1:]):
+            t.unions.append((a, list(b[1:])))
+        else:
+            t.expressions += [(a, b), (b, a)]
+
+    def chain(q, head) -> None:
+        steps = [x.prop(p) for p in x.items(head)]
+        if not named(q) or not steps:
+            raise ValueError("a chain without steps, or for a property without a name")
+        for p in (p for p in steps if isinstance(p, tuple)):
+            t.inverse.append((f"inverse({p[1]})", p[1]))
+        t.chains.append((*(p if isinstance(p, str) else f"inverse({p[1]})" for p in steps), q))
+
+    def disjoint(a, b) -> None:
+        a, b = x.read(a), x.read(b)
+        if isinstance(a, str) and isinstance(b, str):
+            t.disjoint.append((a, b))
+        else:
+            t.expressions.append((a, ("not", b)))
+
+    def apart(parts, add) -> None:
+        for k, a in enumerate(parts):
+            for b in parts[k + 1 :]:
+                add(a, b)
+
+    def disjoint_union(c, head) -> None:
+        parts = x.items(head)
+        equal(x.read(c), ("or", *map(x.read, parts)))
+        apart(parts, disjoint)
+
+    def unknown(s, o):
+        raise ValueError("no rule for it")
+
+    each(said("subPropertyOf", RDFS), "rdfs:subPropertyOf", pair(t.sub_property))
+    each(said("equivalentProperty"), "owl:equivalentProperty", pair(t.equivalent_property))
+    each([(s, o) for s, o in said("inverseOf") if named(s)], "owl:inverseOf", pair(t.inverse))  # blank: an expression's part
+    each(said("range", RDFS), "rdfs:range", lambda p, c: t.range.append((p, c)) if named(c) else t.expressions.append((OWL + "Thing", ("only", x.prop(p), x.read(c)))))
+    each(said("domain", RDFS), "rdfs:domain", lambda p, c: t.domain.append((p, c)) if named(c) else t.expressions.append((("some", x.prop(p), OWL + "Thing"), x.read(c))))
+    each(said("subClassOf", RDFS), "rdfs:subClassOf", sub_class)
+    each(said("equivalentClass"), "owl:equivalentClass", lambda a, b: equal(x.read(a), x.read(b)))
+    for word in ("intersectionOf", "unionOf", "complementOf", "oneOf"):
+        kind = {"intersectionOf": "and", "unionOf": "or", "complementOf": "not", "oneOf": "one"}[word]
+        read = lambda o, kind=kind: ("not", x.read(o)) if kind == "not" else ("one", *x.items(o)) if kind == "one" else (kind, *map(x.read, x.items(o)))
+        each([(s, o) for s, o in said(word) if named(s)], "owl:" + word, lambda s, o, read=read: equal(s, read(o)))
+    each(said("propertyChainAxiom"), "owl:propertyChainAxiom", chain)
+    each(said("disjointWith"), "owl:disjointWith", disjoint)
+    each(said("propertyDisjointWith"), "owl:propertyDisjointWith", pair(t.disjoint_property))
+    each(said("disjointUnionOf"), "owl:disjointUnionOf", disjoint_union)
+    each([(s, x.get(s, "members")) for s in typed("AllDisjointClasses")], "owl:members", lambda s, head: apart(x.items(head), disjoint))
+    each([(s, x.get(s, "members")) for s in typed("AllDisjointProperties")], "owl:members", lambda s, head: apart(x.items(head), pair(t.disjoint_property)))
+    each(said("hasKey"), "owl:hasKey", unknown)
+    for k in ("ReflexiveProperty", "NegativePropertyAssertion"):
+        each([(s, OWL + k) for s in typed(k)], "rdf:type", unknown)
+    for k, into in (("SymmetricProperty", t.symmetric), ("TransitiveProperty", t.transitive), ("FunctionalProperty", t.functional), ("InverseFunctionalProperty", t.inverse_functional), ("AsymmetricProperty", t.asymmetric), ("IrreflexiveProperty", t.irreflexive)):
+        into.extend(s for s in typed(k) if named(s))
+    if strict and left_out:
+        raise NotUnderstood(left_out)
+    t.left_out = left_out
     return t
 
 
 def facts_and_types(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(g, s, p, o) of object facts between individuals and (g, i, c) of named types, schema vocabulary left out."""
-    vocabulary = F.col("p").startswith("http://www.w3.org/")
+    """(g, s, p, o) of object facts between individuals and (g, i, c) of named types, schema vocabulary left out but for
+    statements that names are one or differ."""
+    from ..functions.names import OWL
+
+    vocabulary = F.col("p").startswith("http://www.w3.org/") & ~F.col("p").isin(OWL + "sameAs", OWL + "differentFrom")
     plain = triples.where(F.col("o_kind") == "iri")
     facts = plain.where(~vocabulary).select(F.col("graph_id").alias("g"), "s", "p", "o").distinct()
     types = plain.where((F.col("p") == RDF + "type") & ~F.col("o").startswith("http://www.w3.org/")).select(F.col("graph_id").alias("g"), F.col("s").alias("i"), F.col("o").alias("c")).distinct()
