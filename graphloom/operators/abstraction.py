@@ -6,9 +6,13 @@ repeated rows count each; a text without enough names of one kind is in mode 'un
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .verbal import by_text, least_names
+
 #: Prefixes and namespaces of the standards (fixed values).
 STANDARD_PREFIXES = ["rdf", "rdfs", "owl", "xsd", "xml"]
 STANDARD_URIS = ["www.w3.org/2002/07/owl", "www.w3.org/2000/01/rdf-schema", "www.w3.org/1999/02/22-rdf-syntax"]
@@ -48,7 +52,7 @@ def category_by_name(term: Column) -> Column:
 def terms(texts: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
     """(term, category) of all terms with the prefix: as declared, else by name."""
     t = F.coalesce(F.col(text), F.lit(""))
-    used = texts.select(F.explode(F.regexp_extract_all(t, F.lit(rf"\b{prefix}:([A-Za-z][A-Za-z0-9_]*)\b"), 1)).alias("term")).where(~F.lower("term").isin(_NOT_TERMS)).distinct()
+    used = texts.select(F.explode(F.regexp_extract_all(t, F.lit(rf"\b{re.escape(prefix)}:([A-Za-z][A-Za-z0-9_]*)\b"), 1)).alias("term")).where(~F.lower("term").isin(_NOT_TERMS)).distinct()
     told = declared(texts, key, text).select("term", "category").distinct()
     free = used.join(told, "term", "left_anti").select("term", category_by_name(F.col("term")).alias("category"))
     return told.unionByName(free).distinct()
@@ -57,11 +61,17 @@ def terms(texts: DataFrame, key: str, text: str, prefix: str) -> DataFrame:
 def rewrite_names(texts: DataFrame, mapping: DataFrame, key: str, text: str, prefix: str, target: str = "http://www.example.com/abstracted.owl#") -> DataFrame:
     """Replaces prefix:term and <...#term> of mapped terms by the abstract name in full; other text stays as it is.
 
-    Texts are cut into names and what lies between; names are joined with the mapping, whose size is free.
+    Texts are cut into names and what lies between; names are joined with the mapping, whose size is free. Every row gives one
+    row; a null text gives an empty one; of a term's names the least is taken.
     """
-    name = rf"<[^>\s]+#[^>]+>|\b{prefix}:[A-Za-z][A-Za-z0-9_]*"
-    marked = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"({name})", "\u0001$1\u0001")
-    bits = texts.select(key, F.posexplode(F.split(marked, "\u0001")).alias("n", "w"))
-    bits = bits.withColumn("term", F.when(F.col("w").rlike(f"^({name})$"), F.regexp_extract("w", r"[#:]([^#:>]+)>?$", 1)))
-    new = bits.join(mapping.select("term", "abstract"), "term", "left").select(key, "n", F.when(F.col("abstract").isNull(), F.col("w")).otherwise(F.concat(F.lit(f"<{target}"), "abstract", F.lit(">"))).alias("w"))
-    return new.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]), "").alias(text))
+    name = rf"<[^>\s]+#[^>]+>|\b{re.escape(prefix)}:[A-Za-z][A-Za-z0-9_]*"
+    names = least_names(mapping)
+
+    def new(distinct: DataFrame) -> DataFrame:
+        marked = F.regexp_replace("text", f"({name})", "\u0001$1\u0001")
+        bits = distinct.select("h", F.posexplode(F.split(marked, "\u0001")).alias("n", "w"))
+        bits = bits.withColumn("term", F.when(F.col("w").rlike(f"^({name})$"), F.regexp_extract("w", r"[#:]([^#:>]+)>?$", 1)))
+        bits = bits.join(names, "term", "left").select("h", "n", F.when(F.col("abstract").isNull(), F.col("w")).otherwise(F.concat(F.lit(f"<{target}"), "abstract", F.lit(">"))).alias("w"))
+        return bits.groupBy("h").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]), "").alias("new"))
+
+    return by_text(texts.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)), key, text, new)

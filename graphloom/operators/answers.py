@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,21 +145,39 @@ def rank_test(scores: DataFrame, least: int = 30) -> DataFrame:
     return j.select("a", "b", "n_a", "n_b", "u", (F.col("ma") - F.col("mb")).alias("mean_difference"), p.alias("p_value"), stars.alias("significance"))
 
 
+#: Values seen up to this often are drawn from tables of the Poisson distribution, others by its normal limit.
+TABLED = 20
+
+
+def poisson_table(n: int) -> list[float]:
+    """Chances of up to 0, 1, 2, ... when n are expected, until a 32-bit draw can't lie above."""
+    out, term = [], math.exp(-n)
+    while not out or out[-1] < 1 - 2.0**-34:
+        out.append((out[-1] if out else 0.0) + term)
+        term *= n / len(out)
+        if term < 1e-18 and len(out) > n:
+            break
+    return out
+
+
 def bootstrap(scores: DataFrame, resamples: int = 1000, seed: int = 42, least: int = 30) -> DataFrame:
     """(model, mean, low, high): percentile interval from resampling scores(model, score); null with `least` scores or
     fewer.
 
-    Rows are first aggregated to distinct values with counts; in a resample the number of times a value is drawn is a
-    Poisson number around its count, rounded from a normal one by md5-seeded draws, so the work is values x resamples,
-    nothing is collected and reruns agree on any engine.
+    Rows are first aggregated to distinct values with counts. In a resample every row is drawn a Poisson number of times, one
+    expected, so a value seen n times is drawn Poisson(n) times: the number is read off the distribution function by an
+    md5-seeded draw (above TABLED its normal limit, rounded), so nothing is collected and reruns agree on any engine. The work
+    is values x resamples in the tasks that hold them; what is shuffled is a row a model and resample from each.
     """
+    spark = scores.sparkSession
     counts = scores.groupBy("model", F.col("score").cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
-    k = counts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    tables = F.broadcast(spark.createDataFrame([(n, poisson_table(n)) for n in range(1, TABLED + 1)], "n0 long, upto array<double>"))  # TABLED rows
+    k = counts.join(tables, F.col("n") == F.col("n0"), "left").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     name = F.concat_ws("|", F.lit(seed).cast("string"), "model", F.round(F.col("score") * 1e9).cast("long").cast("string"), F.col("k").cast("string"))
     u = lambda at: (F.conv(F.substring(F.md5(name), at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     normal = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * 3.141592653589793 * u(9))
-    w = F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal))
-    means = k.withColumn("w", w).groupBy("model", "k").agg(F.try_divide(F.sum(F.col("score") * F.col("w")), F.sum("w")).alias("m"), F.sum("n").alias("n"))
+    drawn = k.withColumn("u", u(1)).withColumn("w", F.when(F.col("upto").isNull(), F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal))).otherwise(F.size(F.filter("upto", lambda c: c < F.col("u"))).cast("double")))
+    means = drawn.groupBy("model", "k").agg(F.try_divide(F.sum(F.col("score") * F.col("w")), F.sum("w")).alias("m"), F.sum("n").alias("n"))
     keep = lambda c: F.when(F.max("n") > least, c)
     return means.groupBy("model").agg(keep(F.avg("m")).alias("mean"), keep(F.percentile("m", 0.025)).alias("low"), keep(F.percentile("m", 0.975)).alias("high"))
 
@@ -209,7 +229,7 @@ def long_answers(wide: DataFrame, key: str, measures: tuple[str, ...] = ("final_
 
 def shortest_tags(explanations: DataFrame) -> DataFrame:
     """(query, key, tag): the shortest tag, 'D' left out, among explanations whose third element is the tag."""
-    tags = F.transform(F.filter("explanations", lambda e: F.try_element_at(e, F.lit(3)).startswith("TAG:")), lambda e: F.regexp_replace(F.substring(F.element_at(e, 3), 5, 1000), "D", ""))
+    tags = F.transform(F.filter("explanations", lambda e: F.try_element_at(e, F.lit(3)).startswith("TAG:")), lambda e: F.regexp_replace(F.regexp_replace(F.element_at(e, 3), "^TAG:", ""), "D", ""))
     best = F.array_min(F.transform(tags, lambda t: F.named_struct(F.lit("n"), F.length(t), F.lit("t"), t)))["t"]
     return explanations.select(F.explode("sparqlQueries").alias("query"), "key", best.alias("tag"))
 

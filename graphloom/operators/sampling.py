@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def histogram_edges(df: DataFrame, col: str) -> list[float]:
     """Edges of the narrower of the Sturges and Freedman-Diaconis widths; integers get width 1 at least. Scalars only
@@ -35,12 +37,17 @@ def bucket(col: Column, edges: list[float]) -> Column:
     return out.otherwise(F.lit(None).cast("int"))
 
 
-def split(df: DataFrame, stratum: str, key: str, small: float = 0.05) -> DataFrame:
-    """Adds `chosen`: round(small * n) rows a stratum, one at least, first in md5 order of the key."""
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)
-    sizes = df.groupBy(stratum).agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * small)).cast("long").alias("_quota"))
-    ranked = df.withColumn("_rank", F.row_number().over(order))
-    return ranked.join(sizes, stratum).withColumn("chosen", F.col("_rank") <= F.col("_quota")).drop("_rank", "_quota")
+def split(df: DataFrame, stratum: str, key: str, small: float = 0.05, total: int | None = None) -> DataFrame:
+    """Adds `chosen`: of each stratum's rows round(small * n), one at least, or, with `total`, its share of that many rows by
+    largest remainders (see `quotas`); the first in md5 order of the key. Rows are ranked over all tasks, so a stratum may
+    hold most of them; rows without a stratum are one."""
+    ranked = numbered(df.withColumn("_md5", F.md5(F.col(key).cast("string"))), [stratum], ["_md5", key], "_place", "_n")
+    if total is None:
+        quota = F.greatest(F.lit(1), F.round(F.col("_n") * small)).cast("long")
+        return ranked.withColumn("chosen", F.col("_place") < quota).drop("_md5", "_place", "_n")
+    sizes = ranked.where("_place = 0").select(F.col(stratum).alias("stratum"), F.col("_n").alias("n"))
+    dealt = quotas(sizes, total).select(F.col("stratum").alias("_stratum"), F.col("quota").alias("_quota"))
+    return ranked.join(dealt, F.col(stratum).eqNullSafe(F.col("_stratum"))).withColumn("chosen", F.col("_place") < F.col("_quota")).drop("_md5", "_place", "_n", "_stratum", "_quota")
 
 
 def quotas(sizes: DataFrame, total: int) -> DataFrame:

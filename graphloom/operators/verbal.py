@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import numbering
+
 
 def clean_name(c: Column) -> Column:
     """A readable name: trailing year, number or version dropped, camel case and signs split, capitalised."""
@@ -65,17 +67,41 @@ def resolve_overlap(terms: DataFrame) -> DataFrame:
 
 
 def numbered(terms: DataFrame) -> DataFrame:
-    """(category, term, abstract): numbered by name within the category."""
+    """(category, term, abstract): numbered by name within the category, categories of any size over all tasks."""
     prefix = F.when(F.col("category") == "class", "Class").when(F.col("category") == "object property", "Property").when(F.col("category") == "data property", "DataProperty").otherwise("Individual")
-    return terms.withColumn("abstract", F.concat(prefix, F.row_number().over(Window.partitionBy("category").orderBy("term")).cast("string")))
+    placed = numbering.numbered(terms, ["category"], ["term"], "_place")
+    return placed.withColumn("abstract", F.concat(prefix, (F.col("_place") + 1).cast("string"))).drop("_place")
+
+
+def by_text(texts: DataFrame, key: str, text: str, rewritten) -> DataFrame:
+    """(key, text) of every row of texts after `rewritten`, which maps a table (h, text) of distinct texts to (h, new).
+
+    What becomes of a text depends on nothing else, so each is rewritten once, rows of one key stay apart, repeated rows
+    count each, and null texts stay null.
+    """
+    rows = texts.select(key, F.col(text).alias("_text"), F.sha2(F.col(text), 256).alias("_h"))
+    new = rewritten(rows.where("_h IS NOT NULL").groupBy("_h").agg(F.first("_text").alias("text")).withColumnRenamed("_h", "h"))
+    return rows.join(new, F.col("_h") == F.col("h"), "left").select(key, F.col("new").alias(text))
+
+
+def least_names(mapping: DataFrame) -> DataFrame:
+    """(term, abstract): the least name of a term that has several."""
+    return mapping.groupBy("term").agg(F.min("abstract").alias("abstract"))
 
 
 def rewrite(texts: DataFrame, mapping: DataFrame, key: str, text: str) -> DataFrame:
-    """Replaces whole words of `text` by their abstract names: words are joined with the mapping, so its size is free."""
-    words = texts.select(key, F.posexplode(F.split(text, r"(?<=\W)|(?=\W)")).alias("n", "w"))
-    joined = words.join(mapping.select(F.col("term").alias("w"), "abstract"), "w", "left")
-    new = joined.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.coalesce("abstract", "w").alias("w")))), lambda x: x["w"]), "").alias(text))
-    return new
+    """Replaces whole words of `text` by their abstract names: words are joined with the mapping, so its size is free.
+
+    Every row gives one row; null texts stay null; of a term's names the least is taken.
+    """
+    names = least_names(mapping).select(F.col("term").alias("w"), "abstract")
+
+    def new(distinct: DataFrame) -> DataFrame:
+        words = distinct.select("h", F.posexplode(F.split("text", r"(?<=\W)|(?=\W)")).alias("n", "w")).join(names, "w", "left")
+        bits = F.sort_array(F.collect_list(F.struct("n", F.coalesce("abstract", "w").alias("w"))))
+        return words.groupBy("h").agg(F.array_join(F.transform(bits, lambda x: x["w"]), "").alias("new"))
+
+    return by_text(texts, key, text, new)
 
 
 def phrases(mapping: DataFrame, most: int = 5_000) -> dict[str, str]:

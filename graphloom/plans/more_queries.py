@@ -235,10 +235,10 @@ def m_split_sizes(spark, d):
 _Q = "conversations"
 
 
-@query("l_quality", r"WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, lower(trim(coalesce(role, 'none'))) AS w, lower(trim(coalesce(left(text, 30), 'none'))) AS g FROM conversations), x AS (SELECT *, list_distinct(regexp_extract_all(w, '\b(\w+)\b')) AS a, list_distinct(regexp_extract_all(g, '\b(\w+)\b')) AS b, len(list_filter(string_split_regex(t, '\s+'), lambda v: v <> '')) AS n FROM c) SELECT conv_id, turn, CASE WHEN t = '' THEN 0 WHEN contains(g, w) OR contains(w, g) THEN 1 WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) ELSE 0 END::DOUBLE AS correctness, CASE WHEN t = '' THEN 0 WHEN n > 50 THEN 0.6 WHEN n >= 20 THEN 1 WHEN n >= 10 THEN 0.8 ELSE 0.3 END::DOUBLE AS completeness, CASE WHEN t = '' THEN 0 ELSE 0.5 * (CASE WHEN regexp_matches(t, '(?i)ANSWER:\s*[^\n]+') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)REASONING:\s*[^\n]+') THEN 1 ELSE 0 END) END::DOUBLE AS structure_compliance, CASE WHEN t = '' THEN 0 ELSE round(least(1, 0.3 * len(list_filter(['•', '-', '*', '1.', '2.', '3.'], lambda v: contains(t, v))) + 0.2 * len(list_filter(['because', 'therefore', 'since', 'thus', 'shows', 'indicates'], lambda v: contains(lower(t), v)))), 9) END::DOUBLE AS reasoning_quality FROM x")
+@query("l_quality", r"WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, lower(trim(coalesce(role, 'none'))) AS w, lower(trim(coalesce(text, 'none'))) AS g FROM conversations), x AS (SELECT *, list_distinct(regexp_extract_all(w, '\b(\w+)\b')) AS a, list_distinct(regexp_extract_all(g, '\b(\w+)\b')) AS b, len(list_filter(string_split_regex(t, '\s+'), lambda v: v <> '')) AS n FROM c) SELECT conv_id, turn, CASE WHEN t = '' THEN 0 WHEN contains(g, w) OR contains(w, g) THEN 1 WHEN len(a) > 0 AND len(b) > 0 THEN round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 9) ELSE 0 END::DOUBLE AS correctness, CASE WHEN t = '' THEN 0 WHEN n > 50 THEN 0.6 WHEN n >= 20 THEN 1 WHEN n >= 10 THEN 0.8 ELSE 0.3 END::DOUBLE AS completeness, CASE WHEN t = '' THEN 0 ELSE 0.5 * (CASE WHEN regexp_matches(t, '(?i)ANSWER:\s*[^\n]+') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)REASONING:\s*[^\n]+') THEN 1 ELSE 0 END) END::DOUBLE AS structure_compliance, CASE WHEN t = '' THEN 0 ELSE round(least(1, 0.3 * len(list_filter(['•', '-', '*', '1.', '2.', '3.'], lambda v: contains(t, v))) + 0.2 * len(list_filter(['because', 'therefore', 'since', 'thus', 'shows', 'indicates'], lambda v: contains(lower(t), v)))), 9) END::DOUBLE AS reasoning_quality FROM x")
 def l_quality(spark, d):
     c = _t(spark, d, _Q)
-    marks = answers.quality(F.col("text"), F.col("role"), F.substring("text", 1, 30), F.lit("MC"))
+    marks = answers.quality(F.col("text"), F.col("role"), F.col("text"), F.lit("MC"))
     return c.select("conv_id", "turn", *(F.round(v, 9).alias(k) for k, v in marks.items()))
 
 

@@ -63,6 +63,13 @@ def m_split(spark, d):
     return sampling.split(o, "stratum", "o_orderkey").where("chosen").select("o_orderkey", "stratum")
 
 
+@query("m_split_total", "WITH o AS (SELECT o_orderkey, o_orderstatus || '_' || o_orderpriority AS stratum FROM orders), g AS (SELECT stratum, count(*) AS n FROM o GROUP BY 1), t AS (SELECT sum(n) AS n_all, count(*) AS m, least(greatest(200, count(*)), sum(n)) AS want FROM g), s AS (SELECT stratum, n, want - m AS more, greatest(0, round((n - 1) * (want - m)::DOUBLE / (n_all - m), 9)) AS x FROM g, t), q AS (SELECT *, row_number() OVER (ORDER BY x - floor(x) DESC, stratum) AS k, more - sum(floor(x)) OVER () AS rest FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS place FROM o) SELECT o_orderkey, stratum FROM r JOIN q USING (stratum) WHERE place <= 1 + floor(x) + CASE WHEN k <= rest THEN 1 ELSE 0 END")
+def m_split_total(spark, d):
+    """A sample of 200 rows in all, dealt to strata by largest remainders."""
+    o = _t(spark, d, "orders").select("o_orderkey", F.concat_ws("_", "o_orderstatus", "o_orderpriority").alias("stratum"))
+    return sampling.split(o, "stratum", "o_orderkey", total=200).where("chosen").select("o_orderkey", "stratum")
+
+
 # ---- abstraction ----------------------------------------------------------------------------------------------------
 _TERMS = "terms AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS term, 'class' AS category FROM part UNION SELECT DISTINCT string_split(p_name, ' ')[2], 'object property' FROM part WHERE contains(p_name, ' ') UNION SELECT DISTINCT p_brand, 'individual' FROM part)"
 
@@ -210,7 +217,7 @@ def l_estimate(spark, d):
 
 
 # ---- scoring --------------------------------------------------------------------------------------------------------
-_CASES = """cases AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'BIN' ELSE 'MC' END AS kind, 'm' || (c_custkey % 3) AS model, c_custkey % 5 AS k, CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE (c_custkey % 11) / 10.0::DOUBLE END AS conf FROM customer WHERE c_custkey % 13 <> 0),
+_CASES = """cases AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'BIN' ELSE 'MC' END AS kind, 'm' || (c_custkey % 3) AS model, c_custkey % 5 AS k, CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE (c_custkey % 11) / 10.0::DOUBLE END AS conf FROM customer),
  scored AS (SELECT *, CASE WHEN kind = 'BIN' THEN CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0 END WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 2 / 3.0::DOUBLE WHEN k = 2 THEN 0.75 WHEN k = 3 THEN 0.0 ELSE 1.0 END AS score FROM cases)"""
 _REAL = "CASE WHEN kind = 'BIN' THEN CASE WHEN k = 0 THEN 'TRUE' ELSE 'FALSE' END ELSE '' END"
 
@@ -222,7 +229,7 @@ def cases(spark, d) -> DataFrame:
     trio = F.concat(F.lit("node a"), s, F.lit("; node b"), s, F.lit("; node c"), s)
     given = F.when(k == 0, trio).when(k == 1, F.concat(F.lit("node a"), s, F.lit("; node b"), s)).when(k == 2, F.concat(trio, F.lit("; zzz"))).when(k == 3, "qqq, rrr").otherwise(F.concat(F.lit(" Node B"), s, F.lit(";NODE C"), s, F.lit("; node_a"), s, F.lit(";node A"), s))
     kind = F.when(i % 4 == 0, "BIN").otherwise("MC")
-    c = _t(spark, d, "customer").where(i % 13 != 0)
+    c = _t(spark, d, "customer")
     return c.select(
         i.alias("id"), kind.alias("kind"), F.concat(F.lit("m"), (i % 3).cast("string")).alias("model"), F.when(i % 4 == 0, "TRUE").otherwise(trio).alias("expected"),
         F.when(i % 4 == 0, F.when(k == 0, "true").otherwise("false")).otherwise(F.regexp_replace(given, "node_a", "node a")).alias("actual"),
@@ -262,7 +269,9 @@ def x_rank_u(spark, d):
 _DRAWS = f"""{_CASES}, counts AS (SELECT model, score, count(*) AS n FROM scored GROUP BY model, score),
  named AS (SELECT *, md5('42|' || model || '|' || CAST(round(score * 1e9) AS BIGINT) || '|' || k) AS h FROM counts, (SELECT unnest(range(1, 1001)) AS k)),
  drawn AS (SELECT *, (('0x' || substr(h, 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u, (('0x' || substr(h, 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS v FROM named),
- means AS (SELECT model, k, sum(n) AS n, sum(score * greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * 3.141592653589793::DOUBLE * v)))) / nullif(sum(greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * 3.141592653589793::DOUBLE * v)))), 0) AS m FROM drawn GROUP BY model, k),
+ poisson(n0, upto) AS (VALUES {', '.join(f'({n}, {answers.poisson_table(n)})' for n in range(1, answers.TABLED + 1))}),
+ weighed AS (SELECT *, CASE WHEN upto IS NULL THEN greatest(0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * 3.141592653589793::DOUBLE * v))) ELSE len(list_filter(upto, lambda c: c < u))::DOUBLE END AS w FROM drawn LEFT JOIN poisson ON n = n0),
+ means AS (SELECT model, k, sum(n) AS n, sum(score * w) / nullif(sum(w), 0) AS m FROM weighed GROUP BY model, k),
  intervals AS (SELECT model, CASE WHEN max(n) > 30 THEN avg(m) END AS mean, CASE WHEN max(n) > 30 THEN quantile_cont(m, 0.025) END AS low, CASE WHEN max(n) > 30 THEN quantile_cont(m, 0.975) END AS high FROM means GROUP BY model)"""
 
 
@@ -301,10 +310,10 @@ def x_query_index(spark, d):
     return f.select(normal.alias("query"), names.triple_key(F.col("s"), F.col("p"), F.col("o")).alias("key")).groupBy("query").agg(F.array_join(F.sort_array(F.collect_list("key")), ",").alias("keys"))
 
 
-@query("x_final_grouping", "WITH q AS (SELECT 'Membership' AS task, CASE WHEN conv_id % 2 = 0 THEN 'BIN' ELSE 'MC' END AS kind, 'root_' || conv_id AS root, left(text, 40) AS context, role, turn FROM conversations WHERE text IS NOT NULL) SELECT task, kind, root, context, count(*) AS n, string_agg(role || turn, ',' ORDER BY role || turn) AS qas FROM q GROUP BY task, kind, root, context")
+@query("x_final_grouping", "WITH q AS (SELECT 'Membership' AS task, CASE WHEN conv_id % 2 = 0 THEN 'BIN' ELSE 'MC' END AS kind, 'root_' || conv_id AS root, text AS context, role, turn FROM conversations WHERE text IS NOT NULL) SELECT task, kind, root, context, count(*) AS n, string_agg(role || turn, ',' ORDER BY role || turn) AS qas FROM q GROUP BY task, kind, root, context")
 def x_final_grouping(spark, d):
     c = _t(spark, d, "conversations")
-    q = c.select(F.lit("Membership").alias("Task Type"), F.when(F.col("conv_id") % 2 == 0, "BIN").otherwise("MC").alias("Answer Type"), F.concat(F.lit("root_"), "conv_id").alias("Root Entity"), F.substring("text", 1, 40).alias("NL Context"), F.concat("role", F.col("turn").cast("string")).alias("SPARQL Query"), F.col("text").alias("NL Question"), F.lit("TRUE").alias("Answer"))
+    q = c.select(F.lit("Membership").alias("Task Type"), F.when(F.col("conv_id") % 2 == 0, "BIN").otherwise("MC").alias("Answer Type"), F.concat(F.lit("root_"), "conv_id").alias("Root Entity"), F.col("text").alias("NL Context"), F.concat("role", F.col("turn").cast("string")).alias("SPARQL Query"), F.col("text").alias("NL Question"), F.lit("TRUE").alias("Answer"))
     entries = files.benchmark_entries(q)
     return entries.select(F.col("Task Type").alias("task"), F.col("Answer Type").alias("kind"), F.col("Root Entity").alias("root"), F.col("NL Context").alias("context"), F.size("QAs").cast("long").alias("n"), F.array_join(F.transform("QAs", lambda x: x["SPARQL Query"]), ",").alias("qas"))
 

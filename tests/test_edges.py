@@ -70,3 +70,39 @@ def test_samples_and_scores_on_odd_rows(spark):
     assert tests["a", "b"][0] == "***" and tests["a", "c"] == (None, None)
     marks = answers.quality(F.lit(None).cast("string"), F.lit("x"), F.lit("x"), F.lit("BIN"))
     assert spark.range(1).select(*marks.values()).first()[:] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_rewriting_keeps_rows_apart(spark):
+    rows = spark.createDataFrame([(1, "ns.1:Cat eats"), (1, "big ns.1:Cat"), (1, "big ns.1:Cat"), (2, None), (3, ""), (None, "nsx1:Cat"), (4, "Cat cat")], "k int, text string")
+    mapping = spark.createDataFrame([("Cat", "Class2"), ("Cat", "Class1"), ("big", "Individual1")], "term string, abstract string")
+    new = "<http://www.example.com/abstracted.owl#Class1>"
+    got = abstraction.rewrite_names(rows, mapping, "k", "text", "ns.1").collect()
+    assert sorted((r.k or 0, r.text) for r in got) == sorted([(1, f"{new} eats"), (1, f"big {new}"), (1, f"big {new}"), (2, ""), (3, ""), (0, "nsx1:Cat"), (4, "Cat cat")])
+    got = verbal.rewrite(rows, mapping, "k", "text").collect()
+    want = [(1, "ns.1:Class1 eats"), (1, "Individual1 ns.1:Class1"), (1, "Individual1 ns.1:Class1"), (2, None), (3, ""), (0, "nsx1:Class1"), (4, "Class1 cat")]
+    assert sorted(((r.k or 0, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_bootstrap_is_as_wide_as_plain_resampling(spark):
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(3)
+    plain, rows = [], []
+    for m in range(24):
+        x = np.round(rng.beta(2, 1, 400), 7) if m % 2 else rng.integers(0, 5, 400) / 4
+        rows += [(f"m{m}", float(v)) for v in x]
+        means = x[rng.integers(0, 400, (4000, 400))].mean(1)
+        plain.append((m, np.quantile(means, 0.975) - np.quantile(means, 0.025)))
+    got = {r.model: r.high - r.low for r in answers.bootstrap(spark.createDataFrame(rows, "model string, score double")).collect()}
+    for kind in (0, 1):  # values seen often, values seen once
+        ratio = [got[f"m{m}"] / w for m, w in plain if m % 2 == kind]
+        assert abs(sum(ratio) / len(ratio) - 1) < 0.03
+
+
+def test_split_by_total_and_hot_stratum(spark):
+    df = spark.createDataFrame([(k, "hot" if k % 10 else None if k % 20 else "cold") for k in range(1000)], "k int, s string")
+    chosen = sampling.split(df, "s", "k", total=50)
+    assert chosen.count() == 1000
+    n = {r.s: r["count"] for r in chosen.where("chosen").groupBy("s").count().collect()}
+    assert sum(n.values()) == 50 and set(n) == {"hot", "cold", None} and n["hot"] > 40
+    for out in (sampling.split(df, "s", "k"), verbal.numbered(df.selectExpr("s AS category", "string(k) AS term"))):
+        assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
