@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialise import saved
 from . import numbering
 
 
@@ -123,3 +125,53 @@ def replace_phrases(text: Column, names: dict[str, str]) -> Column:
     form = rf"(?U)(?<!\w)(?:{'|'.join(map(re.escape, terms))})(?!\w)|\w+|\W"
     lookup = F.create_map(*(F.lit(x) for t in terms for x in (t, names[t])))
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda w: F.coalesce(F.try_element_at(lookup, w), w)), "")
+
+
+def _tokens(text: Column) -> Column:
+    """Words, and every other character by itself."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+|\W"), F.lit(0))
+
+
+def rewrite_phrases(texts: DataFrame, mapping: DataFrame, key: str, text: str) -> DataFrame:
+    """`replace_phrases` for mappings of any size: (key, text), each term of one word or several replaced by its least name, in
+    one pass from left to right, longer terms first, never inside a word. Every row gives one row; null texts become empty.
+
+    The terms' prefixes, word by word, are a table of (hash of the prefix, next word, hash of the longer one). Matches grow by
+    one join a word, from every place of every distinct text, and only those that are still the start of a term go on, so
+    there are as many joins as the longest term has words. Of a text's matches those that overlap none before them are kept.
+    """
+    mark, is_word = "\u0001", lambda w: w.rlike(r"(?U)^\w")
+    named = least_names(mapping.where("term <> '' AND abstract IS NOT NULL")).select("abstract", _tokens(F.col("term")).alias("t"))
+    chain = F.transform("t", lambda w, k: F.struct(k.alias("k"), w.alias("w"), F.sha2(F.array_join(F.slice("t", 1, k), mark), 256).alias("before"), F.sha2(F.array_join(F.slice("t", 1, k + 1), mark), 256).alias("upto")))
+    steps = named.select("abstract", F.size("t").alias("m"), F.explode(chain).alias("x")).select("x.*", F.when(F.col("x.k") == F.col("m") - 1, F.col("abstract")).alias("abstract"))
+    steps = saved(steps.groupBy("k", "w", "before", "upto").agg(F.max("abstract").alias("abstract")), "phrases")
+    longest = (steps.agg(F.max("k")).first()[0] or 0) + 1
+
+    def new(distinct: DataFrame) -> DataFrame:
+        t = distinct.withColumn("t", _tokens(F.col("text")))
+        words = t.select("h", F.posexplode("t").alias("n", "w"), "t").select("h", "n", "w", F.when(F.col("n") > 0, F.element_at("t", F.greatest(F.col("n"), F.lit(1)))).alias("prev"), F.try_element_at("t", F.col("n") + 2).alias("next"))
+        words = saved(words, "phrase-words")
+        ended = is_word(F.col("w")) | ~F.coalesce(is_word(F.col("next")), F.lit(False))
+        here = steps.where("k = 0").select("w", "upto", "abstract")
+        begun = is_word(F.col("w")) | ~F.coalesce(is_word(F.col("prev")), F.lit(False))
+        open_ = words.join(here, "w").select("h", "n", F.when(begun, F.col("upto")).alias("upto"), "abstract")  # one token is never part of a word
+        found = []
+        for k in range(1, longest + 1):
+            open_ = saved(open_, "phrase-matches")
+            found.append(open_.where("abstract IS NOT NULL").select("h", "n", F.lit(k).alias("len"), "abstract"))
+            if k == longest or open_.isEmpty():
+                break
+            after = words.select(F.col("h").alias("h2"), F.col("n").alias("n2"), "w", "next")
+            grown = open_.where("upto IS NOT NULL").select("h", "n", F.col("upto").alias("at")).join(after, (F.col("h") == F.col("h2")) & (F.col("n") + k == F.col("n2")))
+            open_ = grown.join(steps.where(F.col("k") == k).select(F.col("w").alias("w2"), "before", "upto", "abstract"), (F.col("w") == F.col("w2")) & (F.col("at") == F.col("before"))).select("h", "n", "upto", F.when(ended, F.col("abstract")).alias("abstract"))
+        matches = reduce(DataFrame.unionByName, found).groupBy("h", "n").agg(F.max(F.struct("len", "abstract")).alias("m"))
+        each = matches.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "m.len", "m.abstract"))).alias("ms"))
+        start = F.struct(F.lit(0).alias("end"), F.filter("ms", lambda x: F.lit(False)).alias("kept"))
+        kept = F.aggregate("ms", start, lambda a, x: F.when(x["n"] >= a["end"], F.struct((x["n"] + x["len"]).alias("end"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a))["kept"]
+        spans = each.select("h", F.explode(kept).alias("x")).select("h", F.posexplode(F.sequence("x.n", F.col("x.n") + F.col("x.len") - 1)).alias("j", "n3"), F.col("x.abstract").alias("name"))
+        spans = spans.select(F.col("h").alias("h3"), "n3", F.when(F.col("j") == 0, F.col("name")).otherwise("").alias("put"))
+        bits = words.join(spans, (F.col("h") == F.col("h3")) & (F.col("n") == F.col("n3")), "left").select("h", "n", F.coalesce("put", "w").alias("w"))
+        return bits.groupBy("h").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "w"))), lambda x: x["w"]), "").alias("new"))
+
+    out = by_text(texts.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)), key, text, new)
+    return out.withColumn(text, F.coalesce(text, F.lit("")))  # an empty text has no words

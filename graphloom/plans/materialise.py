@@ -20,9 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_dir(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/graphloom/{what}-{uuid.uuid4().hex[:12]}"
+
+
 def saved(df: DataFrame, what: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back; a lost executor then costs one stage only."""
-    path = f"{shared_dir(df.sparkSession)}/graphloom/{what}-{uuid.uuid4().hex[:12]}"
+    path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -346,4 +346,4 @@ def v_phrases(spark, d):
     named = named.union(region.select("r_name", F.concat(F.lit("Class"), "r_regionkey"))).union(spark.createDataFrame([("UNITED", "Word")], "term string, abstract string"))
     text = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("Is customer of "), "n_name", F.lit(", not UNITED nor "), "n_name", F.lit("S, in "), "r_name", F.lit("?")))
     c = _t(spark, d, "customer").join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(region), F.col("r_regionkey") == F.col("n_regionkey"))
-    return c.select("c_custkey", verbal.replace_phrases(text, verbal.phrases(named)).alias("text"))
+    return verbal.rewrite_phrases(c.select("c_custkey", text.alias("text")), named, "c_custkey", "text")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import closure, paths, provenance, reasoner
-from ..sources import star
+from ..operators import closure, graph, paths, provenance, reasoner
+from ..sources import files, named_files, rdf, star, triples
+from .materialise import new_dir
+from .more_queries import schema
 from .star_queries import FACTS, TYPES
 
 QUERIES: dict = {}
@@ -130,3 +132,35 @@ def q_explained(spark, d):
     """Every candidate fact and type of a graph with its explanations and their tag, in one run."""
     every = paths.tagged(provenance.as_paths(_proofs(spark, d)))
     return every.groupBy("s", "p", "o").agg(F.count(F.lit(1)).alias("explanations"), F.min("complexity").alias("least"), F.max("complexity").alias("most"), F.min("tag").alias("tag"))
+
+
+# ---- patterns and modules -------------------------------------------------------------------------------------------
+@query("g_pattern", f"""WITH {FACTS} SELECT DISTINCT a.s AS "order", a.o AS customer, c.o AS supplier, b.o AS nation FROM facts a JOIN facts b ON b.s = a.o AND b.p = 'inNation' JOIN facts c ON c.s = a.s AND c.p = 'suppliedBy'
+    JOIN facts e ON e.s = c.o AND e.p = 'inNation' AND e.o = b.o JOIN facts r ON r.s = b.o AND r.p = 'inRegion' AND r.o = 'region_2' WHERE a.p = 'placedBy'""")
+def g_pattern(spark, d):
+    """Orders whose customer and supplier are in one nation of a region: five triple patterns over a store."""
+    path = new_dir(spark, "triples")
+    triples.store(_graph(star.facts(spark, d)), path)
+    found = triples.match(lambda **c: triples.scan(spark, path, **c), [
+        ("?order", "placedBy", "?customer"), ("?customer", "inNation", "?nation"), ("?order", "suppliedBy", "?supplier"), ("?supplier", "inNation", "?nation"), ("?nation", "inRegion", "region_2"),
+    ])
+    return found.select("order", "customer", "supplier", "nation")
+
+
+# of the terminology 32 statements are the same everywhere: 9 classes, 8 properties, 15 axioms; each kind adds 2
+@query("g_module_files", f"""WITH {FACTS}, {TYPES}, kinds AS (SELECT count(DISTINCT c) AS n FROM types WHERE c LIKE '%_Customer' OR c LIKE '%_Part'),
+    e AS (SELECT s AS root, s, p, o FROM facts UNION SELECT o, s, p, o FROM facts)
+    SELECT root, 2 * max(n) + 32 AS axioms, count(*) AS facts FROM e, kinds WHERE root LIKE 'nation%' OR root LIKE 'supplier%' GROUP BY root""")
+def g_module_files(spark, d):
+    """Modules of nations and suppliers, the terminology and the facts one hop around, written as a Turtle file each under its
+    root's name, and read back."""
+    f, path = star.facts(spark, d), new_dir(spark, "modules")
+    roots = f.select(F.explode(F.array("s", "o")).alias("root")).where("root LIKE 'nation%' OR root LIKE 'supplier%'").distinct()
+    kind = [F.lit("iri").alias("o_kind"), *(F.lit(None).cast("string").alias(c) for c in ("o_dtype", "o_lang"))]
+    facts = graph.one_hop(f, roots).select(F.col("root").alias("graph_id"), "s", "p", "o", *kind)
+    axioms = schema(spark, d)
+    lines = [r.value for r in files.turtle_lines(axioms.select(F.lit("").alias("graph_id"), "s", "p", "o", *kind)).collect()]  # a terminology
+    named_files.write_graphs(facts, path, terminology=lines)
+    back = rdf.read(spark, path).where("NOT s LIKE 'http://example.org/%'")
+    is_axiom = F.col("p").startswith("rdf:") | F.col("p").startswith("rdfs:") | F.col("p").startswith("owl:")
+    return back.groupBy(F.col("graph_id").alias("root")).agg(F.count(F.when(is_axiom, 1)).alias("axioms"), F.count(F.when(~is_axiom, 1)).alias("facts"))

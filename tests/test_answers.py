@@ -1,4 +1,6 @@
 import pytest
+import random
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import answers, verbal
@@ -44,3 +46,26 @@ def test_phrases_bound(spark):
     assert verbal.phrases(mapping) == {"a": "1", "b": "3"}
     with pytest.raises(ValueError):
         verbal.phrases(mapping, most=1)
+
+
+def test_phrases_of_any_number(spark):
+    random.seed(8)
+    bits = ["has", "Part", "x", "é", "1", " ", " ", "-", "_", "(", "\n", "日本"]
+    names = {"".join(random.choices(bits, k=random.randint(1, 6))): f"N{k}" for k in range(120)}
+    names = {t: n for t, n in names.items() if t}
+    texts = ["".join(random.choices(bits, k=random.randint(0, 40))) for _ in range(250)] + [None, "", texts_longest(names)]
+    df = spark.createDataFrame([(k % 50, t) for k, t in enumerate(texts)], "k int, t string")
+    want = sorted((r.k, r.t) for r in df.select("k", verbal.replace_phrases(F.col("t"), names).alias("t")).collect())
+    mapping = spark.createDataFrame([(t, n) for t, n in names.items()] + [(t, "zzz") for t in names] + [("", "E"), (None, "F")], "term string, abstract string")
+    assert sorted((r.k, r.t) for r in verbal.rewrite_phrases(df, mapping, "k", "t").collect()) == want
+    assert verbal.rewrite_phrases(df, mapping.where("false"), "k", "t").where("t = ''").count() == sum(not t for t in texts)
+
+
+def texts_longest(names):
+    return " ".join(sorted(names, key=len)[-3:])
+
+
+def test_a_million_terms(spark):
+    mapping = spark.range(1_000_000).select(F.concat(F.lit("term "), F.col("id").cast("string")).alias("term"), F.concat(F.lit("N"), "id").alias("abstract"))
+    df = spark.createDataFrame([(1, "a term 999999 of term 7, term x")], "k int, t string")
+    assert verbal.rewrite_phrases(df, mapping, "k", "t").first().t == "a N999999 of N7, term x"
