@@ -7,6 +7,7 @@ joins to a fixpoint), intersections and restrictions. Everything else is one bro
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -143,8 +144,13 @@ class Terminology:
         return sorted(out)
 
 
-def _small(df_or_rows, spark, schema):
-    return F.broadcast(spark.createDataFrame(df_or_rows, schema))  # bounded by Terminology.check
+#: Rows of a rule table that are sent to every executor; a larger one is joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def _small(rows: list, spark, schema: str) -> DataFrame:
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= MOST_SENT else df
 
 
 def expand_facts(facts: DataFrame, t: Terminology) -> DataFrame:
@@ -160,8 +166,9 @@ def expand_facts(facts: DataFrame, t: Terminology) -> DataFrame:
     return j.select("g", s.alias("s"), F.coalesce("q", "p").alias("p"), o.alias("o")).distinct()
 
 
-def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None, max_rounds: int = 30) -> DataFrame:
-    """All entailed facts (g, s, p, o) of facts(g, s, p, o): delta joins for chains and transitive properties."""
+def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+    """All entailed facts (g, s, p, o) of facts(g, s, p, o): delta joins for chains and transitive properties. Names are finite, so
+    the rounds end by themselves; over `max_rounds`, if given, raise."""
     spark = facts.sparkSession
     every = expand_facts(facts, t)
     if types is not None and (rules := t.self_rules()):
@@ -174,7 +181,9 @@ def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None
     used = sorted({p for r in rules for p in r[:2]})
     every = saved(every, "facts")
     delta = every
-    for _ in range(max_rounds):
+    for n in itertools.count():
+        if n == max_rounds:
+            raise RuntimeError(f"facts still grow after {max_rounds} rounds")
         step = delta.where(F.col("p").isin(used))
         first = step.join(chains, F.col("p") == F.col("p1")).select("g", F.col("s").alias("a"), F.col("o").alias("m"), "p2", "q")
         second = every.where(F.col("p").isin(used)).select(F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("p").alias("pp"), F.col("o").alias("b"))
@@ -188,8 +197,6 @@ def close_facts(facts: DataFrame, t: Terminology, types: DataFrame | None = None
             break
         every = every.unionByName(new)  # each part is a table of its own, written once
         delta = new
-    else:
-        raise RuntimeError(f"facts still grow after {max_rounds} rounds")
     return every if all(len(x) == 3 for x in t.chains) else every.where(~F.col("p").startswith(STATE))
 
 
@@ -201,7 +208,7 @@ def expand_types(types: DataFrame, t: Terminology) -> DataFrame:
     return j.select("g", "i", F.coalesce("d", "c").alias("c")).distinct()
 
 
-def close_types(types: DataFrame, facts: DataFrame, t: Terminology, max_rounds: int = 20) -> DataFrame:
+def close_types(types: DataFrame, facts: DataFrame, t: Terminology, max_rounds: int | None = None) -> DataFrame:
     """All entailed types (g, i, c); facts must be closed."""
     t.check()
     spark = types.sparkSession
@@ -215,7 +222,9 @@ def close_types(types: DataFrame, facts: DataFrame, t: Terminology, max_rounds:
         return every
     every = saved(every, "types")
     needs = [(c, k, d if isinstance(d, str) else d[0], "" if isinstance(d, str) else d[1], len(parts)) for c, parts in t.intersections for k, d in enumerate(parts)]
-    for _ in range(max_rounds):
+    for n in itertools.count():
+        if n == max_rounds:
+            raise RuntimeError(f"types still grow after {max_rounds} rounds")
         new = None
         if t.some:
             table = _small(t.some, spark, "p0 string, d string, c2 string")
@@ -240,8 +249,6 @@ def close_types(types: DataFrame, facts: DataFrame, t: Terminology, max_rounds:
         if new.isEmpty():
             break
         every = every.unionByName(new)  # each part is a table of its own, written once
-    else:
-        raise RuntimeError(f"types still grow after {max_rounds} rounds")
     return every
 
 

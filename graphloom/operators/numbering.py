@@ -11,8 +11,9 @@ from ..plans.materialise import saved
 MOST_SENT = 200_000
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str | Column], position: str = "position", size: str | None = None, partitions: int | None = None) -> DataFrame:
-    """df with `position`, 0, 1, 2, ... within each group of equal `by` in ascending `order`, and with `size`, the group's rows.
+def numbered(df: DataFrame, by: list[str], order: list[str | Column], position: str = "position", size: str | None = None, partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """df with `position`, 0, 1, 2, ... within each group of equal `by` in ascending `order`, and with `size`, the group's rows;
+    with `weight`, a column of whole numbers, the sum of the weights before a row, and of all of the group's.
 
     Rows are sorted over all tasks by group and order and written to the shared folder; a row's position is its place in its
     file's run of the group plus the group's rows in earlier files, so a group of any size spreads over tasks. Nulls of `by`
@@ -23,7 +24,10 @@ def numbered(df: DataFrame, by: list[str], order: list[str | Column], position:
     ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     table = saved(ranged.sortWithinPartitions(*keys), "numbered")
     table = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    runs = table.groupBy("_file", *by).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    if weight:  # a file's run of a group is one task's rows
+        own = Window.partitionBy("_file", *by).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+        table = table.withColumn("_row", F.coalesce(F.sum(weight).over(own), F.lit(0)).cast("long"))
+    runs = table.groupBy("_file", *by).agg(F.min("_row").alias("_first"), (F.sum(weight) if weight else F.count(F.lit(1))).alias("_rows"))
     group = Window.partitionBy(*by)
     before = group.orderBy(F.length("_file"), "_file").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(

@@ -18,14 +18,12 @@ from pyspark.sql import functions as F
 
 from ..plans.materialise import discard, saved
 from . import equality
-from .closure import Terminology
+from .closure import MOST_SENT, Terminology
 from .rules import STATE, TYPE, Rules, compiled, composed, pick
 
 SAME = "owl:sameAs"
 _SAMES = [SAME, "http://www.w3.org/2002/07/owl#sameAs"]
 _DIFFERENT = ["owl:differentFrom", "http://www.w3.org/2002/07/owl#differentFrom"]
-#: Rows of a rule table that are sent to every executor; a larger one is joined by a shuffle.
-MOST_SENT = 500_000
 
 
 @dataclass

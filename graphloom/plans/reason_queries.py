@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import closure, graph, paths, provenance, reasoner
+from ..operators import closure, graph, hierarchy, paths, provenance, reasoner
 from ..sources import files, named_files, rdf, star, triples
 from .materialise import new_dir
 from .more_queries import schema
@@ -164,3 +164,21 @@ def g_module_files(spark, d):
     back = rdf.read(spark, path).where("NOT s LIKE 'http://example.org/%'")
     is_axiom = F.col("p").startswith("rdf:") | F.col("p").startswith("rdfs:") | F.col("p").startswith("owl:")
     return back.groupBy(F.col("graph_id").alias("root")).agg(F.count(F.when(is_axiom, 1)).alias("axioms"), F.count(F.when(~is_axiom, 1)).alias("facts"))
+
+
+_ABOVE = """edges AS (SELECT 'part_' || p_partkey AS sub, p_brand AS sup FROM part UNION SELECT 'part_' || p_partkey, 'type ' || p_type FROM part UNION SELECT p_brand, 'Part' FROM part UNION SELECT 'type ' || p_type, 'Part' FROM part
+    UNION SELECT 'order_' || o_orderkey, 'status ' || o_orderstatus FROM orders UNION SELECT 'order_' || o_orderkey, 'priority ' || o_orderpriority FROM orders UNION SELECT 'status ' || o_orderstatus, 'Order' FROM orders UNION SELECT 'priority ' || o_orderpriority, 'Urgency' FROM orders
+    UNION SELECT * FROM (VALUES ('Urgency', 'Order'), ('Order', 'Document'), ('Document', 'Record'), ('Record', 'Document'), ('Part', 'Thing'), ('Record', 'Thing')) v(sub, sup))"""
+
+
+@query("r_class_index", f"""WITH RECURSIVE {_ABOVE}, up AS (SELECT sub AS c, sub AS d FROM edges UNION SELECT sup, sup FROM edges UNION SELECT u.c, e.sup FROM up u JOIN edges e ON e.sub = u.d)
+    SELECT d AS class, count(*) - 1 AS n FROM up GROUP BY d""")
+def r_class_index(spark, d):
+    """How many classes each class subsumes, in a hierarchy of a class a row with several superclasses and a cycle."""
+    p, o = _table(spark, d, "part"), _table(spark, d, "orders")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}_"), F.col(c).cast("string"))
+    kind, status, level = F.concat(F.lit("type "), "p_type"), F.concat(F.lit("status "), "o_orderstatus"), F.concat(F.lit("priority "), "o_orderpriority")
+    edges = p.select(name("part", "p_partkey").alias("sub"), F.col("p_brand").alias("sup")).union(p.select(name("part", "p_partkey"), kind)).union(p.select("p_brand", F.lit("Part"))).union(p.select(kind, F.lit("Part")))
+    edges = edges.union(o.select(name("order", "o_orderkey"), status)).union(o.select(name("order", "o_orderkey"), level)).union(o.select(status, F.lit("Order"))).union(o.select(level, F.lit("Urgency")))
+    fixed = [("Urgency", "Order"), ("Order", "Document"), ("Document", "Record"), ("Record", "Document"), ("Part", "Thing"), ("Record", "Thing")]
+    return hierarchy.index(edges.union(spark.createDataFrame(fixed, "sub string, sup string"))).descendants()
