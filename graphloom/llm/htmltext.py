@@ -2,11 +2,15 @@
 
 The standard library's parser streams events; block boundaries cut the page into lines, each with its text, its number
 of tags and its place in the element tree. Text-to-tag ratios along the page are smoothed with a Gaussian kernel and
-split by a two-means threshold; the lines above it vote with their length for the elements that hold them, and the
-deepest element that holds most of the vote is the content region (an article or main element where one qualifies).
-Every line of the region that is not furniture belongs to the text, and without such an element every long line above the
-threshold beside it. Furniture is told by element and role, and by class names and ids, which give way where they would
-take the page's heading with most of its text.
+split by a two-means threshold (a heading counts like the line after it, and lines that hardly differ are all above); the
+lines above it vote with their length for the elements that hold them. The article elements, or a main element, are the
+content where they hold half of the vote, and otherwise the deepest element that holds most of it, with every long line
+above the threshold beside it. Every line of the content that is not furniture belongs to the text.
+
+Furniture is told by element and role, and by class names and ids. A name speaks by its last telling word (`ad-slot` names
+an ad, `copyright-law` does not name a copyright line); where a name only hints, or stands inside an article, it needs a
+second vote: much of the element is links, or little of it is running text. A name that spells the element's own heading
+is an address and no mark, and none removes an article's heading or the page's heading with most of its text.
 
 Defined cases: null, empty and text-less pages give an empty text; unclosed, misnested and cut-off markup is read as
 far as it goes; a head without an end tag ends at the first element of the body, and an element such as svg or noscript
@@ -31,39 +35,59 @@ SILENT = frozenset("script style noscript template head title iframe object svg
 FURNITURE = frozenset("nav aside footer form menu dialog button select textarea input label fieldset option search".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: Words in class names and ids that mark page furniture (fixed values).
+#: Words in class names and ids that may mark page furniture (a choice of this extractor, as are the three lists below).
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts sidebar "
     "menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login search widget widgets popup modal overlay pagination pager toolbar skip skiplink copyright disclaimer".split()
 )
-#: Words in a class name or id that tell a state or a layout and not what the element is (fixed values).
+#: Marks that need no second vote, wherever they stand.
+DECISIVE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos cookie cookies consent gdpr notice notices sidebar comment comments commentlist disqus respond reply replies newsletter subscribe subscription signup login popup modal".split())
+#: Words at the end of a name that tell of the page's make-up; the word before them tells what the element is.
+MAKEUP = frozenset("area bar block body bottom box col column container content entry form frame group holder inner item items left line link links list main outer page panel part right row section slot story text thread title top unit wrap wrapper zone".split())
+#: Words in a class name or id that tell a state or a layout and not what the element is.
 STATES = frozenset("has no not is with without hide show hides shows enable enabled disabled open opened closed on off active inactive allow allowed layout results result page single template theme wp logged".split())
 #: What a page's head may hold; any other element ends an unclosed head.
 IN_HEAD = frozenset("title meta link style script base noscript template head html".split())
+#: Unlinked characters from which a line counts as running text.
+RUNNING = 60
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marked(value: str) -> bool:
-    """Whether a word of a class attribute or id names furniture: one of its parts does and none tells a state."""
+def _mark(value: str) -> int:
+    """What a class attribute or id says: 3 a mark that needs no second vote, 2 a mark, 1 a hint, 0 nothing."""
+    found = 0
     for name in value.split():
         parts = [part.lower() for part in _PARTS.findall(name)]
-        if (any(part in MARKS for part in parts) or "sidebar" in name.lower()) and not any(part in STATES for part in parts):
-            return True
-    return False
+        if any(part in STATES for part in parts):
+            continue
+        if "sidebar" in name.lower() or any(part in DECISIVE for part in parts):
+            return 3
+        while len(parts) > 1 and parts[-1] in MAKEUP:
+            parts.pop()
+        if any(part in MARKS for part in parts):
+            found = max(found, 2 if parts[-1] in MARKS else 1)
+    return found
+
+
+def _words(text: str) -> list[str]:
+    return _WORDS.findall(text.lower())
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines. Elements are numbered; parent[e] and name[e] keep the tree of block elements, hard[e] and
-    soft[e] tell which are furniture by what they are, and which by a class name or id only."""
+    """Cuts a page into lines. Elements are numbered; parent[e] and name[e] keep the tree of block elements, hard[e] tells
+    which are furniture by what they are, soft[e] how far a class name or id says so (see _mark), slug[e] the id. The open
+    elements of a name are found by their places in the stack, so a page takes time in proportion to its length."""
 
     def __init__(self, silent: frozenset[str] = SILENT):
         super().__init__(convert_charrefs=True)
         self.silent = silent
-        self.parent, self.name, self.hard, self.soft = [-1], ["#page"], [False], [False]
+        self.parent, self.name, self.hard, self.soft, self.slug = [-1], ["#page"], [False], [0], [""]
         self.stack = [0]
+        self.open: dict[str, list[int]] = {}
         self.quiet: list[str] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -103,12 +127,14 @@ class _Lines(HTMLParser):
             return
         if tag == "a":
             self.in_link = True
-        hard, soft = tag in FURNITURE or tag == "header", False
+        hard, soft, slug = tag in FURNITURE or tag == "header", 0, ""
         for key, value in attrs:
             if key == "hidden" or value and (key == "aria-hidden" and value == "true" or key == "role" and value.lower() in ROLES or key == "style" and _HIDDEN.search(value)):
                 hard = True
-            elif value and key in ("class", "id") and tag not in ("html", "body", "main", "article") and _marked(value):
-                soft = True
+            elif value and key in ("class", "id") and tag not in ("html", "body", "main") and not (key == "id" and tag in HEADING):
+                mark = _mark(value)
+                slug = value if key == "id" and mark >= soft else "" if mark > soft else slug
+                soft = max(soft, mark)
         if tag not in BLOCK:
             if tag in VOID or not (hard or soft):
                 return
@@ -118,13 +144,20 @@ class _Lines(HTMLParser):
                 return
             top = self.name[self.stack[-1]]
             if top == "p" or tag == top and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                self.stack.pop()
+                self._close(len(self.stack) - 1)
         self.parent.append(self.stack[-1])
         self.name.append(tag)
         self.hard.append(hard)
         self.soft.append(soft)
+        self.slug.append(slug)
+        self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append(len(self.parent) - 1)
 
+    def _close(self, place: int) -> None:
+        """Closes the open elements from this place of the stack on."""
+        while len(self.stack) > place:
+            self.open[self.name[self.stack.pop()]].pop()
+
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCK:
@@ -142,14 +175,15 @@ class _Lines(HTMLParser):
             self.in_link = False
         if tag in BLOCK:
             self.cut()
-        names = self.name
-        for k in range(len(self.stack) - 1, 0, -1):
-            if names[self.stack[k]] == tag:
-                self.cut()
-                del self.stack[k:]
-                break
-            if names[self.stack[k]] in ("article", "main", "body") and tag not in ("html", "body", "main"):
-                break
+        place = self._last(tag)
+        # a stray end tag inside an article, main or body closes nothing outside it
+        if place and (tag in ("html", "body", "main") or place >= max(map(self._last, ("article", "main", "body")))):
+            self.cut()
+            self._close(place)
+
+    def _last(self, tag: str) -> int:
+        places = self.open.get(tag)
+        return places[-1] if places else 0
 
     def handle_data(self, data):
         if not self.quiet:
@@ -168,23 +202,54 @@ class _Lines(HTMLParser):
 
     def furniture(self, soft: list[bool]) -> list[bool]:
         """Which elements are furniture or inside it; the headings of an article's own header aren't."""
-        bad = [False] * len(self.parent)
-        for e in range(1, len(bad)):
-            up = self.parent[e]
-            bad[e] = self.hard[e] or soft[e] or bad[up] and not (self.name[e] in HEADING and self._article_header(up, bad))
+        n = len(self.parent)
+        bad, article, own = [False] * n, self.within("article", "main"), [False] * n
+        for e in range(1, n):
+            up, marked = self.parent[e], self.hard[e] or soft[e]
+            # own: inside an article's header, and in nothing else there that is furniture
+            own[e] = self.name[e] == "header" and not bad[up] and article[up] and not soft[e] or own[up] and not marked
+            bad[e] = marked or bad[up] and not (own[e] and self.name[e] in HEADING)
         return bad
 
-    def _article_header(self, e: int, bad: list[bool]) -> bool:
-        while self.name[e] not in ("header", "#page"):
-            e = self.parent[e]
-        if self.name[e] == "#page" or bad[self.parent[e]]:
-            return False
-        e = self.parent[e]
-        while e > 0:
-            if self.name[e] in ("article", "main"):
-                return True
-            e = self.parent[e]
-        return False
+    def within(self, *names: str) -> list[bool]:
+        """Whether each element is one of these or inside one."""
+        out = [False] * len(self.parent)
+        for e in range(1, len(out)):
+            out[e] = out[self.parent[e]] or self.name[e] in names
+        return out
+
+    def named_furniture(self) -> list[bool]:
+        """Which elements a class name or id makes furniture, other votes heard."""
+        n = len(self.parent)
+        plain = self.furniture([False] * n)
+        article = self.within("article", "main")
+        free = [max(0, len(x[0]) - x[2]) for x in self.lines]
+        holds = self.votes([0.0 if plain[x[3]] else float(c) for x, c in zip(self.lines, free, strict=True)])
+        size = self.votes([float(len(x[0])) for x in self.lines])
+        linked = self.votes([float(x[2]) for x in self.lines])
+        prose = self.votes([float(c) if c >= RUNNING else 0.0 for c in free])
+        headed, first = [False] * n, [""] * n
+        for e, name in enumerate(self.name):
+            up = e
+            while name in ("h1", "main") and not plain[e] and up >= 0 and not headed[up]:
+                headed[up] = True
+                up = self.parent[up]
+        for text, _, _, e in self.lines:
+            up = self.parent[e]
+            while self.name[e] in HEADING and up > 0 and not first[up]:  # the first heading inside each element
+                first[up] = text
+                up = self.parent[up]
+        out = [False] * n
+        for e in range(1, n):
+            level = self.soft[e]
+            most = 2 * holds[e] > holds[0]
+            if not level or headed[e] and (article[e] or most) or self.name[e] == "article" and most:
+                continue
+            running = 2 * prose[e] >= size[e] > 0 and 10 * linked[e] < 3 * size[e]
+            words = _words(self.slug[e])
+            address = len(words) > 1 and running and words == _words(first[e])
+            out[e] = not address and (level == 3 or level == 2 and not article[e] or not running)
+        return out
 
 
 def _parsed(html: str) -> _Lines:
@@ -220,49 +285,51 @@ def two_means(x: np.ndarray, rounds: int = 20) -> float:
 
 
 def smoothed(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Gaussian means of x; at the ends over the values there are."""
     r = int(np.ceil(3 * sigma))
     kernel = np.exp(-0.5 * np.square(np.arange(-r, r + 1) / sigma))
-    kernel /= kernel.sum()
-    padded = np.concatenate([np.repeat(x[:1], r), x, np.repeat(x[-1:], r)])
-    return np.convolve(padded, kernel, "valid")
+    return np.convolve(x, kernel)[r : r + len(x)] / np.convolve(np.ones(len(x)), kernel)[r : r + len(x)]
+
 
+def extract(html: str | None, sigma: float = 1.0, most: float = 0.7, apart: float = 2.0, share: float = 0.25) -> str:
+    """The main text: blocks joined by an empty line, white space inside a block turned into single spaces.
 
-def extract(html: str | None, sigma: float = 1.0, most: float = 0.7) -> str:
-    """The main text: blocks joined by an empty line, white space inside a block turned into single spaces."""
+    Lines whose smoothed text-to-tag ratios differ by less than a factor of `apart` are one cluster. Beside the longest
+    article element, others count that hold `share` of its vote and are not mostly links.
+    """
     if not html:
         return ""
     p = _parsed(html)
-    # A class name doesn't make furniture of what holds the page's heading and most of its text outside plain furniture.
-    plain = p.furniture([False] * len(p.soft))
-    open_ = [0.0 if plain[x[3]] else float(len(x[0]) - x[2]) for x in p.lines]
-    holds, headed = p.votes(open_), [False] * len(p.parent)
-    for e, name in enumerate(p.name):
-        if name in ("h1", "main") and not plain[e]:
-            while e >= 0 and not headed[e]:
-                headed[e] = True
-                e = p.parent[e]
-    soft = [s and not (headed[e] and 2 * holds[e] > holds[0]) for e, s in enumerate(p.soft)]
-    bad = p.furniture(soft)
+    bad = p.furniture(p.named_furniture())
     if all(bad[x[3]] for x in p.lines):
-        bad = plain
+        bad = p.furniture([False] * len(p.soft))
     lines = [x for x in p.lines if not bad[x[3]]]
     if not lines:
         return ""
     size = np.array([len(x[0]) for x in lines], float)
     ratio = np.log1p((size - [x[2] for x in lines]) / np.maximum(1, [x[1] for x in lines]))
+    for k in range(len(lines) - 2, -1, -1):
+        if p.name[lines[k][3]] in HEADING:
+            ratio[k] = ratio[k + 1]
     smooth = smoothed(ratio, sigma)
-    content = smooth > two_means(smooth)
+    content = smooth > (two_means(smooth) if np.ptp(smooth) >= np.log(apart) else -1)
     p.lines = lines
-    vote = p.votes((size * content).tolist())
-    total, region = vote[0], 0
-    named = [e for e in range(len(vote)) if vote[e] > 0 and p.name[e] in ("article", "main") and vote[e] >= 0.5 * total]
-    if named:
-        region = max(named, key=lambda e: (p.name[e] == "article", vote[e], e))
+    vote, linked = p.votes((size * content).tolist()), p.votes([float(x[2]) for x in lines])
+    whole = p.votes(size.tolist())
+    inner = p.within("article")
+    total = vote[0]
+    articles = [e for e in range(1, len(vote)) if p.name[e] == "article" and vote[e] > 0 and not inner[p.parent[e]] and 2 * linked[e] < whole[e]]
+    mains = [e for e in range(1, len(vote)) if p.name[e] == "main" and vote[e] > 0 and 2 * vote[e] >= total]
+    if articles and 2 * sum(vote[e] for e in articles) >= total:
+        longest = max(vote[e] for e in articles)
+        regions, named = {e for e in articles if vote[e] >= share * longest}, True
+    elif mains:
+        regions, named = {max(mains, key=lambda e: (vote[e], e))}, True
     else:
-        region = max((e for e in range(len(vote)) if vote[e] >= most * total and p.name[e] not in ("p", *HEADING)), default=0)
+        regions, named = {max((e for e in range(len(vote)) if vote[e] >= most * total and p.name[e] not in ("p", *HEADING)), default=0)}, False
     inside = [False] * len(p.parent)
-    for e in range(region, len(inside)):
-        inside[e] = e == region or inside[p.parent[e]]
+    for e in range(len(inside)):
+        inside[e] = e in regions or e > 0 and inside[p.parent[e]]
     out = []
     for k, x in enumerate(lines):
         menu = not content[k] and x[2] >= 0.9 * len(x[0]) and p.name[x[3]] in ("li", "ul", "ol", "td") and not named

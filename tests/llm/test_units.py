@@ -168,6 +168,49 @@ def test_html_marked_wrapper_with_the_heading_and_most_text():
     assert got == f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<div class='entry-header'><h1>Head</h1></div><p>{0}</p>",
+        "<h1>Head</h1><section id='related-work'><p>{0}</p></section>",
+        "<h1>Head</h1><div id='copyright-law'><p>{0}</p></div>",
+        "<h1 id='navigation-menus'>Head</h1><p>{0}</p>",
+        "<h1>Head</h1><div class='alert alert-info'><p>{0}</p></div>",
+        "<header><nav><h2>Sections</h2></nav><h1>Head</h1></header><p>{0}</p><ul class='related'><li><a href=a>Other</a></ul><div class='share-bar'>Tell friends</div>",
+        "<h1>Head</h1><p>{0}</p><article class='comment'><p>{0}</p></article><div class='reader-comments'><p>{0}</p></div><div class='ad-slot'>{0}</div>",
+    ],
+)
+def test_html_names_need_a_second_vote_inside_an_article(inner):
+    for around in ("<article>{}</article>", "<main>{}</main>"):
+        assert htmltext.extract("<body>" + around.format(inner.format(LONG)) + "</body>") == f"Head\n\n{LONG.strip()}"
+
+
+def test_html_id_that_spells_its_heading():
+    page = "<body><div><h1>Head</h1><p>{0}</p><section id='comments-on-law'><h2>Comments on law</h2><p>{0}</p></section><section id='comments'><h2>Comments</h2><p>{0}</p></section></div></body>"
+    assert htmltext.extract(page.format(LONG)) == f"Head\n\n{LONG.strip()}\n\nComments on law\n\n{LONG.strip()}"
+
+
+def test_html_short_article_before_an_unmarked_text_of_its_size():
+    got = htmltext.extract(f"<body><div><h1>Head</h1><p>{LONG}</p></div><div><p>Reply {LONG}</p></div></body>")
+    assert got.startswith(f"Head\n\n{LONG.strip()}")
+
+
+def test_html_several_articles():
+    page = f"<body><nav><a href=a>a</a></nav><article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}{LONG}</p></article><article><a href=b>Teaser</a></article></body>"
+    assert htmltext.extract(page) == f"One\n\n{LONG.strip()}\n\nTwo\n\n{(LONG + LONG).strip()}"
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    n = 100_000
+    assert htmltext.extract("<div>" * n + f"<p>{LONG}</p>" + "</div>" * n) == LONG.strip()
+    assert htmltext.extract("<div>" * n + "</section>" * n + f"<p>{LONG}</p>") == LONG.strip()
+    assert htmltext.extract("<article>" + "<section><h2>a</h2>" * (n // 10) + f"<p>{LONG}</p>").endswith(LONG.strip())
+    assert time.process_time() - began < 15
+
+
 @pytest.mark.parametrize("start", ["<head><title>x</title><body>", "<head><meta charset=a><title>x</title>", "<svg><path d=1>", "<noscript>", "<![if x]><![ endif]>", "<iframe src=a>", "<head><script>if (a < b) {}</script>"])
 def test_html_unclosed_and_odd_starts(start):
     assert htmltext.extract(f"{start}<p>{LONG}</p><p>{LONG}</p>") == f"{LONG.strip()}\n\n{LONG.strip()}"
