@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..operators import answers, models, sampling, verbal
 from ..sources import files, star
+from ..streaming import answer_rounds
+from . import materialise
 from .star_queries import FACTS
 
 QUERIES: dict = {}
@@ -216,6 +218,29 @@ def l_estimate(spark, d):
     return replies(spark, d).groupBy("kind").agg((F.count(F.lit(1)) * 3 * F.lit(3.0) / 8).alias("seconds"))
 
 
+_ROUND_MS = 400 * 86_400_000 + 43_200_000
+
+
+@query(
+    "l_answer_rounds",
+    f"""WITH r AS (SELECT CAST(o_custkey AS VARCHAR) AS task_id, 'm' || (o_orderkey % 3) AS model, 'r' || o_orderkey AS response, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS ms FROM orders),
+ best AS (SELECT task_id, model, ms, response FROM r QUALIFY row_number() OVER (PARTITION BY task_id, model ORDER BY ms, response) = 1),
+ kept AS (SELECT *, min(ms) OVER (PARTITION BY task_id) AS opened FROM best QUALIFY ms <= opened + {_ROUND_MS})
+ SELECT task_id, CASE WHEN count(*) = 3 THEN 'complete' ELSE 'timeout' END AS closed_by, CAST(count(*) AS INTEGER) AS answered, string_agg(model || ':' || response || '@' || (ms - opened), ',' ORDER BY model) AS answers
+ FROM kept GROUP BY task_id, opened HAVING count(*) = 3 OR opened + {_ROUND_MS} <= (SELECT max(ms) FROM r)""",
+)
+def l_answer_rounds(spark, d):
+    """Orders as a stream of answers: a customer's question closes when three models answered or 400 days and a half are over."""
+    # a pattern, as the stream's source takes a folder or a pattern and a table may be one file
+    orders = spark.readStream.schema(_t(spark, d, "orders").schema).parquet(f"{d}/orders.parque[t]")
+    text = lambda mark, c: F.concat(F.lit(mark), c.cast("string"))
+    stream = orders.select(F.col("o_custkey").cast("string").alias("task_id"), text("m", F.col("o_orderkey") % 3).alias("model"), text("r", F.col("o_orderkey")).alias("response"), F.lit(1.0).alias("seconds"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    out = materialise.new_dir(spark, "rounds")
+    answer_rounds.write_rounds(stream, ["m0", "m1", "m2"], out, materialise.new_dir(spark, "rounds-state"), available_now=True, wait_ms=_ROUND_MS, delay="0 seconds").awaitTermination()
+    answers_text = F.array_join(F.transform("answers", lambda a: F.concat(a["model"], F.lit(":"), a["response"], F.lit("@"), a["after_ms"].cast("string"))), ",")
+    return answer_rounds.read_rounds(spark, out).select("task_id", "closed_by", "answered", answers_text.alias("answers"))
+
+
 # ---- scoring --------------------------------------------------------------------------------------------------------
 _CASES = """cases AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'BIN' ELSE 'MC' END AS kind, 'm' || (c_custkey % 3) AS model, c_custkey % 5 AS k, CASE WHEN c_custkey % 11 = 10 THEN NULL ELSE (c_custkey % 11) / 10.0::DOUBLE END AS conf FROM customer),
  scored AS (SELECT *, CASE WHEN kind = 'BIN' THEN CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 0 END WHEN k = 0 THEN 1.0 WHEN k = 1 THEN 2 / 3.0::DOUBLE WHEN k = 2 THEN 0.75 WHEN k = 3 THEN 0.0 ELSE 1.0 END AS score FROM cases)"""
